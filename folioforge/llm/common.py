@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 #: A word is a run of characters other than space, tab and the line controls.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BYTE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 

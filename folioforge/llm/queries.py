@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op5_simhash": simhash.op5,
     "op7_secret_scan": secrets.op7,
 }
 ORACLES = {
