@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash
+from . import langid, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op5_simhash": simhash.op5,
     "op7_secret_scan": secrets.op7,
+    "op9_language_id": langid.op9,
+    "language_id_of_pages": langid.pages_language,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
