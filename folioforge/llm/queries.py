@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, quality, secrets, simhash
+from . import langid, linededup, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op3_line_dedup": linededup.op3,
     "op5_simhash": simhash.op5,
     "op7_secret_scan": secrets.op7,
     "op9_language_id": langid.op9,
@@ -13,4 +14,5 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op3_line_dedup": linededup.OP3_SQL,
 }
