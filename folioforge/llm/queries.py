@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, quality, secrets, simhash
+from . import decontaminate, langid, linededup, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op3_line_dedup": linededup.op3,
     "op5_simhash": simhash.op5,
     "op7_secret_scan": secrets.op7,
+    "op8_decontaminate": decontaminate.op8,
     "op9_language_id": langid.op9,
     "language_id_of_pages": langid.pages_language,
 }
