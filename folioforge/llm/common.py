@@ -44,7 +44,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], di
     """Adds columns computed from whole texts, batch by batch, inside the tasks that read them.
 
     ``fn()`` runs once a task and returns a function from a list of texts (None for null) to a
-    dict of lists, one for each of ``fields``. The columns in ``keep`` (all, if None) come
+    dict of lists (or Arrow arrays), one for each of ``fields``. The columns in ``keep`` (all, if None) come
     through unchanged; a new column replaces one of the same name. No shuffle.
     """
     names = [f.name for f in fields]
@@ -59,6 +59,6 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], di
         work = fn()
         for b in batches:
             out = work(b.column(sent.index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=kept + names)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=kept + names)
 
     return df.select(*[f"`{c}`" for c in sent]).mapInArrow(run, schema)

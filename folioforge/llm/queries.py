@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, quality, secrets, simhash
+from . import decontaminate, langid, linededup, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_sentencepiece": pieces.op2,
     "op3_line_dedup": linededup.op3,
     "op5_simhash": simhash.op5,
     "op7_secret_scan": secrets.op7,
