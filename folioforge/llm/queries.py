@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, pieces, quality, secrets, simhash
+from . import decontaminate, langid, linededup, pieces, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_secret_scan": secrets.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_language_id": langid.op9,
+    "op10_pii": pii.op10,
     "language_id_of_pages": langid.pages_language,
 }
 ORACLES = {
