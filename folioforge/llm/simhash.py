@@ -68,21 +68,22 @@ def build_tree(sample: np.ndarray, mask: int, radius: int, leaf: int, seed: int)
     point, ball, inner, outer, leaves = [], [], [], [], [0]
 
     def grow(codes: np.ndarray) -> int:
-        v = codes[rng.integers(len(codes))] if len(codes) else np.uint64(0)
-        d = np.bitwise_count((codes ^ v) & np.uint64(mask))
         best = None
-        if len(codes) > leaf:
+        for v in codes[rng.integers(len(codes), size=4)] if len(codes) > leaf else ():
+            d = np.bitwise_count((codes ^ v) & np.uint64(mask))
             for r in np.unique(d)[:-1]:
-                cost = np.count_nonzero(d <= r + radius) ** 1.3 + np.count_nonzero(d > r) ** 1.3
-                if (best is None or cost < best[0]) and cost < 0.95 * len(codes) ** 1.3:
-                    best = (cost, r)
+                # both sides' sizes, the ball's with the guests from its edge; smaller is a better split
+                cost = np.count_nonzero(d <= r + radius) ** 1.5 + np.count_nonzero(d > r) ** 1.5
+                if cost < len(codes) ** 1.5 and (best is None or cost < best[0]):
+                    best = (cost, r, v, d)
         if best is None:
             leaves[0] += 1
             return -leaves[0]
+        _, r, v, d = best
         at = len(point)
-        for x, value in ((point, v), (ball, best[1]), (inner, 0), (outer, 0)):
+        for x, value in ((point, v), (ball, r), (inner, 0), (outer, 0)):
             x.append(value)
-        inner[at], outer[at] = grow(codes[d <= best[1]]), grow(codes[d > best[1]])
+        inner[at], outer[at] = grow(codes[d <= r]), grow(codes[d > r])
         return at
 
     root = grow(sample)
@@ -137,7 +138,7 @@ def forest(codes: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int
     return label
 
 
-def links(codes: DataFrame, radius: int = 4, parts: int = 3, sample_codes: int = 20_000, shard_codes: int = 1500, block_rows: int = 30_000) -> DataFrame:
+def links(codes: DataFrame, radius: int = 4, parts: int = 3, sample_codes: int = 20_000, shard_codes: int = 2000, block_rows: int = 30_000) -> DataFrame:
     """Links (a, b) between the ``rep`` values of distinct ``code`` rows: a forest with the components of all pairs within ``radius``."""
     spark = codes.sparkSession
     n = codes.count()
