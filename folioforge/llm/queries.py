@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, pieces, pii, quality, secrets, simhash
+from . import decontaminate, langid, linededup, pieces, pii, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_sentencepiece": pieces.op2,
     "op3_line_dedup": linededup.op3,
     "op5_simhash": simhash.op5,
+    "op6_warc": warc.op6,
     "op7_secret_scan": secrets.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_language_id": langid.op9,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
