@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, pieces, pii, quality, secrets, simhash, warc
+from . import decontaminate, html_text, langid, linededup, pieces, pii, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_sentencepiece": pieces.op2,
     "op3_line_dedup": linededup.op3,
+    "op4_html_text": html_text.op4,
     "op5_simhash": simhash.op5,
     "op6_warc": warc.op6,
     "op7_secret_scan": secrets.op7,
