@@ -21,12 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines repeated over documents go; documents that had text and have none left go with them."""
+    """Lines repeated over documents go from the texts; every document stays, if only with an empty text."""
     cut = linededup.dedup(docs)
-    left = F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(linededup.SPACE_CHARS))) > 0
-    kept = cut.where(left | (F.col("n_dropped") == 0))
     changed = F.col("n_dropped") > 0
-    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
