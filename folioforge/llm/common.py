@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -40,6 +42,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a task works on at a time; a longer text is a part of its own.
+PART_BYTES = 4 << 20
+
+
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded text, so that what a task holds does not follow the batch's row count."""
+    column = batch.column(text)
+    if isinstance(column, pa.StructArray):
+        column = column.field(0)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    else:
+        ends = np.arange(1, batch.num_rows + 1, dtype=np.int64) * (PART_BYTES // 1000)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], dict[str, list]]], fields: list[T.StructField], keep: list[str] | None = None, drop_text: bool = False) -> DataFrame:
     """Adds columns computed from whole texts, batch by batch, inside the tasks that read them.
 
@@ -57,7 +79,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, sent.index(text_col))):
             out = work(b.column(sent.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=kept + names)
 

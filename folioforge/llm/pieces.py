@@ -126,7 +126,7 @@ load = cache(load)
 class Encoder:
     """Encodes sorted distinct words over one forward table that shrinks to each shared prefix."""
 
-    def __init__(self, table: PieceTable, remember: int = 1_000_000):
+    def __init__(self, table: PieceTable, remember: int = 400_000):
         self.t, self.remember = table, remember
         self.known: dict[str, bytes] = {}
         self.suffixes = {p[k:] for p in table.ids for k in range(len(p))}
