@@ -20,6 +20,7 @@ contamination. Ties for the best item go to the smallest item id.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -193,15 +194,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         seeds = rare_seeds(items, frequencies(docs, items, text_col))
         sent = docs.sparkSession.sparkContext.broadcast((items, seeds))
 
-        def task(sent=sent):
+        name = f"found_{uuid.uuid4().hex}"
+
+        def task(sent=sent, name=name):
             items, seeds = sent.value
-            return lambda texts: {"_found": [[{"item": i, "score": s} for i, s in matches(items, seeds, t, min_seeds, min_score)] for t in texts]}
+            return lambda texts: {name: [[{"item": i, "score": s} for i, s in matches(items, seeds, t, min_seeds, min_score)] for t in texts]}
 
-        names.append(f"_found_{block}")
-        out = map_texts(out, text_col, task, [T.StructField("_found", T.ArrayType(pair))]).withColumnRenamed("_found", names[-1])
+        names.append(name)
+        out = map_texts(out, text_col, task, [T.StructField(name, T.ArrayType(pair))])
     found = F.concat(*names) if len(names) > 1 else F.col(names[0])
-    out = out.withColumn("_found", F.array_sort(found, lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(F.when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0)))).drop(*names)
-    return out.withColumns({"contaminated": F.size("_found") > 0, "n_items": F.size("_found").cast("long"), "best_item": F.get("_found", F.lit(0))["item"], "best_score": F.get("_found", F.lit(0))["score"], "items": F.array_sort(F.transform("_found", lambda x: x["item"]))}).drop("_found")
+    best = f"best_{uuid.uuid4().hex}"
+    order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0)
+    out = out.withColumn(best, F.array_sort(found, order)).drop(*names)
+    first = F.get(best, F.lit(0))
+    return out.withColumns({"contaminated": F.size(best) > 0, "n_items": F.size(best).cast("long"), "best_item": first["item"], "best_score": first["score"], "items": F.array_sort(F.transform(best, lambda x: x["item"]))}).drop(best)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ shard are what is copied to its salts. Texts are shuffled once, by id.
 
 Edge cases: null or empty text is one empty line; ids that repeat hold their lines together (a key in
 two rows of one id alone is not repeated, and all its rows are cut alike); rows with a null id hold no
-references and keep all lines; an empty table gives an empty table.
+references and keep all lines; an empty table gives an empty table. Columns
+named ``n_lines`` or ``n_dropped`` are replaced; all others come through.
 """
 
 from __future__ import annotations
@@ -208,21 +209,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
 
 
 def cut_lines(docs: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    drops = cut.distinct().groupBy("id").agg(F.collect_list("line_no").alias("_drops")).withColumnRenamed("id", "_id")
-    joined = docs.join(drops, docs[id_col] == F.col("_id"), "left").drop("_id")
-    fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(text_col, T.StringType())]
-    wanted = [c for c in docs.columns if c != text_col and c not in ("n_lines", "n_dropped")]
-    packed = joined.select(*[F.col(f"`{c}`") for c in wanted], F.struct(F.col(text_col).alias("text"), "_drops").alias("_packed"))
+    """docs (whose columns travel as one struct, so that no name can clash) without the lines of ``cut``."""
+    drops = cut.distinct().groupBy("id").agg(F.collect_list("line_no").alias("drops"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(drops, F.col("row")[id_col] == F.col("id"), "left")
+    packed = joined.select(F.col("row").dropFields(text_col).alias("row") if len(docs.columns) > 1 else F.lit(None).alias("row"), F.struct(F.col("row")[text_col].alias("text"), "drops").alias("packed"))
+    fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def task():
         def one(x):
             lines = (x["text"] or "").split("\n")
-            gone = set(x["_drops"] or ())
+            gone = set(x["drops"] or ())
             return len(lines), len(gone), "\n".join(v for i, v in enumerate(lines) if i not in gone) if gone else x["text"]
 
-        return lambda rows: dict(zip(("n_lines", "n_dropped", text_col), zip(*map(one, rows), strict=True) if rows else ([], [], []), strict=True))
+        return lambda rows: dict(zip(("n_lines", "n_dropped", "kept_text"), zip(*map(one, rows), strict=True) if rows else ([], [], []), strict=True))
 
-    return map_texts(packed, "_packed", task, fields, keep=wanted).select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    out = map_texts(packed, "packed", task, fields, keep=["row"])
+    added = ("n_lines", "n_dropped")
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

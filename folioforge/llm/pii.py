@@ -22,6 +22,8 @@ results; an empty table gives an empty table. The main path has no Python on the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,13 +155,15 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "folioforge
     text = F.col(f"`{text_col}`")
     counts = [f"n_{k}" for k in KINDS]
     kept = [c for c in docs.columns if c not in counts]
-    some = text.rlike("[0-9@]")
-    found = docs.select(*[F.col(f"`{c}`") for c in kept], F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("_found"))
-    named = found.withColumn("_new", F.transform("_found", lambda v: F.struct(kind_of(v).alias("kind"), pseudonym(v, key, inverse).alias("value"))))
+    mark = uuid.uuid4().hex  # no column of docs is called so
+    old, new = f"found_{mark}", f"new_{mark}"
+    found = docs.select(*[F.col(f"`{c}`") for c in kept], F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(old))
+    named = found.withColumn(new, F.transform(old, lambda v: F.struct(kind_of(v).alias("kind"), pseudonym(v, key, inverse).alias("value"))))
     # the text between the values, and the values, in turn
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform(F.arrays_zip("_found", "_new"), lambda x: F.coalesce(x["_new"]["value"], x["_found"])), lambda part, v: F.concat(part, F.coalesce(v, F.lit("")))), "")
-    out = F.when(F.size(F.filter("_new", lambda x: x["value"].isNotNull())) > 0, joined).otherwise(text)
-    tally = [F.size(F.filter("_new", _valid(k))).cast("long").alias(n) for k, n in zip(KINDS, counts, strict=True)]
+    values = F.zip_with(old, new, lambda was, now: F.coalesce(now["value"], was))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), values, lambda part, v: F.concat(part, F.coalesce(v, F.lit("")))), "")
+    out = F.when(F.size(F.filter(new, lambda x: x["value"].isNotNull())) > 0, joined).otherwise(text)
+    tally = [F.size(F.filter(new, _valid(k))).cast("long").alias(n) for k, n in zip(KINDS, counts, strict=True)]
     return named.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], *tally)
 
 
