@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests_llm_plain import plain_components, plain_dedup, plain_fingerprint
+
 from folioforge.llm import components, decontaminate, langid, linededup, simhash
 
 SCHEMA = "doc_id long, text string"
@@ -18,23 +19,6 @@ def docs(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(rows, schema)
 
 
-def plain_dedup(rows):
-    strip = " \t\n\x0b\f\r"
-    table = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    key = lambda x: x.strip(strip).translate(table)
-    held = {}
-    for i, t in rows:
-        for x in (t or "").split("\n"):
-            if len(key(x)) >= 10 and i is not None:
-                held.setdefault(key(x), set()).add(i)
-    out = []
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if i is None or len(key(x)) < 10 or len(held[key(x)]) < 2 or min(held[key(x)]) == i]
-        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return out
-
-
 LINES = ["the first shared line", " The First Shared Line\t", "short", "", "UNIQUE LINE NUMBER {}", "éÉ accents stay É", "ÉÉ accents stay É"]
 
 
@@ -81,28 +65,6 @@ def test_cuckoo_filter_rejects_most_strangers():
     assert f.contains(keys).all() and f.contains(others).mean() < 0.001
 
 
-def plain_fingerprint(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    import re
-
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def plain_components(ids, codes, radius=4):
-    label = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in zip(ids, codes, strict=True):
-            for j, b in zip(ids, codes, strict=True):
-                if (a ^ b).bit_count() <= radius and label[i] > label[j]:
-                    label[i], changed = label[j], True
-    return label
-
-
 TEXTS = ["", None, "one", "two words", "Ünï CODE   x", "a b c d", "A B C D", " ".join(f"w{i % 37}" for i in range(500))]
 
 
