@@ -63,7 +63,7 @@ def s4(spark, sf_dir):
     return spark.read.schema("n_documents bigint, n_chars bigint").json(path)
 
 
-@query("s5_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
+@query("s5_upsert", "SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS BIGINT) AS label, CAST(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM embeddings")
 def s5(spark, sf_dir):
     """Half of the points are stored; the rest is resumed, and every third is upserted in a second version."""
     e = b.table(spark, sf_dir, "embeddings").select("vec_id", "label").withColumn("version", F.lit(1))
@@ -100,7 +100,7 @@ def i2(spark, sf_dir):
     return layout.line_from_spans(lines).select("doc_id", "line_no", "text", "bold", "lead")
 
 
-@query("i3_heading_level", f"WITH {b.LINES_SQL} SELECT doc_id, line_no, CASE WHEN top THEN 1 WHEN second THEN 2 ELSE 0 END AS level FROM lines")
+@query("i3_heading_level", f"WITH {b.LINES_SQL} SELECT doc_id, line_no, CAST(CASE WHEN top THEN 1 WHEN second THEN 2 ELSE 0 END AS BIGINT) AS level FROM lines")
 def i3(spark, sf_dir):
     return b.lines(spark, sf_dir).select("doc_id", "line_no", layout.heading_level().alias("level"))
 
@@ -224,12 +224,12 @@ joins AS (SELECT *, coalesce(type = 'paragraph' AND regexp_matches(text, '^\p{Ll
 
 
 @query("i14_stitch_pages", f"""WITH {SPLIT_SQL}, g AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM joins)
-SELECT doc_id, min(pos) AS pos, CAST(max(pos) AS INTEGER) AS page_end, arg_min(type, pos) AS type, string_agg(text, ' ' ORDER BY pos) AS text FROM g GROUP BY doc_id, grp""")
+SELECT doc_id, min(pos) AS pos, max(pos) AS page_end, arg_min(type, pos) AS type, string_agg(text, ' ' ORDER BY pos) AS text FROM g GROUP BY doc_id, grp""")
 def i14(spark, sf_dir):
     return layout.stitch_pages(split_records(spark, sf_dir)).select("doc_id", "pos", "page_end", "type", "text")
 
 
-@query("i14_stitch_log", f"WITH {SPLIT_SQL} SELECT doc_id, pos, '1' AS section_id, CAST(pos AS INTEGER) AS page, text[1:40] AS joined_at FROM joins WHERE joined")
+@query("i14_stitch_log", f"WITH {SPLIT_SQL} SELECT doc_id, pos, '1' AS section_id, pos AS page, text[1:40] AS joined_at FROM joins WHERE joined")
 def i14_log(spark, sf_dir):
     return layout.stitch_log(split_records(spark, sf_dir))
 
@@ -311,7 +311,7 @@ def g3(spark, sf_dir):
     return answers.complete(p, _short_only, lambda _: "{}")
 
 
-@query("g4_parse_responses", f"WITH {b.RESPONSES_SQL} SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 4 = 0 THEN answer ELSE '' END AS answer, CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END AS n_citations, turn % 4 = 0 AND refusal AS refusal FROM responses")
+@query("g4_parse_responses", f"WITH {b.RESPONSES_SQL} SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 4 = 0 THEN answer ELSE '' END AS answer, CAST(CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_citations, turn % 4 = 0 AND refusal AS refusal FROM responses")
 def g4(spark, sf_dir):
     """Answers as JSON; those of other turns than every fourth are cut off and so malformed."""
     r = b.responses(spark, sf_dir).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
@@ -338,7 +338,7 @@ def amendment_records(spark, sf_dir):
     return r.withColumns({"callout_kind": F.when(hit, "amendment"), "lead_in": F.when(hit, lead)})
 
 
-@query("g6_amendments", f"WITH {AMEND_SQL} SELECT doc_id, number, strftime(effective, '%Y-%m-%d') AS effective, section_id FROM amend")
+@query("g6_amendments", f"WITH {AMEND_SQL} SELECT doc_id, CAST(number AS BIGINT) AS number, strftime(effective, '%Y-%m-%d') AS effective, section_id FROM amend")
 def g6(spark, sf_dir):
     return answers.amendments(amendment_records(spark, sf_dir)).withColumn("effective", F.date_format("effective", "yyyy-MM-dd"))
 
@@ -370,7 +370,7 @@ def st1(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("query_id", "chunk_id", "final_rank", F.round("score", 6).alias("score"))
 
 
-@query("st2_index_stream", f"WITH {b.CHUNKS_SQL} SELECT doc_id, chunk_id, 64 AS dim FROM chunks")
+@query("st2_index_stream", f"WITH {b.CHUNKS_SQL} SELECT doc_id, chunk_id, CAST(64 AS BIGINT) AS dim FROM chunks")
 def st2(spark, sf_dir):
     """Chunks arrive as files and are embedded and stored once; a second run over the same files stores nothing more."""
     base = scratch(spark)

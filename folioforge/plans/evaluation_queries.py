@@ -31,7 +31,7 @@ recall AS (SELECT q.query_id, q.type, q.answerable, coalesce(max(CASE WHEN ok TH
   (SELECT t.query_id, t.section_id, coalesce((SELECT bool_or({MATCH.format(t='t.section_id', c='r.section_id')}) FROM retrieved r WHERE r.query_id = t.query_id), false) AS ok FROM truth t) t USING (query_id) GROUP BY q.query_id, q.type, q.answerable)"""
 
 
-@query("v2_section_recall", f"WITH {b.RETRIEVED_SQL},{RECALL_SQL} SELECT query_id, round(hit, 6) AS hit, round(recall, 6) AS recall FROM recall")
+@query("v2_section_recall", f"WITH {b.RETRIEVED_SQL},{RECALL_SQL} SELECT query_id, round(CAST(hit AS DOUBLE), 6) AS hit, round(CAST(recall AS DOUBLE), 6) AS recall FROM recall")
 def v2(spark, sf_dir):
     return rounded(ev.section_recall(b.questions(spark, sf_dir), b.retrieved(spark, sf_dir)), "hit", "recall")
 
@@ -63,12 +63,12 @@ def v456(spark, sf_dir):
     return rounded(rates(spark, sf_dir), "grounding_rate", "veracity_rate", "section_match_rate")
 
 
-@query("v7_judge_scores", f"WITH {b.RESPONSES_SQL} SELECT conv_id, turn, factual, verdict FROM judged")
+@query("v7_judge_scores", f"WITH {b.RESPONSES_SQL} SELECT conv_id, turn, CAST(factual AS DOUBLE) AS factual, verdict FROM judged")
 def v7(spark, sf_dir):
     return b.judged(spark, sf_dir).select("conv_id", "turn", "factual", "verdict")
 
 
-@query("v8_effective_refusal", f"WITH {b.RESPONSES_SQL} SELECT conv_id, turn, effective_refusal, CASE WHEN effective_refusal THEN 1.0 ELSE 0.0 END AS score FROM judged WHERE NOT answerable")
+@query("v8_effective_refusal", f"WITH {b.RESPONSES_SQL} SELECT conv_id, turn, effective_refusal, CAST(CASE WHEN effective_refusal THEN 1 ELSE 0 END AS DOUBLE) AS score FROM judged WHERE NOT answerable")
 def v8(spark, sf_dir):
     return b.judged(spark, sf_dir).where("not answerable").select("conv_id", "turn", "effective_refusal", F.col("effective_refusal").cast("double").alias("score"))
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folioforge.plans import registry
+from folioforge.plans import catalog
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -35,14 +35,14 @@ def test_entry_runs(spark):
 
 
 def test_names():
-    assert set(registry.ORACLES) <= set(registry.QUERIES) <= set(entry.queries())
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, sf, duck, name):
-    got = registry.QUERIES[name](spark, sf)
-    want = duck.execute(registry.ORACLES[name])
+    got = catalog.QUERIES[name](spark, sf)
+    want = duck.execute(catalog.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
     order = sorted(columns)
