@@ -20,20 +20,29 @@ ABSENT_RANK = 1000
 SENDABLE_QUERIES = 2000
 
 
-def postings(corpus: DataFrame, id_col: str = "chunk_id", text: Column | str = "embed_text") -> DataFrame:
-    """(id, term, tf, dl): term counts and document lengths. Tokens are counted before any shuffle of text."""
-    words = corpus.select(F.col(id_col).alias("id"), tokenize(F.col(text) if isinstance(text, str) else text).alias("w"))
-    return words.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+def _words(corpus: DataFrame, text: Column | str, *keep: Column) -> DataFrame:
+    return corpus.select(*keep, tokenize(F.col(text) if isinstance(text, str) else text).alias("w"))
+
+
+def postings(corpus: DataFrame, id_col: str = "chunk_id", text: Column | str = "embed_text", terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl): term counts and document lengths; with ``terms`` (column term), only of those, picked before anything is shuffled."""
+    words = _words(corpus, text, F.col(id_col).alias("id")).select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_totals(corpus: DataFrame, text: Column | str = "embed_text") -> DataFrame:
     """One row: n documents and their average length, empty ones included."""
-    return corpus.select(F.size(tokenize(F.col(text) if isinstance(text, str) else text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _words(corpus, text).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
 
 
-def idf_table(posts: DataFrame, totals: DataFrame) -> DataFrame:
-    """(term, df, idf): ln(n - df + 0.5) - ln(df + 0.5); negative values become a quarter of the mean over all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
+def idf_table(corpus: DataFrame, totals: DataFrame, text: Column | str = "embed_text") -> DataFrame:
+    """(term, df, idf): ln(n - df + 0.5) - ln(df + 0.5); negative values become a quarter of the mean over all terms.
+
+    A document's distinct terms are counted by partial sums, so a row a term and task is what is shuffled.
+    """
+    df = _words(corpus, text).select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -49,11 +58,9 @@ def sparse_search(corpus: DataFrame, queries: DataFrame, top_k: int = 20, k1: fl
 
     Only terms that occur in queries are joined; the mean idf still covers all terms.
     """
-    posts, totals = postings(corpus, id_col, text), corpus_totals(corpus, text)
+    totals = corpus_totals(corpus, text)
     asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = idf_table(posts, totals)
-    wanted = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = asked.join(idf, "term").join(wanted, "term").crossJoin(F.broadcast(totals))
+    hits = asked.join(idf_table(corpus, totals, text), "term").join(postings(corpus, id_col, text, asked), "term").crossJoin(F.broadcast(totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", F.col("id").alias(id_col)).agg(F.sum(part).alias("score"))
     if pad:

@@ -76,7 +76,7 @@ def r1(spark, sf_dir):
 @query("r2_bm25_statistics", f"WITH {b.BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def r2(spark, sf_dir):
     d = b.corpus(spark, sf_dir)
-    return retrieval.idf_table(retrieval.postings(d), retrieval.corpus_totals(d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.idf_table(d, retrieval.corpus_totals(d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r3_sparse_search", f"WITH {b.BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
