@@ -26,7 +26,7 @@ def _words(corpus: DataFrame, text: Column | str, *keep: Column) -> DataFrame:
 
 def postings(corpus: DataFrame, id_col: str = "chunk_id", text: Column | str = "embed_text", terms: DataFrame | None = None) -> DataFrame:
     """(id, term, tf, dl): term counts and document lengths; with ``terms`` (column term), only of those, picked before anything is shuffled."""
-    words = _words(corpus, text, F.col(id_col).alias("id")).select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    words = _words(corpus, text, F.col(id_col).alias("id")).select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null")  # outer: else Spark tokenizes twice, to skip empty arrays
     if terms is not None:
         words = words.join(terms.select("term").distinct(), "term", "left_semi")
     return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -42,7 +42,7 @@ def idf_table(corpus: DataFrame, totals: DataFrame, text: Column | str = "embed_
 
     A document's distinct terms are counted by partial sums, so a row a term and task is what is shuffled.
     """
-    df = _words(corpus, text).select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
+    df = _words(corpus, text).select(F.explode_outer(F.array_distinct("w")).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
