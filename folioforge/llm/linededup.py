@@ -173,14 +173,40 @@ def filters(keys: DataFrame, n_shards: int) -> DataFrame:
     return keys.select(shard_of(n_shards).alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard int, cells binary")
 
 
-def dropped_lines(lines: DataFrame, keys: DataFrame, shard_rows: int = 200_000) -> DataFrame:
-    """(id, line_no) of the lines to cut: in a repeated key, and not of its keeper."""
+def update_filters(cells: DataFrame, before: DataFrame, after: DataFrame, n_shards: int) -> DataFrame:
+    """The filters after the repeated keys changed from ``before`` to ``after``: the gone are deleted, the new inserted.
+
+    Only shards with a change are opened; their present keys go along for the case that a filter overflows and is built anew.
+    """
+    shard, same = shard_of(n_shards).alias("shard"), ["k1", "k2"]
+    gone = before.join(after, same, "left_anti").select(shard, "k1", F.lit("gone").alias("what"))
+    new = after.join(before, same, "left_anti").select(shard, "k1", F.lit("new").alias("what"))
+    changed = stored(gone.unionByName(new))
+    touched = changed.select("shard").distinct()
+    every = after.select(shard, "k1", F.lit("all").alias("what")).join(touched, "shard", "left_semi")
+
+    def update(key, old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        keys = {w: rows.loc[rows["what"] == w, "k1"].to_numpy(np.int64) for w in ("gone", "new", "all")}
+        f = CuckooFilter.from_bytes(old["cells"].iloc[0]) if len(old) else CuckooFilter()
+        if len(rows):
+            f.delete(keys["gone"])
+            try:
+                f.insert(keys["new"])
+            except OverflowError:
+                f = CuckooFilter.of(keys["all"])
+        return pd.DataFrame({"shard": [key[0]], "cells": [f.to_bytes()]})
+
+    return cells.groupBy("shard").cogroup(changed.unionByName(every).groupBy("shard")).applyInPandas(update, "shard int, cells binary")
+
+
+def dropped_lines(lines: DataFrame, keys: DataFrame, shard_rows: int = 200_000, kept_filters: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(id, line_no) of the lines to cut: in a repeated key, and not of its keeper. ``kept_filters``: filters of the keys and their number of shards, if there are."""
     keys = stored(keys)
     n_keys, n_held = keys.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    n_shards = max(8, n_keys // shard_rows * 2, n_held // shard_rows)
+    n_shards = kept_filters[1] if kept_filters else max(8, n_keys // shard_rows * 2, n_held // shard_rows)
     # lines a shard: an upper estimate is enough, and the references give it
     loads = keys.groupBy(shard_of(n_shards).alias("shard")).agg((F.sum("n_docs") / shard_rows + 1).cast("int").alias("salts"))
-    cells = filters(keys, n_shards)
+    cells = kept_filters[0] if kept_filters else filters(keys, n_shards)
     right = keys.select(shard_of(n_shards).alias("shard"), "k1", "k2", "keeper", F.lit(None).cast("binary").alias("cells")).unionByName(cells.select("shard", *[F.lit(0).cast("long").alias(c) for c in ("k1", "k2", "keeper")], "cells"))  # no nulls: pandas would turn the keys into floats
     right = right.join(loads, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     # shards without repeated keys have no load: their lines stay

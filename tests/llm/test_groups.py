@@ -44,6 +44,26 @@ def test_line_references_are_reversible(spark):
     assert {r.keeper for r in linededup.repeated(without).collect()} == {2, 3}
 
 
+def test_filters_follow_insertions_and_deletions(spark):
+    text = lambda a, b: "\n".join(f"shared line number {n}" for n in range(a, b))
+    lines = {k: linededup.keyed_lines(docs(spark, rows)) for k, rows in {"old": [(1, text(0, 60)), (2, text(20, 80))], "more": [(3, text(0, 300)), (4, text(100, 300))]}.items()}
+    refs = linededup.references(lines["old"])
+    grown = linededup.insert_documents(refs, lines["more"])
+    before, after = linededup.repeated(refs), linededup.repeated(grown)
+    start = linededup.filters(before, 3)
+    there = linededup.update_filters(start, before, after, 3)
+    back = linededup.update_filters(there, after, before, 3)
+    for cells, keys in ((there, after), (back, before)):
+        held = {r.shard: linededup.CuckooFilter.from_bytes(bytes(r.cells)) for r in cells.collect()}
+        rows = keys.select(linededup.shard_of(3).alias("shard"), "k1").collect()
+        assert all(held[r.shard].contains(np.array([r.k1]))[0] for r in rows)
+        assert sum(np.count_nonzero(f.cells) for f in held.values()) == len(rows)
+    everything = lines["old"].unionByName(lines["more"])
+    a = linededup.dropped_lines(everything, after, kept_filters=(there, 3)).collect()
+    b = linededup.dropped_lines(everything, after).collect()
+    assert sorted(a) == sorted(b) and len(a) == 320
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(-(2**62), 2**62), max_size=400), st.integers(0, 400))
 def test_cuckoo_filter(keys, n):
