@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``: five stages, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. Rows with a null id pass the filtering stages unless they are rejected on their own text.
+``documents``. Rows with one id share the fate that stages 1 and 3 give the id; rows with a null id pass these two
+and are judged on their own text in stage 4. Empty and null texts have no letters, so stage 1 rejects them.
 """
 
 from __future__ import annotations
