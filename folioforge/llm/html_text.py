@@ -8,7 +8,8 @@ or not, so that every decision sees the whole page. Scripts, styles and other un
 Training. The labeller is trained at each run on at most ``train_pages`` pages (documented bound). Their
 labels come from markup that says what it is (``article``, ``main``, ``role=main`` against ``nav``,
 ``aside``, ``footer``, ``form``, comment and advert classes ...); parts of the path are hidden at random in
-training, so that words and neighbours count too. If no page of the sample is marked so, blocks outside
+training, so that words and neighbours count too, and a second copy of the sample is strewn with markup that it
+may lack (``strewn``). If no page of the sample is marked so, blocks outside
 boilerplate markup are the teacher's main text.
 
 The text of a page: its main blocks in page order, white space runs made single spaces and trimmed,
@@ -43,7 +44,11 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 MAIN = frozenset("article main role=main".split())
 BOILERPLATE = re.compile(r"^(?:nav|aside|footer|header|form|menu|dialog|button|figcaption)$|(?:^|[-_ .#=])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|footer|header|comment\w*|repl(?:y|ies)|cookie\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|breadcrumbs?)(?:$|[-_ .])", re.I)
 
-PATH_BITS, WORD_BITS, EXTRA = 64, 64, 4
+#: Markup that training strews among the sampled pages' blocks: around boilerplate, and around main text.
+STREWN_OUT = tuple(tuple(x.split()) for x in ("aside p", "aside div", "nav li", "form label", "form p", "footer p", "header p", "section .comments p", "div .comment p", "ul .replies li", "div #comments div", "div .sidebar p", "div .cookie-notice p", "div .notice p", "div .banner div", "div .ads p", "div .advert p", "div .promo p", "div .share li", "div .related li", "div .newsletter p", "dialog p", "div .menu li", "div .breadcrumbs li"))
+STREWN_IN = tuple(tuple(x.split()) for x in ("div .content p", "section p", "div .body p", "div .text", "blockquote p", "ul li", "ol li", "h2", "h3", "figure p", "table tr td", "pre", "div .entry p"))
+
+PATH_BITS, WORD_BITS, EXTRA = 128, 64, 4
 FEATURES = PATH_BITS + WORD_BITS + EXTRA
 
 
@@ -258,6 +263,28 @@ def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None):
     return x, live, y
 
 
+def strewn(read: list[list], labels: list[np.ndarray], seed: int = 6) -> tuple[list[list], list[np.ndarray]]:
+    """Copies of the sampled pages with markup that the sample may lack: boilerplate blocks, of words from other blocks, among
+    and inside the main text, and main blocks in further wrappers. So the labeller is not lost where a site has comments in its article."""
+    rng = np.random.default_rng(seed)
+    texts = [t for b in read for _, t in b]
+    pages, marks = [], []
+    for b, y in zip(read, labels, strict=True):
+        rows = []
+        for (path, text), main in zip(b, y, strict=True):
+            if main and rng.random() < 0.3:
+                path = path[:-1] + STREWN_IN[rng.integers(len(STREWN_IN))]
+            rows.append((path, text, main))
+        stems = [p[:-1] for p, _, m in rows if m] + [("html", "body")]
+        for _ in range(rng.integers(1, 5)):
+            at = rng.integers(len(rows) + 1)
+            some = [(stems[rng.integers(len(stems))] + STREWN_OUT[rng.integers(len(STREWN_OUT))], texts[rng.integers(len(texts))], 0.0)] * rng.integers(1, 4)
+            rows[at:at] = some
+        pages.append([(p, t) for p, t, _ in rows])
+        marks.append(np.array([m for _, _, m in rows], np.float32))
+    return pages, marks
+
+
 def train(pages: DataFrame, html_col: str = "html", train_pages: int = 400, seed: int = 9, long_page: int = 400) -> BlockLabeller | None:
     """A labeller from about ``train_pages`` pages of the table; None if they hold no block."""
     rows = pages.where(F.col(html_col).isNotNull()).select(html_col)
@@ -269,7 +296,8 @@ def train(pages: DataFrame, html_col: str = "html", train_pages: int = 400, seed
     marked = any(MAIN.intersection(p) for b in read for p, _ in b)
     hasher = Hasher()
     labels = [np.array([teacher(p, marked) for p, _ in b], np.float32) for b in read]
-    return BlockLabeller().fit([hasher.vectors(b) for b in read], labels, epochs=max(8, 1600 // len(read)))
+    more, marks = strewn(read, labels)
+    return BlockLabeller().fit([hasher.vectors(b) for b in read + more], labels + marks, epochs=max(6, 1600 // len(read)))
 
 
 def label(model: BlockLabeller, pages: list[list], hasher: Hasher, budget: int = 40_000) -> list[np.ndarray]:

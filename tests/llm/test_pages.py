@@ -34,6 +34,18 @@ def test_extraction_on_held_out_pages(spark, sf):
     assert got and all(r.text == plain_article(r.html) and r.n_chars == len(r.text) for r in got)
 
 
+def test_extraction_with_markup_the_sample_lacks(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in p.where("page_id % 2 = 1 and html like '%</article>%'").collect()]
+    extra = '<section class="comments"><h3>Comments</h3><p>so true of the others</p><div class="comment"><p>and with that</p></div></section><form><label>name</label></form>'
+    bars = '<aside class="sidebar"><p>most read of the week</p></aside><div class="cookie-notice"><p>we use these</p></div>'
+    odd = [(i, u, h.replace("</article>", extra + "</article>" + bars)) for i, u, h in rows]
+    model = html_text.train(p.where("page_id % 2 = 0"))
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, odd), model=model).collect()}
+    # trained on some 25 pages only; what it strays in is a block or two
+    assert sum(got[i] == plain_article(h) for i, _, h in rows) >= 0.8 * len(rows)
+
+
 def test_blocks_of_broken_and_hidden_markup():
     read = lambda h: [t for _, t in html_text.blocks(h)]
     assert read("a<br>b <i>c</i>d") == ["a b cd"]
