@@ -23,8 +23,7 @@ from .common import map_texts
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-HEX_LONG = re.compile(r"[0-9a-f]{24,}")
+HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs: the greedy match never leaves a part of one
 
 #: Character classes: name, run of at least a window, entropy bound in bits a character.
 WINDOW = 20
@@ -70,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    spans += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
+    spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(spans)
 
 
