@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Both sides are lower-cased runs of word characters. Every n-gram of the test items is counted over all
-documents (document frequency). An item's seeds are its rare n-grams: those no more frequent than
-``rare_factor`` times the lower quartile of the item's own frequencies, so a leaked item keeps its
-seeds however many documents it leaked to, while n-grams of everyday words seed nothing. Where
-``min_seeds`` different seeds of an item fall near one another, the passage around them is aligned with the
-item by Smith-Waterman (match 2, mismatch -1, gap -1); its score over the item's best possible score is
-the similarity. A document is contaminated if any item reaches ``min_score``.
+documents (document frequency). An item's seeds are its ``rare`` least frequent n-grams that do occur, and
+those as frequent, so a leaked item keeps seeds however many documents it or an edited copy leaked to. One seed,
+or ``min_seeds`` different n-grams of an item near one another, seeds or not, have the passage around them aligned
+with the item by Smith-Waterman (match 2, mismatch -1, gap -1), unless it holds too few of the item's words to reach
+``min_score``; the score over the item's best possible score is the similarity. A document is contaminated if any
+item reaches ``min_score``. A copy that keeps no n-gram of its item (every third word replaced) is not found.
 
 Scale. No shuffle of texts and no pair table: documents stay in their tasks and the items of one block
 (``block_items`` of them, a documented bound) are what is sent to them; larger benchmarks are done block by
@@ -54,6 +54,7 @@ class Items:
                 places.setdefault(code, []).append((k, at))
         self.grams = np.array(sorted(places), np.int64)
         self.places = [places[g] for g in self.grams.tolist()]
+        self.short = any(len(t) < width for t in self.tokens)
 
     def codes(self, t: np.ndarray) -> np.ndarray:
         """Code of the n-gram at each position; below 0 where a word is unknown. Items shorter than an n-gram are padded with 0."""
@@ -94,10 +95,6 @@ class Items:
         ok = self.grams[k] == code
         return at[ok], k[ok]
 
-    @property
-    def short(self) -> bool:
-        return any(len(t) < self.width for t in self.tokens)
-
 
 def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> int:
     """The Smith-Waterman local alignment score of two token sequences, a row of the matrix at a time."""
@@ -138,22 +135,23 @@ def frequencies(docs: DataFrame, items: Items, text_col: str = "text") -> np.nda
     return out
 
 
-def rare_seeds(items: Items, df: np.ndarray, rare_factor: int = 8, floor: int = 2) -> list[list[bool]]:
-    """For each (n-gram, place) of the block's list whether it seeds its item."""
+def rare_seeds(items: Items, df: np.ndarray, rare: int = 4) -> list[list[bool]]:
+    """For each (n-gram, place) of the block's list whether it is rare for its item: by rank among those that occur."""
     own: list[list[int]] = [[] for _ in items.ids]
     for g, places in enumerate(items.places):
-        for k, _ in places:
-            own[k].append(int(df[g]))
-    limit = [max(floor, rare_factor * (sorted(x)[len(x) // 4] if x else 0)) for x in own]
-    return [[bool(df[g] <= limit[k]) for k, _ in places] for g, places in enumerate(items.places)]
+        for k in {k for k, _ in places}:
+            if df[g]:
+                own[k].append(int(df[g]))
+    limit = [sorted(x)[min(rare, len(x)) - 1] if x else 0 for x in own]
+    return [[bool(0 < df[g] <= limit[k]) for k, _ in places] for g, places in enumerate(items.places)]
 
 
-def passages(at: np.ndarray, offset: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(first start, last start, different seeds) of groups of seed hits; hits more than an item apart start a new group."""
+def passages(at: np.ndarray, offset: np.ndarray, rare: np.ndarray, reach: int) -> list[tuple[int, int, int, bool]]:
+    """(first start, last start, different n-grams, whether one is rare) of groups of hits; hits more than ``reach`` apart start a new group."""
     order = np.argsort(at, kind="stable")
-    at, offset = at[order], offset[order]
-    cuts = np.nonzero(np.diff(at) > size + 4)[0] + 1
-    return [(int(x[0]), int(x[-1]), len(np.unique(o))) for x, o in zip(np.split(at, cuts), np.split(offset, cuts), strict=True)]
+    at, offset, rare = at[order], offset[order], rare[order]
+    cuts = np.nonzero(np.diff(at) > reach)[0] + 1
+    return [(int(x[0]), int(x[-1]), len(np.unique(o)), bool(r.any())) for x, o, r in zip(np.split(at, cuts), np.split(offset, cuts), np.split(rare, cuts), strict=True)]
 
 
 def matches(items: Items, seeds: list, text: str | None, min_seeds: int = 2, min_score: float = 0.5) -> list[tuple[int, float]]:
@@ -162,20 +160,29 @@ def matches(items: Items, seeds: list, text: str | None, min_seeds: int = 2, min
     at, gram = items.hits(t)
     if not len(at):
         return []
-    by_item: dict[int, list[tuple[int, int]]] = {}
+    by_item: dict[int, list[tuple[int, int, bool]]] = {}
     for p, g in zip(at.tolist(), gram.tolist(), strict=True):
         for (k, offset), rare in zip(items.places[g], seeds[g], strict=True):
-            if rare:
-                by_item.setdefault(k, []).append((p, offset))
+            by_item.setdefault(k, []).append((p, offset, rare))
     out = []
     for k, hits in by_item.items():
         item = items.tokens[k]
         need = min(min_seeds, max(1, len(item) - items.width + 1))
+        if len(hits) < need and not any(rare for _, _, rare in hits):
+            continue
+        least = 2 * len(item) * min_score  # with m matches and e edits, 2 m - e: so at least half as many words match,
+        reach = int(3 * len(item) - least) + 1  # and the words between first and last match are no more than this
+        own = np.zeros(items.base, bool)
+        own[item] = True
+        held = np.concatenate(([0], np.cumsum(own[t])))
         best = 0
-        p, offset = np.array(hits, np.int64).T
-        for first, last, n in passages(p, offset, len(item)):
-            if n >= need:
-                best = max(best, align(item, t[max(0, first - len(item) - 8) : last + items.width + len(item) + 8]))
+        p, offset, rare = np.array(hits, np.int64).T
+        for first, last, n, seeded in passages(p, offset, rare, reach):
+            if n >= need or seeded:
+                low, high = max(0, first - reach), min(len(t), last + items.width + reach)
+                span = min(reach, high - low)
+                if 2 * int((held[low + span : high + 1] - held[low : high + 1 - span]).max()) >= least:
+                    best = max(best, align(item, t[low:high]))
         score = best / (2 * len(item))
         if score >= min_score:
             out.append((items.ids[k], score))

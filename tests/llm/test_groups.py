@@ -193,6 +193,17 @@ def test_contamination_of_a_very_common_item(spark):
     assert none.where("contaminated").count() == 0
 
 
+def test_contamination_by_edited_copies_in_many_documents(spark):
+    items = [[f"{c}{i}" for i in range(20)] for c in "abc"]
+    edited = [[f"x{i}" if i in (5, 12) else w for i, w in enumerate(x)] for x in items]
+    leaks = [edited[0]] * 300 + [items[1]] * 3 + [edited[1]] * 100 + [edited[2]] * 3 + [["c0", "c1", "c2", "other"]]
+    rows = [(i, " ".join([f"start{i}", *x, "end"])) for i, x in enumerate(leaks)]
+    got = decontaminate.contamination(docs(spark, rows), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    want = {i: [k for k, x in enumerate(items) if plain_align(t.split(), x) >= len(x)] for i, t in rows}
+    assert {r.doc_id: r["items"] for r in got} == want
+    assert sum(map(len, want.values())) == len(leaks) - 1
+
+
 def test_language_held_out_accuracy(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     train, held = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
