@@ -3,8 +3,8 @@
 A text gets the model's leading space and falls into *marked words*: a run of spaces and what follows it.
 No piece runs from a word into the next mark, so words are encoded alone, and every word once a batch. The
 distinct words of a batch are sorted, which lays out their trie in depth-first order: of the forward table
-(best score and last piece for each prefix) the rows of the prefix shared with the word before are kept,
-and only the rest is computed.
+(best score, last piece and the prefix before it) the rows of the prefix shared with the word before are kept,
+and only the rest is computed; a word's ids are read once, from its end. So the table grows with a word's length.
 
 Forward step: ``best[i] = max over pieces p ending at i of best[i - len(p)] + score(p)``. With a *unigram*
 model every piece may follow every other. With a *bpe* model (the model file in use) the file's scores
@@ -129,28 +129,32 @@ class Encoder:
     def __init__(self, table: PieceTable, remember: int = 400_000):
         self.t, self.remember = table, remember
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of the known words
         self.suffixes = {p[k:] for p in table.ids for k in range(len(p))}
-        self.ids = {p: i.to_bytes(4, "little") for p, i in table.ids.items()}
+        self.ids = {p: (p, i.to_bytes(4, "little")) for p, i in table.ids.items()}
         self.bytes = [i.to_bytes(4, "little") for i in table.byte_ids] or [table.unknown.to_bytes(4, "little")] * 256
         self.start = dict.fromkeys(table.ids, True)  # any piece may come first, or after bytes
         self.follow: dict[str, dict[str, bool]] = {}  # by piece: which may come next, as far as asked
 
     def words(self, words: set[str]) -> None:
-        """Puts the ids of all the words into ``known``. It is emptied before it outgrows ``remember`` words."""
+        """Puts the ids of all the words into ``known``. It is emptied before it outgrows ``remember`` words, or 16 times as many characters."""
         new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > self.remember:
-            self.known = {}
+        more = sum(map(len, new))
+        if len(self.known) + len(new) > self.remember or self.held + more > 16 * self.remember:
+            self.known, self.held = {}, 0
             new = sorted(words)
+            more = sum(map(len, new))
+        self.held += more
         longest, unigram, score, may = self.t.longest, self.t.kind != "bpe", self.t.score, self.t.may_follow
         ids, suffixes, follow, start, known, raw = self.ids, self.suffixes, self.follow, self.start, self.known, self.bytes
-        # for each prefix: its score, its ids, what may follow its last piece, that piece
-        best, code, after, last = [0.0], [b""], [start], [""]
+        # for each prefix: its score, its last piece with its ids, the prefix before that, what may follow
+        best, last, back, after = [0.0], [("", b"")], [0], [start]
         before = ""
         for w in new:
             keep, most = 0, min(len(w), len(before))
             while keep < most and w[keep] == before[keep]:
                 keep += 1
-            del best[keep + 1 :], code[keep + 1 :], after[keep + 1 :], last[keep + 1 :]
+            del best[keep + 1 :], last[keep + 1 :], back[keep + 1 :], after[keep + 1 :]
             for i in range(keep + 1, len(w) + 1):
                 top = None
                 for j in range(i - 1, max(-1, i - longest - 1), -1):
@@ -159,7 +163,7 @@ class Encoder:
                         break
                     ok = after[j].get(p)
                     if ok is None:
-                        ok = after[j][p] = p in ids and after[j] is not start and (unigram or may(last[j], p))
+                        ok = after[j][p] = p in ids and after[j] is not start and (unigram or may(last[j][0], p))
                     if ok:
                         s = best[j] + score[p]
                         if top is None or s > top[0]:
@@ -168,19 +172,23 @@ class Encoder:
                                 break  # of a merge-ordered model no other piece can end here
                 if top is None:
                     best.append(best[i - 1] - 1e6)
-                    code.append(code[i - 1] + b"".join(raw[x] for x in w[i - 1].encode()))
+                    last.append(("", b"".join(raw[x] for x in w[i - 1].encode())))
+                    back.append(i - 1)
                     after.append(start)  # nothing merges with bytes
-                    last.append("")
                 else:
                     s, p, j = top
                     best.append(s)
-                    code.append(code[j] + ids[p])
-                    last.append(p)
+                    last.append(ids[p])
+                    back.append(j)
                     f = follow.get(p)
                     if f is None:
                         f = follow[p] = {}
                     after.append(f)
-            known[w] = code[-1]
+            code, i = [], len(w)
+            while i:
+                code.append(last[i][1])
+                i = back[i]
+            known[w] = b"".join(reversed(code))
             before = w
 
     def texts(self, texts: list) -> list[bytes]:

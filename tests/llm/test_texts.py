@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,24 @@ def test_pieces_equal_the_library_and_decode_exactly(spark, processor, sf):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_pieces_of_a_run_of_a_million_characters(processor):
+    rng = random.Random(6)
+    runs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000)), "文字" * 20_000, " " * 50_000]
+    tracemalloc.start()
+    coded = pieces.Encoder(pieces.load()).texts(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert all(np.frombuffer(c, "<i4").tolist() == processor.encode(t) for c, t in zip(coded, runs, strict=True))
+
+
+def test_pieces_keep_a_bounded_number_of_characters():
+    e = pieces.Encoder(pieces.load(), remember=100)
+    for k in range(5):
+        e.texts([f"{k}{j}" + "x" * 400 for j in range(3)])
+    assert sum(map(len, e.known)) <= 1600
+
+
 def test_pieces_edge_cases_and_decoding(spark):
     rows = [*CASES, (9, "literal ▁ mark")]
     coded = pieces.encode(docs(spark, rows))
