@@ -9,8 +9,8 @@ Training. The labeller is trained at each run on at most ``train_pages`` pages (
 labels come from markup that says what it is (``article``, ``main``, ``role=main`` against ``nav``,
 ``aside``, ``footer``, ``form``, comment and advert classes ...); parts of the path are hidden at random in
 training, so that words and neighbours count too, and a second copy of the sample is strewn with markup that it
-may lack (``strewn``). If no page of the sample is marked so, blocks outside
-boilerplate markup are the teacher's main text.
+may lack (``strewn``). On a page that is not marked so, blocks outside boilerplate markup are the teacher's main
+text, whatever other pages hold. A long page is trained on in windows of blocks.
 
 The text of a page: its main blocks in page order, white space runs made single spaces and trimmed,
 joined by an empty line. Nothing else is cut, and pages of any length are read whole.
@@ -123,7 +123,7 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
 
 
 def teacher(path: tuple[str, ...], marked: bool) -> bool:
-    """Whether markup says that a block is main text; ``marked``: the sample has main-text markup."""
+    """Whether markup says that a block is main text; ``marked``: its page has main-text markup."""
     last = max((i for i, p in enumerate(path) if p in MAIN), default=-1)
     if marked and last < 0:
         return False
@@ -285,17 +285,36 @@ def strewn(read: list[list], labels: list[np.ndarray], seed: int = 6) -> tuple[l
     return pages, marks
 
 
+def windows(page: list, size: int, most: int, rng: np.random.Generator) -> list[list]:
+    """The page in windows of at most ``size`` blocks; of more than ``most`` windows, so many taken at random."""
+    cut = [page[at : at + size] for at in range(0, len(page), size)]
+    return cut if len(cut) <= most else [cut[k] for k in sorted(rng.choice(len(cut), most, replace=False))]
+
+
 def train(pages: DataFrame, html_col: str = "html", train_pages: int = 400, seed: int = 9, long_page: int = 400) -> BlockLabeller | None:
-    """A labeller from about ``train_pages`` pages of the table; None if they hold no block."""
+    """A labeller from about ``train_pages`` pages of the table, long ones in windows of ``long_page`` blocks; None if the table holds no block."""
     rows = pages.where(F.col(html_col).isNotNull()).select(html_col)
     n = rows.count()
     some = rows.sample(min(1.0, train_pages / max(1, n)), seed).limit(2 * train_pages) if n > train_pages else rows
-    read = [b for (h,) in some.toLocalIterator() if (b := blocks(h)) and len(b) <= long_page]  # training only: longer pages are labelled all the same
+    rng = np.random.default_rng(seed)
+    most = max(1, train_pages // max(1, n))  # windows a page, so that the windows are bounded as the pages are
+    read, labels = [], []
+
+    def learn(sample: DataFrame) -> None:
+        for (h,) in sample.toLocalIterator():
+            page = blocks(h)
+            marked = any(MAIN.intersection(p) for p, _ in page)
+            for b in windows(page, long_page, most, rng):
+                read.append(b)
+                labels.append(np.array([teacher(p, marked) for p, _ in b], np.float32))
+
+    learn(some)
+    if not read and n > train_pages:  # a sample of empty pages: whichever pages hold a block
+        holds = F.udf(lambda h: bool(blocks(h)), T.BooleanType())
+        learn(rows.where(holds(html_col)).limit(train_pages))
     if not read:
         return None
-    marked = any(MAIN.intersection(p) for b in read for p, _ in b)
     hasher = Hasher()
-    labels = [np.array([teacher(p, marked) for p, _ in b], np.float32) for b in read]
     more, marks = strewn(read, labels)
     return BlockLabeller().fit([hasher.vectors(b) for b in read + more], labels + marks, epochs=max(6, 1600 // len(read)))
 

@@ -46,6 +46,32 @@ def test_extraction_with_markup_the_sample_lacks(spark, sf):
     assert sum(got[i] == plain_article(h) for i, _, h in rows) >= 0.8 * len(rows)
 
 
+def test_extraction_of_mixed_sites(spark):
+    rng = random.Random(4)
+    word = lambda n: " ".join(rng.choice(["river", "stone", "under", "light", "walks", "paper"]) for _ in range(n))
+    bars = "<nav><ul><li>home</li><li>news</li></ul></nav>"
+    want, rows = {}, []
+    for i in range(120):
+        ps = [word(12) + "." for _ in range(4)]
+        main = "".join(f"<p>{x}</p>" for x in ps)
+        body = f"<article>{main}</article>" if i % 3 else f'<div class="content">{main}</div>'
+        rows.append((i, "u", f"<html><body>{bars}{body}<footer><p>imprint</p></footer></body></html>"))
+        want[i] = "\n\n".join(ps)
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    plain = [i for i in want if i % 3 == 0]
+    assert sum(got[i] == want[i] for i in plain) >= 0.9 * len(plain)
+    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
+
+
+def test_extraction_of_long_pages_only(spark):
+    ps = [f"sentence number {k} of a long page." for k in range(900)]
+    rows = [(i, "u", "<nav><p>menu</p></nav><article>" + "".join(f"<p>{x}</p>" for x in ps) + "</article><footer><p>imprint</p></footer>") for i in range(2)]
+    model = html_text.train(pages(spark, rows))
+    assert model is not None
+    got = html_text.extract(pages(spark, rows), model=model).first().text.split("\n\n")
+    assert len(set(ps) & set(got)) >= 890
+
+
 def test_blocks_of_broken_and_hidden_markup():
     read = lambda h: [t for _, t in html_text.blocks(h)]
     assert read("a<br>b <i>c</i>d") == ["a b cd"]
