@@ -36,17 +36,17 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 #: Fixed word lists of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mpadded menclose".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template textarea select svg math iframe object title".split())
+HIDDEN = frozenset("script style noscript template textarea select iframe title annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset("article main role=main".split())
-BOILERPLATE = re.compile(r"^(?:nav|aside|footer|header|form|menu|dialog|button|figcaption)$|(?:^|[-_ .#=])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|footer|header|comment\w*|repl(?:y|ies)|cookie\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|breadcrumbs?)(?:$|[-_ .])", re.I)
+BOILERPLATE = re.compile(r"^(?:nav|aside|footer|header|form|menu|dialog|button)$|(?:^|[-_ .#=])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|footer|header|comment\w*|repl(?:y|ies)|cookie\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|breadcrumbs?)(?:$|[-_ .])", re.I)
 
 #: Markup that training strews among the sampled pages' blocks: around boilerplate, and around main text.
 STREWN_OUT = tuple(tuple(x.split()) for x in ("aside p", "aside div", "nav li", "form label", "form p", "footer p", "header p", "section .comments p", "div .comment p", "ul .replies li", "div #comments div", "div .sidebar p", "div .cookie-notice p", "div .notice p", "div .banner div", "div .ads p", "div .advert p", "div .promo p", "div .share li", "div .related li", "div .newsletter p", "dialog p", "div .menu li", "div .breadcrumbs li"))
-STREWN_IN = tuple(tuple(x.split()) for x in ("div .content p", "section p", "div .body p", "div .text", "blockquote p", "ul li", "ol li", "h2", "h3", "figure p", "table tr td", "pre", "div .entry p"))
+STREWN_IN = tuple(tuple(x.split()) for x in ("div .content p", "section p", "div .body p", "div .text", "blockquote p", "ul li", "ol li", "h2", "h3", "figure p", "figure figcaption", "table tr td", "pre", "div .entry p"))
 
 PATH_BITS, WORD_BITS, EXTRA = 128, 64, 4
 FEATURES = PATH_BITS + WORD_BITS + EXTRA
@@ -127,7 +127,10 @@ def teacher(path: tuple[str, ...], marked: bool) -> bool:
     last = max((i for i, p in enumerate(path) if p in MAIN), default=-1)
     if marked and last < 0:
         return False
-    return not any(BOILERPLATE.search(p) for p in path[last + 1 :] if p not in MAIN) and "head" not in path
+    below = last + 1
+    while 0 < below < len(path) and path[below].startswith((".", "#", "role=")):
+        below += 1  # the main element's own attributes
+    return not any(BOILERPLATE.search(p) for p in path[below:] if p not in MAIN) and "head" not in path
 
 
 def _bucket(text: str, size: int) -> int:

@@ -91,6 +91,14 @@ def test_teacher_labels():
     assert html_text.teacher(("body", "p"), False) and not html_text.teacher(("body", "footer"), False)
 
 
+def test_captions_formulas_and_the_main_elements_own_classes():
+    assert html_text.teacher(("body", "article", "figure", "figcaption"), True)
+    assert html_text.teacher(("body", "article", ".has-sidebar", "#with-banner", "p"), True)
+    assert html_text.teacher(("body", "div", "role=main", ".with-banner", "p"), True)
+    assert not html_text.teacher(("body", "article", ".has-sidebar", "div", ".sidebar", "p"), True)
+    assert [t for _, t in html_text.blocks("<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p><svg><text>axis</text></svg>")] == ["so a=1 holds", "axis"]
+
+
 def test_lstm_gradients_match_differences():
     rng = np.random.default_rng(1)
     model = html_text.BlockLabeller(hidden=3)
