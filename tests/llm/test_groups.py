@@ -212,6 +212,13 @@ def test_language_held_out_accuracy(spark, sf):
     assert sum(r.lang == r.true for r in out) / len(out) > 0.97 and sum(r.accepted for r in out) / len(out) > 0.97
 
 
+def test_a_rare_language_is_learnt_from_a_sample(spark):
+    rows = [(i, "the other house and with", "en") for i in range(3000)] + [(5000 + i, "der und nicht haus", "de") for i in range(3000)] + [(9000, "je suis dans la maison", "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(d, max_rows=200)[0] == ["de", "en", "fr"]
+    assert langid.identify(d, max_rows=200).where("doc_id = 9000").first().text_lang == "fr"
+
+
 def test_language_fuses_evidence_and_rejects(spark):
     rng = random.Random(3)
     make = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
