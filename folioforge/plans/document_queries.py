@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell, heading_id, heading_title, norm, table_markdown
@@ -18,21 +15,12 @@ from .registry import query
 SPACE = r"'[\s\x{A0}]+'"
 
 
-def scratch(spark) -> str:
-    """A new folder in shared storage (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # --- sources and sinks ----------------------------------------------------------------------------
 
 
 @query("s1_json_lines", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def s1(spark, sf_dir):
-    path = scratch(spark)
+    path = tables.shared_dir(spark)
     c = b.table(spark, sf_dir, "conversations")
     tables.write_table(c, path, "json")
     return tables.read_table(spark, path, c.schema, "json").select("conv_id", "turn", "role", F.length("text").alias("n"))
@@ -41,7 +29,7 @@ def s1(spark, sf_dir):
 @query("s2_answer_key", f"WITH {b.QUESTIONS_SQL} SELECT CAST(query_id AS VARCHAR) AS query_id, type, question, answerable FROM questions")
 def s2(spark, sf_dir):
     """The questions written as a nested answer key and read back: two lists become one table."""
-    path = scratch(spark)
+    path = tables.shared_dir(spark)
     q = b.questions(spark, sf_dir)
     item = F.struct(F.col("query_id").cast("string").alias("id"), "type", "question", "sections")
     key = q.agg(F.collect_list(F.when(F.col("answerable"), item)).alias("questions"), F.collect_list(F.when(~F.col("answerable"), item)).alias("unanswerable_questions"))
@@ -51,14 +39,14 @@ def s2(spark, sf_dir):
 
 @query("s3_write_chunks", f"WITH {b.CHUNKS_SQL} SELECT type, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM chunks GROUP BY type")
 def s3(spark, sf_dir):
-    path = scratch(spark)
+    path = tables.shared_dir(spark)
     tables.write_table(b.chunks(spark, sf_dir), path, partition_by=["type"])
     return tables.read_table(spark, path).groupBy("type").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 @query("s4_report", "SELECT count(*) AS n_documents, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents")
 def s4(spark, sf_dir):
-    path = scratch(spark)
+    path = tables.shared_dir(spark)
     tables.write_report(b.table(spark, sf_dir, "documents").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars")), path)
     return spark.read.schema("n_documents bigint, n_chars bigint").json(path)
 
@@ -74,7 +62,7 @@ def s5(spark, sf_dir):
 
 @query("s6_payload_filter", f"WITH {b.CHUNKS_SQL} SELECT doc_id, chunk_id, n_chars FROM chunks WHERE type = 'list_item' AND section_id LIKE '%.1'")
 def s6(spark, sf_dir):
-    path = scratch(spark)
+    path = tables.shared_dir(spark)
     tables.write_table(b.chunks(spark, sf_dir), path, partition_by=["type"])
     return tables.by_payload(tables.read_table(spark, path), kind="list_item").where(F.endswith("section_id", F.lit(".1"))).select("doc_id", "chunk_id", "n_chars")
 
@@ -358,7 +346,7 @@ def g7(spark, sf_dir):
 @query("st1_answer_stream")
 def st1(spark, sf_dir):
     """User turns arrive as files and are retrieved for, micro-batch by micro-batch, against the documents."""
-    base = scratch(spark)
+    base = tables.shared_dir(spark)
     q = b.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
     tables.write_table(q, f"{base}/in")
     docs = b.corpus(spark, sf_dir)
@@ -373,7 +361,7 @@ def st1(spark, sf_dir):
 @query("st2_index_stream", f"WITH {b.CHUNKS_SQL} SELECT doc_id, chunk_id, CAST(64 AS BIGINT) AS dim FROM chunks")
 def st2(spark, sf_dir):
     """Chunks arrive as files and are embedded and stored once; a second run over the same files stores nothing more."""
-    base = scratch(spark)
+    base = tables.shared_dir(spark)
     c = b.chunks(spark, sf_dir).select("doc_id", "chunk_id", "embed_text")
     tables.write_table(c, f"{base}/in")
     for run in ("one", "two"):

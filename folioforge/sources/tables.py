@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,28 @@ _QUESTION = "struct<id:string,type:string,question:string,answer:string,sections
 ANSWER_KEY = f"questions array<{_QUESTION}>, unanswerable_questions array<{_QUESTION}>"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder path in the cluster's shared storage (``spark.checkpoint.dir``).
+
+    Where no such setting exists, a local session gets a temporary folder; a cluster's is refused, since its tasks share no such folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once into a Parquet table in shared storage: its lineage ends there."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, kind: str = "parquet") -> DataFrame:
     """A stage's table. JSON Lines are read with the given schema; blank lines are no rows."""
     reader = spark.read.schema(schema) if schema is not None else spark.read

@@ -39,6 +39,21 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_corpus_operators(tmp_path):
+    """A copy without the corpus operators still names and runs the other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(top, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'pipeline' not in q and set(o) <= set(q) and not any(n.startswith('op') for n in q) and len(q) > 70"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stderr
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, sf, duck, name):
     got = catalog.QUERIES[name](spark, sf)
