@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.tables import shared_dir, stored
+
+__all__ = ["SPACE_CHARS", "WORD", "map_texts", "remove_tables", "shared_dir", "stored", "table"]
+
 #: A word is a run of characters other than space, tab and the line controls.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -22,24 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path in the cluster's shared storage (``spark.checkpoint.dir``).
+def remove_tables(spark: SparkSession) -> None:
+    """Removes what the operators have stored in shared storage (all folders that ``shared_dir`` named below ``spark.checkpoint.dir``).
 
-    Only where no such setting exists, as in local tests, is one made and set.
+    To be called once their results have been written: results are read from those tables.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once into a Parquet table in shared storage: its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(path) if files.exists(path) else ():
+        if re.fullmatch("[0-9a-f]{32}", entry.getPath().getName()):
+            files.delete(entry.getPath(), True)
 
 
 #: Bytes of text that a task works on at a time; a longer text is a part of its own.

@@ -4,27 +4,29 @@ A line's key is the line stripped of space characters with A-Z lower-cased; keys
 ``min_chars`` code points are ignored. Keys held by two or more documents lose all their lines except
 in the smallest id holding them (its keeper).
 
-State. The *references* are one row for each (key, document): the exact table. ``counts`` sums it to
-documents a key and keeper. Inserting a batch appends references, deleting documents removes theirs, and
-both changes undo one another exactly; what a line's verdict is follows from the counts alone.
-Each hash shard of the repeated keys has a *cuckoo filter* (16-bit fingerprints, buckets of four), which
-supports insertion and deletion. A line asks its shard's filter first: most lines are unique, miss, and
-cost no exact lookup; hits are settled against the exact rows, so a false positive drops nothing.
-
-Scale. Keys travel as 128-bit hashes. Lines are dealt by (shard, salt), where a shard has as many salts
-as its line count needs, so a key on a third of all rows is spread; the filter and the repeated keys of a
-shard are what is copied to its salts. Texts are shuffled once, by id.
-
-Edge cases: null or empty text is one empty line; ids that repeat hold their lines together (a key in
-two rows of one id alone is not repeated, and all its rows are cut alike); rows with a null id hold no
-references and keep all lines; an empty table gives an empty table. Columns
-named ``n_lines`` or ``n_dropped`` are replaced; all others come through.
+State. The *references* are one row for each (key, document): the exact table. ``repeated`` sums it to
+references a key, its keeper, and whether a second document holds it. Inserting documents appends references,
+deleting documents removes theirs, and both changes undo one another exactly; what a line's verdict is follows
+from the counts alone. Each hash shard of the repeated keys has a *cuckoo filter* (16-bit fingerprints, buckets
+of four), which supports insertion and deletion. A line asks its shard's filter first: most lines are unique,
+miss, and are neither shuffled nor looked up; hits are settled against the exact rows, so a false positive drops nothing.
+
+Scale. Keys travel as 128-bit hashes, counted by partial sums: a row a key and map task is shuffled. Filters of up to
+``sent_bytes`` in all go to the tasks that read the texts, and only hits leave these; beyond that, key hashes are
+dealt to their shard's filter, a shard in as many parts of ``shard_rows`` as all its lines need. Hits on a hot key (over 1/10,000
+of all references; so there are under 10,000) meet its row where they are, the rest by a join. Texts are shuffled once.
+
+Edge cases: null or empty text is one empty line; ids may be of any type that can be ordered, and are compared in it;
+ids that repeat hold their lines together (a key in rows of one id alone is not repeated) and each row is cut by its own lines;
+equal rows are cut alike; rows with a null id hold no references and keep all lines; texts of any length are read whole;
+an empty table gives an empty table. Columns named ``n_lines`` or ``n_dropped`` are replaced; all others come through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,10 +136,15 @@ def lines_of(text: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """(id, line_no, k1, k2) for every line with a key, from whole texts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(lines_of(F.col(text_col))).alias("line_no", "line")).where("id is not null")
-    rows = rows.select("id", "line_no", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return rows.select("id", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(77), "key").alias("k2"))
+    """(id, t1, t2, line_no, k1, k2) for every line with a key, from whole texts; t1, t2 tell rows of one id apart by their texts."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), *_text_mark(text), F.posexplode(lines_of(text)).alias("line_no", "line"))
+    rows = rows.select("id", "t1", "t2", "line_no", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return rows.select("id", "t1", "t2", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(77), "key").alias("k2"))
+
+
+def _text_mark(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(78), text).alias("t2")]
 
 
 def references(lines: DataFrame) -> DataFrame:
@@ -156,8 +163,8 @@ def delete_documents(refs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def repeated(refs: DataFrame) -> DataFrame:
-    """(k1, k2, n_docs, keeper) of the keys that two or more documents hold. One row a key and map task is shuffled."""
-    return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper <> last").drop("last")
+    """(k1, k2, n_refs, keeper) of the keys that two or more documents hold, from references or from lines (n_refs counts their rows)."""
+    return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_refs"), F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper <> last").drop("last")
 
 
 def shard_of(n_shards: int) -> Column:
@@ -199,47 +206,72 @@ def update_filters(cells: DataFrame, before: DataFrame, after: DataFrame, n_shar
     return cells.groupBy("shard").cogroup(changed.unionByName(every).groupBy("shard")).applyInPandas(update, "shard int, cells binary")
 
 
-def dropped_lines(lines: DataFrame, keys: DataFrame, shard_rows: int = 200_000, kept_filters: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """(id, line_no) of the lines to cut: in a repeated key, and not of its keeper. ``kept_filters``: filters of the keys and their number of shards, if there are."""
+def screened(lines: DataFrame, cells: DataFrame, n_shards: int, sent_bytes: int = 64 << 20, shard_rows: int = 200_000) -> DataFrame:
+    """The lines whose key may be repeated: those that their shard's filter holds."""
+    cells = stored(cells)
+    at = shard_of(n_shards).alias("shard")
+    size = cells.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
+    if size <= sent_bytes:
+        sent = lines.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in cells.select("shard", "cells").toLocalIterator()})  # its size is checked above
+
+        def ask(batches):
+            known = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
+            for b in batches:
+                shard, k1 = b.column(b.num_columns - 1).to_numpy(), b.column(b.num_columns - 3).to_numpy()
+                hit = np.zeros(len(k1), bool)
+                order = np.argsort(shard, kind="stable")
+                for part in np.split(order, np.nonzero(np.diff(shard[order]))[0] + 1):
+                    if len(part) and (f := known.get(int(shard[part[0]]))) is not None:
+                        hit[part] = f.contains(k1[part])
+                yield b.filter(pa.array(hit))
+
+        asked = lines.select("id", "t1", "t2", "line_no", "k1", "k2", at)
+        return asked.mapInArrow(ask, asked.schema).drop("shard")
+    loads = stored(lines.groupBy(at).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("salts")))  # all lines of a shard, repeated or not
+    left = lines.withColumn("shard", at).join(loads, "shard")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("id", "t1", "line_no"), F.col("salts")).cast("int")).drop("salts")
+    right = cells.join(loads, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "cells")
+    schema = left.drop("shard", "salt").schema
+    names = schema.names
+
+    def settle(key, held, known):
+        held = held.select(names)
+        if not held.num_rows or not known.num_rows:
+            return held.slice(0, 0)
+        return held.filter(pa.array(CuckooFilter.from_bytes(known.column("cells")[0].as_py()).contains(held.column("k1").to_numpy())))
+
+    return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(settle, schema)
+
+
+def shards_for(n_keys: int, shard_keys: int = 100_000) -> int:
+    return max(8, -(-n_keys // shard_keys))
+
+
+def dropped_lines(lines: DataFrame, keys: DataFrame, kept_filters: tuple[DataFrame, int] | None = None, **screen) -> DataFrame:
+    """(id, t1, t2, line_no) of the lines to cut: in a repeated key, and not of its keeper. ``kept_filters``: filters of the keys and their number of shards, if there are."""
     keys = stored(keys)
-    n_keys, n_held = keys.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    n_shards = kept_filters[1] if kept_filters else max(8, n_keys // shard_rows * 2, n_held // shard_rows)
-    # lines a shard: an upper estimate is enough, and the references give it
-    loads = keys.groupBy(shard_of(n_shards).alias("shard")).agg((F.sum("n_docs") / shard_rows + 1).cast("int").alias("salts"))
-    cells = kept_filters[0] if kept_filters else filters(keys, n_shards)
-    right = keys.select(shard_of(n_shards).alias("shard"), "k1", "k2", "keeper", F.lit(None).cast("binary").alias("cells")).unionByName(cells.select("shard", *[F.lit(0).cast("long").alias(c) for c in ("k1", "k2", "keeper")], "cells"))  # no nulls: pandas would turn the keys into floats
-    right = right.join(loads, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    # shards without repeated keys have no load: their lines stay
-    left = lines.withColumn("shard", shard_of(n_shards)).join(F.broadcast(loads) if n_shards <= 100_000 else loads, "shard")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("id", "line_no"), F.col("salts")).cast("int")).drop("salts")
-
-    def settle(key, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": np.empty(0, np.int64), "line_no": np.empty(0, np.int32)})
-        if not len(held) or not len(known):
-            return none
-        seen = CuckooFilter.from_bytes(known["cells"].dropna().iloc[0]).contains(held["k1"].to_numpy(np.int64))
-        held = held[seen]
-        exact = known.loc[known["cells"].isna(), ["k1", "k2", "keeper"]].astype(np.int64)
-        hit = held.merge(exact, on=["k1", "k2"])
-        hit = hit[hit["id"] != hit["keeper"]]
-        return hit[["id", "line_no"]] if len(hit) else none
-
-    return left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(settle, "id long, line_no int")
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_rows: int = 200_000) -> DataFrame:
+    n_keys, n_refs = keys.agg(F.count("*"), F.coalesce(F.sum("n_refs"), F.lit(0))).first()
+    n_shards = kept_filters[1] if kept_filters else shards_for(n_keys)
+    hits = screened(lines, kept_filters[0] if kept_filters else filters(keys, n_shards), n_shards, **screen)
+    hot = F.broadcast(keys.where(F.col("n_refs") * 10_000 > n_refs).select("k1", "k2", F.col("keeper").alias("hot_keeper")))  # under 10,000 rows
+    told = hits.join(hot, ["k1", "k2"], "left")
+    here = told.where("hot_keeper <> id").select("id", "t1", "t2", "line_no")
+    rest = told.where("hot_keeper is null").join(keys.where(F.col("n_refs") * 10_000 <= n_refs).select("k1", "k2", "keeper"), ["k1", "k2"]).where("keeper <> id")
+    return here.unionByName(rest.select("id", "t1", "t2", "line_no"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, **screen) -> DataFrame:
     """docs with the text cut, and ``n_lines`` (before), ``n_dropped``."""
-    lines = stored(keyed_lines(docs, id_col, text_col, min_chars))
-    cut = dropped_lines(lines, repeated(references(lines)), shard_rows)
-    return cut_lines(docs, cut, id_col, text_col)
+    lines = keyed_lines(docs, id_col, text_col, min_chars)
+    return cut_lines(docs, dropped_lines(lines, repeated(lines), **screen), id_col, text_col)
 
 
 def cut_lines(docs: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs (whose columns travel as one struct, so that no name can clash) without the lines of ``cut``."""
-    drops = cut.distinct().groupBy("id").agg(F.collect_list("line_no").alias("drops"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(drops, F.col("row")[id_col] == F.col("id"), "left")
-    packed = joined.select(F.col("row").dropFields(text_col).alias("row") if len(docs.columns) > 1 else F.lit(None).alias("row"), F.struct(F.col("row")[text_col].alias("text"), "drops").alias("packed"))
+    drops = cut.groupBy("id", "t1", "t2").agg(F.collect_set("line_no").alias("drops"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("r"), *_text_mark(F.col(f"`{text_col}`")))
+    joined = rows.join(drops.toDF("d", "d1", "d2", "drops"), (F.col("r") == F.col("d")) & (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left")
+    packed = joined.select(F.col("row").dropFields(f"`{text_col}`").alias("row") if len(docs.columns) > 1 else F.lit(None).alias("row"), F.struct(F.col("row")[text_col].alias("text"), "drops").alias("packed"))
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def task():
@@ -255,11 +287,39 @@ def cut_lines(docs: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> Da
     return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
+def _digested(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return _digested(dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def incremental(spark, sf_dir: str) -> DataFrame:
+    """The same verdicts by way of changes: documents of odd ids are inserted after those of even ids, then a third is deleted and inserted anew.
+
+    References and filters are carried along; in the end every document is held, so the result is that of a single pass.
+    """
+    from .common import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    odd, third = F.col("doc_id") % 2 != 0, F.col("doc_id") % 3 == 0
+    refs = stored(references(keyed_lines(docs.where(~odd))))
+    keys = stored(repeated(refs))
+    n_shards = shards_for(keys.count())
+    cells = stored(filters(keys, n_shards))
+
+    def changed(new_refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        new_refs = stored(new_refs)
+        new_keys = stored(repeated(new_refs))
+        return new_refs, new_keys, stored(update_filters(cells, keys, new_keys, n_shards))
+
+    refs, keys, cells = changed(insert_documents(refs, keyed_lines(docs.where(odd))))
+    refs, keys, cells = changed(delete_documents(refs, docs.where(third).select(F.col("doc_id").alias("id"))))
+    refs, keys, cells = changed(insert_documents(refs, keyed_lines(docs.where(third))))
+    return _digested(cut_lines(docs, dropped_lines(keyed_lines(docs), keys, (cells, n_shards)), "doc_id", "text"))
 
 
 OP3_SQL = r"""

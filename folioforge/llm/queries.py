@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_language_id": langid.op9,
     "op10_pii": pii.op10,
+    "line_dedup_incremental": linededup.incremental,
     "language_id_of_pages": langid.pages_language,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
+    "line_dedup_incremental": linededup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
 }

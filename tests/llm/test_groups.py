@@ -26,9 +26,32 @@ def test_line_dedup_matches_plain_version(spark):
     rng = random.Random(1)
     rows = [(i, "\n".join(rng.choice(LINES).format(rng.randint(0, 99)) for _ in range(rng.randint(0, 8)))) for i in range(80)]
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "the first shared line\n" * 3000), (None, "the first shared line"), (204, "only in these rows of one id"), (204, "only in these rows of one id")]
-    got = linededup.dedup(docs(spark, rows), shard_rows=20).collect()
-    have = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got), key=repr)
-    assert have == sorted(plain_dedup(rows), key=repr)
+    rows += [(205, "one text of an id\nthe first shared line"), (205, "unique line number 7\nthe first shared line\nan entirely other row"), (206, "an entirely other row")]
+    for screen in ({}, {"sent_bytes": 0, "shard_rows": 20}):
+        got = linededup.dedup(docs(spark, rows), **screen).collect()
+        have = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got), key=repr)
+        assert have == sorted(plain_dedup(rows), key=repr)
+        named = [(None if i is None else f"doc-{i}", t) for i, t in rows]
+        got = linededup.dedup(docs(spark, named, "doc_id string, text string"), **screen).collect()
+        have = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got), key=repr)
+        assert have == sorted(plain_dedup(named), key=repr)
+
+
+def test_lines_are_dealt_in_bounded_parts(spark):
+    """Unique lines only: no filter holds any, and the parts of a shard follow all its lines."""
+    rows = [(i, "\n".join(f"unique line {i} {k}" for k in range(50))) for i in range(40)]
+    lines = linededup.keyed_lines(docs(spark, rows))
+    assert linededup.repeated(lines).count() == 0 and linededup.dropped_lines(lines, linededup.repeated(lines), sent_bytes=0, shard_rows=30).count() == 0
+    shards = lines.groupBy(linededup.shard_of(8)).count().collect()
+    assert all(-(-r["count"] // 30) >= 2 for r in shards)
+    cells = linededup.filters(lines.where("id = 3"), 8)
+    for way in ({}, {"sent_bytes": 0, "shard_rows": 30}):
+        hits = linededup.screened(lines, cells, 8, **way).collect()
+        assert {r.line_no for r in hits if r.id == 3} == set(range(50)) and len(hits) < 80
+
+
+def test_incremental_line_dedup_equals_a_single_pass(spark, sf):
+    assert sorted(linededup.incremental(spark, sf).collect()) == sorted(linededup.op3(spark, sf).collect())
 
 
 def test_line_references_are_reversible(spark):
@@ -59,7 +82,7 @@ def test_filters_follow_insertions_and_deletions(spark):
         assert all(held[r.shard].contains(np.array([r.k1]))[0] for r in rows)
         assert sum(np.count_nonzero(f.cells) for f in held.values()) == len(rows)
     everything = lines["old"].unionByName(lines["more"])
-    a = linededup.dropped_lines(everything, after, kept_filters=(there, 3)).collect()
+    a = linededup.dropped_lines(everything, after, (there, 3)).collect()
     b = linededup.dropped_lines(everything, after).collect()
     assert sorted(a) == sorted(b) and len(a) == 320
 
