@@ -24,8 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated over documents go from the texts; every document stays, if only with an empty text."""
     cut = linededup.dedup(docs)
-    changed = F.col("n_dropped") > 0
-    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, n).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
