@@ -190,9 +190,29 @@ def test_merge_is_global_over_many_runs_and_ranges(spark, tmp_path):
     assert keys == sorted(keys) and len(out) == 500
 
 
+def test_archives_of_any_ids(spark, tmp_path):
+    """Null, huge, negative, repeated and text ids; line breaks in addresses; ties."""
+    body = "<p>the same payload</p>" * 9
+    rows = [(None, "http://e.org/a", body), (2**63 - 1, "http://e.org/a", body), (-(2**63), "http://e.org/b\nc", body), (-(2**63), "http://e.org/b\nc", body), (7, None, "only here" * 40), (None, None, None), (None, None, None), (None, "x", "none has an id" * 20), (None, "y", "none has an id" * 20), (8, "http://e.org/t", "\r\r\n\r\n" + "\r\n\r" * 60), (9, "http://e.org/u", "line ends\r\n" * 20), (10, "http://e.org/v", "\r\n" * 80), (11, "http://e.org/w", "x\r\n\r")]
+    out = warc.archive(pages(spark, rows), f"{tmp_path}/w").collect()
+    low = -(2**63)
+    told = sorted(((r.id, r.url, r.record_type, r.refers_to) for r in out), key=repr)
+    assert told == sorted([(None, "http://e.org/a", "revisit", low), (2**63 - 1, "http://e.org/a", "revisit", low), (low, "http://e.org/b c", "response", None), (low, "http://e.org/b c", "response", None), (7, "", "response", None), (None, "", "response", None), (None, "", "response", None), (None, "x", "response", None), (None, "y", "response", None), *((i, f"http://e.org/{c}", "response", None) for i, c in ((8, "t"), (9, "u"), (10, "v"), (11, "w")))], key=repr)
+    assert next(r.url_key for r in out if r.id == low) == "org,e)/b c"
+    named = spark.createDataFrame([("b", "http://e.org/1", body), ("a", "http://e.org/2", body), (None, "u", "short")], "name string, url string, html string")
+    got = {r.id: (r.record_type, r.refers_to) for r in warc.archive(named, f"{tmp_path}/n", id_col="name").collect()}
+    assert got == {"a": ("response", None), "b": ("revisit", "a"), None: ("response", None)}
+
+
+def test_ranges_follow_the_rows(spark, tmp_path):
+    rows = [(i, "http://one.org/", f"<p>{i}</p>" * 20) for i in range(300)]
+    warc.write(pages(spark, rows).repartition(4), f"{tmp_path}/w")
+    out = warc.merge_runs(warc.read_runs(spark, f"{tmp_path}/w"), range_rows=50)
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 120
+    assert [r.id for r in out.orderBy("position").collect()] == list(range(300))
+
+
 def test_empty_archive_and_damage(spark, tmp_path):
     assert warc.archive(pages(spark, []), f"{tmp_path}/e").count() == 0
-    import gzip
-
     with pytest.raises(ValueError):
-        list(warc.parse(gzip.compress(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc")))
+        list(warc.parse(iter([b"WARC/1.1\r\nContent-Length: 30", b"abc"])))
