@@ -2,11 +2,14 @@
 
 Base kinds (leftmost, non-overlapping within a kind): ``assign``, ``access``, ``hex``. The method adds
 spans of kind ``entropy``: in every run of a character class, a window of fixed width slides with
-incrementally updated character counts; windows above the class's entropy bound are joined to spans.
-Runs that match the allow-list, that lack a digit or a letter, or that touch a base span, add nothing.
+incrementally updated character counts; windows above the class's entropy bound that touch one another are one span.
+What a base span, an allowed part or an earlier class's span covers is cut out of a run first, and the rest of the run
+is searched piece by piece. Pieces of the mixed classes need a digit and a letter.
 
 Edge cases: a null text is an empty one (no spans, digest of the empty string). Offsets are code points,
-ends exclusive. Repeated rows are scanned one by one; an empty table gives an empty table.
+ends exclusive. Where classes overlap, the first in the list has the span. Repeated rows are scanned one by one; texts and
+runs of any length are read whole, in time that grows with them; an empty table gives an empty table. Columns named like
+the results are replaced; all others come through.
 """
 
 from __future__ import annotations
@@ -25,31 +28,34 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs: the greedy match never leaves a part of one
 
-#: Character classes: name, run of at least a window, entropy bound in bits a character.
+#: Character classes: name, run of at least a window, entropy bound in bits a character, whether a piece needs a digit and a letter.
 WINDOW = 20
 CLASSES = (
-    ("upper_hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-F]{24,}(?![A-Za-z0-9])"), 3.0),
-    ("base64", re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"), 3.7),
-    ("base64url", re.compile(r"[A-Za-z0-9_-]{20,}"), 3.7),
+    ("upper_hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-F]{24,}(?![A-Za-z0-9])"), 3.0, True),
+    ("base64", re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"), 3.7, True),
+    ("base64url", re.compile(r"[A-Za-z0-9_-]{20,}"), 3.7, True),
+    ("lower", re.compile(r"(?<![A-Za-z])[a-z]{32,}(?![A-Za-z])"), 3.9, False),
+    ("digits", re.compile(r"(?<![A-Za-z0-9.])[0-9]{20,}(?![A-Za-z0-9.])"), 3.1, False),
 )
-#: Runs that look random but are no secrets.
-ALLOWED = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|sha(?:1|256|384|512)-.*|.*(?:EXAMPLE|example|abcdefgh|0123456789|xxxx).*|https?.*")
+#: Parts of runs that look random but are no secrets: UUIDs, integrity digests, sample values, placeholders, alphabets.
+ALLOWED = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])|sha(?:1|256|384|512)-[A-Za-z0-9+/=_-]+|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|EXAMPLE|example|abcdefgh|0123456789|x{4,}")
 
 _CLOGC = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
-def hot_windows(run: str, bound: float, width: int = WINDOW) -> tuple[int, int] | None:
-    """Start and end within the run of the union of windows with entropy of at least ``bound``; counts are kept incrementally."""
+def hot_windows(run: str, bound: float, width: int = WINDOW) -> list[tuple[int, int]]:
+    """Start and end within the run of each group of touching windows with entropy of at least ``bound``; counts are kept incrementally."""
     if len(run) < width:
-        return None
+        return []
     counts: dict[str, int] = {}
     total = 0.0  # sum of c log2 c
     for ch in run[:width]:
         c = counts.get(ch, 0)
         total += _CLOGC[c + 1] - _CLOGC[c]
         counts[ch] = c + 1
-    limit = width * (log2(width) - bound)
-    first = last = None
+    limit = width * (log2(width) - bound) + 1e-9
+    groups: list[tuple[int, int]] = []
+    first = last = -1
     for i in range(len(run) - width + 1):
         if i:
             c = counts[run[i - 1]]
@@ -58,10 +64,15 @@ def hot_windows(run: str, bound: float, width: int = WINDOW) -> tuple[int, int]
             c = counts.get(run[i + width - 1], 0)
             total += _CLOGC[c + 1] - _CLOGC[c]
             counts[run[i + width - 1]] = c + 1
-        if total <= limit + 1e-9:
-            first = i if first is None else first
+        if total <= limit:
+            if i > last:  # no window of the group before reaches this one
+                if last >= 0:
+                    groups.append((first, last))
+                first = i
             last = i + width
-    return None if first is None else (first, last)
+    if last >= 0:
+        groups.append((first, last))
+    return groups
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,17 +84,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def uncovered(start: int, end: int, covers: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of start to end that no cover (sorted) meets, and the first cover that may meet what lies further on."""
+    while at < len(covers) and covers[at][1] <= start:
+        at += 1
+    out, k = [], at
+    while start < end:
+        while k < len(covers) and covers[k][1] <= start:
+            k += 1
+        stop = min(end, max(start, covers[k][0])) if k < len(covers) else end
+        if stop > start:
+            out.append((start, stop))
+        start = covers[k][1] if k < len(covers) and covers[k][0] < end else end
+    return out, at
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
-    for _, runs, bound in CLASSES:
+    covers: list[tuple[int, int]] | None = None  # made when the first run is met
+    for _, runs, bound, mixed in CLASSES:
+        at, own = 0, []
         for m in runs.finditer(text):
-            run = m.group()
-            if not any(map(str.isdigit, run)) or run.isdigit() or not any(map(str.isalpha, run)) or ALLOWED.fullmatch(run):
-                continue
-            if any(s < m.end() and m.start() < e for s, _, e in base) or any(s < m.end() and m.start() < e for s, _, e in found):
-                continue
-            if hot := hot_windows(run, bound):
-                found.append((m.start() + hot[0], 3, m.start() + hot[1]))
+            if covers is None:
+                covers = merged([(s, e) for s, _, e in base] + [a.span() for a in ALLOWED.finditer(text)])
+            parts, at = uncovered(m.start(), m.end(), covers, at)
+            for start, end in parts:
+                piece = text[start:end]
+                if end - start < WINDOW or (mixed and not (any(map(str.isdigit, piece)) and any(map(str.isalpha, piece)))):
+                    continue
+                own += [(start + a, start + b) for a, b in hot_windows(piece, bound)]
+        if own:
+            found += [(a, 3, b) for a, b in own]
+            covers = merged(covers + own)
     return found
 
 

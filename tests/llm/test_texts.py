@@ -87,14 +87,96 @@ def test_entropy_windows_are_incremental():
         run = "".join(rng.choice("abcdefgh0123"[: rng.randint(2, 12)]) for _ in range(rng.randint(5, 60)))
         entropy = lambda w: -sum(w.count(c) / 20 * log2(w.count(c) / 20) for c in set(w))
         hot = [i for i in range(len(run) - 19) if entropy(run[i : i + 20]) >= 3.0 - 1e-9]
-        assert secrets.hot_windows(run, 3.0) == ((hot[0], hot[-1] + 20) if hot else None)
+        assert secrets.hot_windows(run, 3.0) == plain_groups(hot)
+
+
+def plain_groups(hot):
+    """Spans of hot windows (starts); windows that touch are one."""
+    out = []
+    for i in hot:
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], i + 20)
+        else:
+            out.append((i, i + 20))
+    return out
+
+
+def plain_scan(text):
+    """The whole scan on sets of characters' places, with nothing kept incrementally."""
+    from math import log2
+
+    text = text or ""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    covered = [False] * len(text)
+
+    def cover(s, e):
+        covered[s:e] = [True] * (e - s)
+
+    for s, _, e in base:
+        cover(s, e)
+    for m in secrets.ALLOWED.finditer(text):
+        cover(*m.span())
+    found = []
+    for _, runs, bound, mixed in secrets.CLASSES:
+        own = []
+        for m in runs.finditer(text):
+            free = [i for i in range(*m.span()) if not covered[i]]
+            pieces = []
+            for i in free:
+                if pieces and pieces[-1][1] == i:
+                    pieces[-1][1] = i + 1
+                else:
+                    pieces.append([i, i + 1])
+            for s, e in pieces:
+                p = text[s:e]
+                if mixed and not (any(c.isdigit() for c in p) and any(c.isalpha() for c in p)):
+                    continue
+                entropy = lambda w: -sum(w.count(c) / 20 * log2(w.count(c) / 20) for c in set(w))
+                own += [(s + a, s + b) for a, b in plain_groups([i for i in range(len(p) - 19) if entropy(p[i : i + 20]) >= bound - 1e-9])]
+        for s, e in own:
+            cover(s, e)
+        found += [(s, 3, e) for s, e in own]
+    said = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    kinds = [k for _, k, _ in base]
+    return [kinds.count(0), kinds.count(1), kinds.count(2), len(found), hashlib.sha256(said(base).encode()).hexdigest(), said(base + found)]
+
+
+def test_secret_scan_matches_plain_version(spark, sf):
+    rng = random.Random(9)
+    letters = "ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    bits = ["token=", "AKIA", "EXAMPLE", "0123456789", "xxxx", " ", "\n", "sha256-", "123e4567-e89b-12d3-a456-426614174000", "é", "="]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(100_000 + i, "".join(rng.choice(bits) if rng.random() < 0.3 else "".join(rng.choice(letters[: rng.choice([6, 32, 46])]) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 12)))) for i in range(400)] + [(200_000, None)]
+    got = secrets.scan(docs(spark, rows)).collect()
+    names = ["n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"]
+    assert {r.doc_id: [r[n] for n in names] for r in got} == {i: plain_scan(t) for i, t in rows}
+    assert sum(r.n_entropy for r in got) > 100
+
+
+def test_secret_scan_of_five_megabytes_of_spans():
+    import time
+
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("ABCdefghijklmnop0123456789+/") for _ in range(n))
+    text = " ".join(rng.choice([f"password={word(12)}", word(40), "deadbeef" * 4]) for _ in range(150_000))
+    at = time.perf_counter()
+    base = secrets.base_spans(text)
+    assert len(text) > 4_000_000 and len(base) + len(secrets.entropy_spans(text, base)) > 100_000
+    assert time.perf_counter() - at < 60
 
 
 def test_entropy_finds_random_and_leaves_the_allowed(spark):
     key = "kJ8sPq2LmZx7Vw4TnB6yRc3HgD9f"
     rows = [(1, f"key {key} end"), (2, "id 123e4567-e89b-12d3-a456-426614174000"), (3, "4111111111111111111111"), (4, "averyveryverylongwordwithoutdigits"), (5, "EXAMPLE" + key)]
+    rows += [(6, key + "0123456789" + key), (7, key + "a" * 40 + key), (8, "AWS_SECRET wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (9, "n 48213097561930284756 end"), (10, "qwhzmfkbxvtnjcpyrgdlsaoeiuqzkwmv")]
     r = {x.doc_id: x for x in secrets.scan(docs(spark, rows)).collect()}
-    assert r[1].spans == f"entropy:4:{4 + len(key)}" and [r[k].n_entropy for k in (2, 3, 4, 5)] == [0, 0, 0, 0]
+    n = len(key)
+    assert r[1].spans == f"entropy:4:{4 + n}" and [r[k].n_entropy for k in (2, 3, 4, 8)] == [0, 0, 0, 0]
+    assert r[5].spans == f"entropy:7:{7 + n}"  # only the allowed part is left out
+    assert r[6].spans == f"entropy:0:{n},entropy:{n + 10}:{2 * n + 10}"
+    assert r[7].n_entropy == 2 and r[9].n_entropy == r[10].n_entropy == 1
 
 
 def plain_feistel(x, a, b, key, tweak):
