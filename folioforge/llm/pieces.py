@@ -17,7 +17,8 @@ Characters that no piece holds become the UTF-8 byte pieces. A literal U+2581 in
 too, so that decoding is exact for every text (the library would return a space).
 
 Edge cases: a null or empty text has no pieces; decoding gives "" for both, and ``round_trip`` compares
-with the empty text. Repeated rows, long texts and words without spaces are encoded whole.
+with the empty text. Repeated rows, long texts and words without spaces are encoded whole. Equal sums (unigram) go to the shorter
+last piece. An empty table gives an empty table. Columns named like the results are replaced; all others come through.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class PieceTable:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], kind: str = "bpe", unknown: int = 0):
         self.kind, self.byte_ids, self.unknown = kind, byte_ids, unknown
         self.longest = max(map(len, pieces), default=1)
-        if any(" " in p.lstrip(" ") for p in pieces):
+        if any(" " in p.lstrip(" ") or ("\n" in p and p != "\n") for p in pieces):
             raise ValueError("a piece crosses a word mark: words cannot be encoded alone")
         self.score = {p: s for p, (_, s) in pieces.items()}
         self.ids = {p: i for p, (i, _) in pieces.items()}
@@ -110,7 +111,7 @@ class PieceTable:
                 j += 1
 
 
-def load(model_file: str = "/opt/tokenizers/piece_bpe_32k.model", kind: str = "bpe") -> PieceTable:
+def load(model_file: str, kind: str = "bpe") -> PieceTable:
     """The table of a SentencePiece model file; read on the driver and sent to the tasks (the vocabulary bounds its size)."""
     from sentencepiece import SentencePieceProcessor
 
@@ -126,7 +127,7 @@ load = cache(load)
 class Encoder:
     """Encodes sorted distinct words over one forward table that shrinks to each shared prefix."""
 
-    def __init__(self, table: PieceTable, remember: int = 400_000):
+    def __init__(self, table: PieceTable, remember: int = 250_000):
         self.t, self.remember = table, remember
         self.known: dict[str, bytes] = {}
         self.held = 0  # characters of the known words
@@ -134,7 +135,7 @@ class Encoder:
         self.ids = {p: (p, i.to_bytes(4, "little")) for p, i in table.ids.items()}
         self.bytes = [i.to_bytes(4, "little") for i in table.byte_ids] or [table.unknown.to_bytes(4, "little")] * 256
         self.start = dict.fromkeys(table.ids, True)  # any piece may come first, or after bytes
-        self.follow: dict[str, dict[str, bool]] = {}  # by piece: which may come next, as far as asked
+        self.follow: dict[str, dict[str, bool]] = {}  # by piece: which may come next, as far as asked; emptied with ``known`` once it is large
 
     def words(self, words: set[str]) -> None:
         """Puts the ids of all the words into ``known``. It is emptied before it outgrows ``remember`` words, or 16 times as many characters."""
@@ -144,6 +145,8 @@ class Encoder:
             self.known, self.held = {}, 0
             new = sorted(words)
             more = sum(map(len, new))
+            if sum(map(len, self.follow.values())) > 2 * self.remember:
+                self.follow = {}
         self.held += more
         longest, unigram, score, may = self.t.longest, self.t.kind != "bpe", self.t.score, self.t.may_follow
         ids, suffixes, follow, start, known, raw = self.ids, self.suffixes, self.follow, self.start, self.known, self.bytes
@@ -219,9 +222,9 @@ def decode_ids(table: PieceTable, ids) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: PieceTable | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: PieceTable, text_col: str = "text") -> DataFrame:
     """docs with ``ids`` (array<int>), ``n_tokens``, ``ids_sha256`` (of the little-endian int32 ids) and ``round_trip``."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bare(model or load()))
+    sent = docs.sparkSession.sparkContext.broadcast(_bare(model))
 
     def task():
         table = sent.value
@@ -246,9 +249,9 @@ def encode(docs: DataFrame, text_col: str = "text", model: PieceTable | None = N
     return map_texts(docs, text_col, task, fields)
 
 
-def decode(coded: DataFrame, ids_col: str = "ids", model: PieceTable | None = None, text_col: str = "text") -> DataFrame:
+def decode(coded: DataFrame, model: PieceTable, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """coded with the text of its ids; a null list gives an empty text."""
-    sent = coded.sparkSession.sparkContext.broadcast(_bare(model or load()))
+    sent = coded.sparkSession.sparkContext.broadcast(_bare(model))
 
     def task():
         table = sent.value
@@ -257,7 +260,11 @@ def decode(coded: DataFrame, ids_col: str = "ids", model: PieceTable | None = No
     return map_texts(coded, ids_col, task, [T.StructField(text_col, T.StringType())])
 
 
+#: The public tokenizer's model file that the registered queries take.
+QUERY_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("n_tokens"), "ids", "ids_sha256", "round_trip")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), load(QUERY_MODEL)).select("doc_id", F.col("n_tokens"), "ids", "ids_sha256", "round_trip")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import pieces, pii, quality, secrets
 
+MODEL = pieces.load("/opt/tokenizers/piece_bpe_32k.model")
 WS = re.compile(r"[\x20\x09-\x0D]+")
 LONG = "word " * 60_000 + "end"
 CASES = [(1, "alpha beta"), (2, None), (3, ""), (4, "\n\n"), (5, LONG), (6, "alpha beta"), (6, "alpha beta"), (None, "null id"), (7, "a b c d e a b c d e x"), (8, "nbsp here   line")]
@@ -213,6 +214,124 @@ def test_pii_formats_links_and_inverse(spark):
     assert [r.text for r in back] == [x[1] for x in rows[:5]]
 
 
+def plain_digits(d, tweak):
+    half = len(d) // 2
+    left, right, a, b = int(d[:half] or 0), int(d[half:]), 10**half, 10 ** (len(d) - half)
+    x = plain_feistel(left * b + right, a, b, "k", tweak)
+    return f"{x:0{len(d)}d}"
+
+
+def plain_refill(shape, chars, fixed=lambda c: not ("0" <= c <= "9")):
+    it = iter(chars)
+    return "".join(c if fixed(c) else next(it) for c in shape)
+
+
+def plain_value(v):
+    """The pseudonym of a value that is no card, or None."""
+    import datetime
+
+    d = re.sub(r"[^0-9]", "", v)
+    starts = [x for x in (" ".join(v.split(" ")[: len(v.split(" ")) - k]) for k in range(4)) if x]
+    if "@" in v:
+        mark = int(hashlib.sha256(f"k|mail|{v.lower()}".encode()).hexdigest()[:10], 16)
+        return f"user-{plain_feistel(mark, 1 << 20, 1 << 20, 'k', 'mail'):010x}@{v.rpartition('@')[2]}"
+    if v[0].isalpha():
+        mod = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
+        for x in starts:
+            n = x.replace(" ", "")
+            if 15 <= len(n) <= 34 and mod(n[4:] + n[:4]) == 1:
+                new = plain_refill(n[4:], plain_digits(re.sub(r"[^0-9]", "", n[4:]), "iban"))
+                return plain_refill(x, f"{n[:2]}{98 - mod(new + n[:2] + '00'):02d}{new}", lambda c: c == " ") + v[len(x) :]
+        return None
+    for pattern, form in ((r"\d{4}-\d\d-\d\d", "%Y-%m-%d"), (r"\d\d\.\d\d\.\d{4}", "%d.%m.%Y"), (r"\d\d/\d\d/\d{4}", "%m/%d/%Y")):
+        if re.fullmatch(pattern, v):
+            try:
+                at = (datetime.datetime.strptime(v, form).date() - datetime.date(1800, 1, 1)).days
+            except ValueError:
+                return None
+            return (datetime.date(1800, 1, 1) + datetime.timedelta(plain_feistel(at, 189, 773, "k", "date"))).strftime(form) if 0 <= at < 189 * 773 else None
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
+        area, group, serial = int(v[:3]), int(v[4:6]), int(v[7:])
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return None
+        left, right = divmod(plain_feistel(((area - 2 if area > 666 else area - 1) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "k", "ssn"), 9999)
+        return f"{left // 99 + (2 if left // 99 >= 665 else 1):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+    if re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", v):
+        octets = [int(x) for x in v.split(".")]
+        if max(octets) > 255:
+            return None
+        n = plain_feistel(int.from_bytes(bytes(octets), "big"), 65536, 65536, "k", "ip")
+        return ".".join(map(str, n.to_bytes(4, "big")))
+    if re.fullmatch(pii.PHONE_US, v, re.A):
+        return plain_refill(v, d[:-10] + plain_digits(d[-10:], "phone"))
+    for x in starts:
+        e = re.sub(r"[^0-9]", "", x)
+        if 8 <= len(e) <= 15:
+            code = re.match(r"\+(\d{1,3})(?=[^0-9])", v)
+            kept = 1 if v[0] == "0" else len(code[1]) if code else 2
+            return plain_refill(x, e[:kept] + plain_digits(e[kept:], "phone")) + v[len(x) :]
+    return None
+
+
+def plain_cards(run):
+    """(start, end) of the cards of a run, by trying every window of groups."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+", run)]
+    windows = {}
+    for i in range(len(groups)):
+        for j in range(i, min(len(groups), i + 7)):
+            w = run[groups[i][0] : groups[j][1]]
+            d = re.sub(r"[^0-9]", "", w)
+            if "  " in w or "--" in w or " -" in w or "- " in w or not 13 <= len(d) <= 19 or not luhn(d):
+                continue
+            shape, issuer = bool(re.match(pii.SHAPES, w, re.A)), bool(re.match(pii.ISSUERS, w, re.A))
+            apart = not ((run[: groups[i][0]].endswith("-") or run[groups[j][1] :].startswith("-")) and " " in w)
+            windows[i, j] = 2 if shape and issuer and apart else 1 if shape or (issuer and re.fullmatch(r"\d{2,}(?:[ -]\d{2,})*", w, re.A)) else 0
+    out, free = [], 0
+    for i in range(len(groups)):
+        strong = [j for (a, j), kind in windows.items() if a == i and kind == 2]
+        weak = [j for (a, j), kind in windows.items() if a == i and kind]
+        if i < free or not weak:
+            continue
+        j = min(strong) if strong else max(weak)
+        if strong or not any(kind == 2 and i < a <= j for (a, _), kind in windows.items()):
+            out.append((groups[i][0], groups[j][1]))
+            free = j + 1
+    return out
+
+
+def plain_pii(text):
+    if text is None:
+        return None
+    cards = [(m.start() + a, m.start() + b) for m in re.finditer(pii.RUN, text, re.A) for a, b in plain_cards(m.group())]
+    out, at = [], 0
+    for a, b in [*cards, (len(text), len(text))]:
+        out.append(re.sub(pii.ANY, lambda m: plain_value(m.group()) or m.group(), text[at:a], flags=re.A))
+        if a < b:
+            d = re.sub(r"[^0-9]", "", text[a:b])
+            body = plain_digits(d[:-1], "card")
+            out.append(plain_refill(text[a:b], next(body + c for c in "0123456789" if luhn(body + c))))
+        at = b
+    return "".join(out)
+
+
+def test_pii_matches_plain_version(spark, sf):
+    rng = random.Random(12)
+
+    def card(shape):
+        d = rng.choice(["4", "51", "37", "6011", "9"]) + "".join(rng.choice("0123456789") for _ in range(20))
+        d = d[: shape.count("d") - 1]
+        return plain_refill(shape, next(d + c for c in "0123456789" if luhn(d + c)), lambda c: c != "d")
+
+    bits = [lambda: card("dddd dddd dddd dddd"), lambda: card("d" * 16), lambda: card("dddd-dddd-dddd-dddd"), lambda: card("dddd dddddd ddddd"), lambda: str(rng.randint(1, 99999999)), lambda: "12/27", lambda: "555-123-4567", lambda: "(555) 123-4567", lambda: "+49 30 1234567", lambda: "030/1234567", lambda: "123-45-6789", lambda: "666-45-6789", lambda: "DE89 3704 0044 0532 0130 00", lambda: "GB29NWBK60161331926819", lambda: "AND", lambda: "10.0.0.7", lambda: "2024-02-30", lambda: "31.12.1999", lambda: "a.b@c.org", lambda: "é x"]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(100_000 + i, "".join(rng.choice(bits)() + rng.choice([" ", " ", " ", ", ", "  ", "-"]) for _ in range(rng.randint(1, 9)))) for i in range(500)]
+    rows += [(200_000, "1234 " * 2000), (200_001, "".join(rng.choice("0123456789 ") for _ in range(20_000))), (200_002, "order 20240101 4111 1111 1111 1111"), (200_003, "5 4111 1111 1111 1111 12/27")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, rows), key="k").collect()}
+    bad = [(t, got[i], plain_pii(t)) for i, t in rows if got[i] != plain_pii(t)]
+    assert not bad, [tuple(x and x[:300] for x in b) for b in bad[:2]]
+    assert "4111" not in got[200_002] + got[200_003]
+
+
 def test_feistel_is_a_permutation(spark):
     got = [r[0] for r in spark.range(189 * 7).select(pii.feistel(F.col("id"), 189, 7, "k", "t")).collect()]
     assert sorted(got) == list(range(189 * 7)) and got[:50] == [plain_feistel(x, 189, 7, "k", "t") for x in range(50)]
@@ -220,7 +339,7 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_pii_has_no_python_in_its_plan(spark):
-    plan = pii.pseudonymise(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(docs(spark), key="k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -236,7 +355,7 @@ def test_pieces_equal_the_library_and_decode_exactly(spark, processor, sf):
     vocabulary = [processor.id_to_piece(i).replace("▁", " ") for i in range(259, 32_000)]
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["", " ", "  a", "a  b\n\n c ", "é€😀\t\r\n x\x00", "ﬁ ①", "x" * 5000]
     texts += ["".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
-    got = pieces.encode(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    got = pieces.encode(docs(spark, list(enumerate(texts))), MODEL).orderBy("doc_id").collect()
     assert [list(r.ids) for r in got] == processor.encode(texts)
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
 
@@ -245,7 +364,7 @@ def test_pieces_of_a_run_of_a_million_characters(processor):
     rng = random.Random(6)
     runs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000)), "文字" * 20_000, " " * 50_000]
     tracemalloc.start()
-    coded = pieces.Encoder(pieces.load()).texts(runs)
+    coded = pieces.Encoder(MODEL).texts(runs)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 500e6
@@ -253,7 +372,7 @@ def test_pieces_of_a_run_of_a_million_characters(processor):
 
 
 def test_pieces_keep_a_bounded_number_of_characters():
-    e = pieces.Encoder(pieces.load(), remember=100)
+    e = pieces.Encoder(MODEL, remember=100)
     for k in range(5):
         e.texts([f"{k}{j}" + "x" * 400 for j in range(3)])
     assert sum(map(len, e.known)) <= 1600
@@ -261,8 +380,8 @@ def test_pieces_keep_a_bounded_number_of_characters():
 
 def test_pieces_edge_cases_and_decoding(spark):
     rows = [*CASES, (9, "literal ▁ mark")]
-    coded = pieces.encode(docs(spark, rows))
-    out = pieces.decode(coded.drop("text")).collect()
+    coded = pieces.encode(docs(spark, rows), MODEL)
+    out = pieces.decode(coded.drop("text"), MODEL).collect()
     assert [r.text for r in out] == [t or "" for _, t in rows]
     assert all(r.round_trip for r in out)
 
@@ -286,7 +405,7 @@ def test_unigram_viterbi_takes_the_best_sum():
     assert [int.from_bytes(e.known["abab"][k : k + 4], "little") for k in range(0, 8, 4)] == [2, 2]
 
 
-@pytest.mark.parametrize("run", [lambda d: quality.cascade(d, quality.RULES), secrets.scan, pii.pseudonymise, pieces.encode])
+@pytest.mark.parametrize("run", [lambda d: quality.cascade(d, quality.RULES), secrets.scan, lambda d: pii.pseudonymise(d, key="k"), lambda d: pieces.encode(d, MODEL)])
 def test_extra_columns_and_empty_tables(spark, run):
     d = docs(spark, [(1, "some text here", 5, "x", "y")], "doc_id long, text string, n_words int, _found string, spans string")
     r = run(d).collect()
