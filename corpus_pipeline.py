@@ -43,7 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, decodable to the exact texts."""
-    return pieces.encode(docs).select(*docs.columns, "n_tokens", "ids", "round_trip")
+    return pieces.encode(docs, pieces.load(pieces.QUERY_MODEL)).select(*docs.columns, "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_near_dedup", near_copies), ("benchmark_decontamination", benchmark), ("sentencepiece", encoded)]
