@@ -2,50 +2,69 @@
 
 Queries have ``query_id`` and ``question``; the corpus has an id column and a text column. Every list
 is ranked by rounded score, then id, so that sums taken in another order give the same ranks.
+
+Both searches leave the corpus where it is: a bounded block of queries is sent to the tasks, which score their own documents and keep
+the best; k rows a query and task are shuffled, and no pair of query and document is. No term is a key of a shuffle, so common words
+are no hot keys. Sparse search reads a stored BM25 index (``bm25_index``): the corpus is tokenized once, when it is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.tables import shared_dir, stored
 
 ABSENT_RANK = 1000
-#: Up to so many rows a query side is sent to the tasks; larger ones are shuffled (sparse) or done in blocks (dense).
+#: Up to so many vectors a query side is sent to the tasks; larger ones are done in blocks.
 SENDABLE_QUERIES = 2000
 
 
-def _words(corpus: DataFrame, text: Column | str, *keep: Column) -> DataFrame:
-    return corpus.select(*keep, tokenize(F.col(text) if isinstance(text, str) else text).alias("w"))
+@dataclass(frozen=True)
+class Bm25Index:
+    """Stored statistics of a corpus: ``words`` (id, w: a document's tokens), ``terms`` (term, df, idf) and one row of ``totals`` (n, avgdl)."""
 
+    words: DataFrame
+    terms: DataFrame
+    totals: DataFrame
 
-def postings(corpus: DataFrame, id_col: str = "chunk_id", text: Column | str = "embed_text", terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl): term counts and document lengths; with ``terms`` (column term), only of those, picked before anything is shuffled."""
-    words = _words(corpus, text, F.col(id_col).alias("id")).select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null")  # outer: else Spark tokenizes twice, to skip empty arrays
-    if terms is not None:
-        words = words.join(terms.select("term").distinct(), "term", "left_semi")
-    return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
+def bm25_index(corpus: DataFrame, id_col: str = "chunk_id", text: str = "embed_text", path: str | None = None) -> Bm25Index:
+    """The index of a corpus, written to ``path`` (or to a folder of its own in shared storage) and read from there.
 
-def corpus_totals(corpus: DataFrame, text: Column | str = "embed_text") -> DataFrame:
-    """One row: n documents and their average length, empty ones included."""
-    return _words(corpus, text).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    idf is ln(n - df + 0.5) - ln(df + 0.5); negative values become a quarter of the mean over all terms. Documents without words
+    count for n and the mean length. A document's distinct terms are counted by partial sums: a row a term and task is shuffled.
+    """
+    spark = corpus.sparkSession
+    path = path or shared_dir(spark)
+    spread(corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", tokenize(F.col("text")).alias("w")).write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    n, avgdl = words.agg(F.count("*"), F.coalesce(F.avg(F.size("w")), F.lit(0.0))).first()
+    spark.range(1, numPartitions=1).select(F.lit(n).cast("long").alias("n"), F.lit(avgdl).alias("avgdl")).write.parquet(f"{path}/totals")
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
+    raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf")).write.parquet(f"{path}/terms")
+    return open_index(spark, path)
 
 
-def idf_table(corpus: DataFrame, totals: DataFrame, text: Column | str = "embed_text") -> DataFrame:
-    """(term, df, idf): ln(n - df + 0.5) - ln(df + 0.5); negative values become a quarter of the mean over all terms.
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of few row groups would leave the others idle. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    A document's distinct terms are counted by partial sums, so a row a term and task is what is shuffled.
-    """
-    df = _words(corpus, text).select(F.explode_outer(F.array_distinct("w")).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+def open_index(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("words", "terms", "totals")))
 
 
 def ranked(scores: DataFrame, k: int, id_col: str = "chunk_id", score: str = "score", rank: str = "rank") -> DataFrame:
@@ -53,21 +72,70 @@ def ranked(scores: DataFrame, k: int, id_col: str = "chunk_id", score: str = "sc
     return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def sparse_search(corpus: DataFrame, queries: DataFrame, top_k: int = 20, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id", text: str = "embed_text", pad: bool = False) -> DataFrame:
+class _Asked:
+    """A block of queries as arrays: its terms, and for each term the queries that ask for it with their weights."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("term")
+        self.ids = rows["query_id"].unique()
+        query = pc.index_in(rows["query_id"], value_set=self.ids).to_numpy().astype(np.int64)
+        terms = rows["term"].dictionary_encode().combine_chunks() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+        self.terms = terms.dictionary
+        self.count = np.bincount(terms.indices.to_numpy(), minlength=len(self.terms)).astype(np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.query, self.weight = query, rows["weight"].to_numpy()
+
+    def scores(self, w: pa.ListArray, avgdl: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of every pair with a term in common, for the documents' token lists."""
+        dl = pc.fill_null(pc.list_value_length(w), 0).to_numpy().astype(np.int64)
+        at = pc.fill_null(pc.index_in(pc.list_flatten(w), value_set=self.terms), -1).to_numpy()
+        doc = np.repeat(np.arange(len(dl)), dl)[at >= 0]
+        cell, tf = np.unique(doc * len(self.terms) + at[at >= 0], return_counts=True)
+        doc, term = np.divmod(cell, max(1, len(self.terms)))
+        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
+        n = self.count[term]
+        entry = np.repeat(self.start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair, place = np.unique(self.query[entry] * len(dl) + np.repeat(doc, n), return_inverse=True)
+        query, doc = np.divmod(pair, max(1, len(dl)))
+        return query, doc, np.bincount(place, self.weight[entry] * np.repeat(gain, n), len(pair))
+
+
+def sparse_search(index: Bm25Index, queries: DataFrame, top_k: int = 20, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id", pad: bool = False, block_terms: int = 100_000, slice_rows: int = 500) -> DataFrame:
     """BM25 top-k: (query_id, id, score, rank). Repeated query words count repeatedly. ``pad`` fills up to k with zero scores, in id order.
 
-    Only terms that occur in queries are joined; the mean idf still covers all terms.
+    A block of queries with about ``block_terms`` terms is sent to the tasks, which score ``slice_rows`` documents at a time. Null questions ask nothing.
     """
-    totals = corpus_totals(corpus, text)
-    asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = asked.join(idf_table(corpus, totals, text), "term").join(postings(corpus, id_col, text, asked), "term").crossJoin(F.broadcast(totals))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", F.col("id").alias(id_col)).agg(F.sum(part).alias("score"))
-    if pad:
-        # the first k ids that a query has no score for are among the first k + (its scored ids) ids; its own k best are enough beside k unscored ones
-        first = corpus.select(id_col).orderBy(id_col).limit(2 * top_k)
-        zero = queries.select("query_id").crossJoin(F.broadcast(first)).join(scores.select("query_id", id_col), ["query_id", id_col], "left_anti")
-        scores = ranked(scores, top_k, id_col).drop("rank").unionByName(zero.withColumn("score", F.lit(0.0)))
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.explode_outer(tokenize(F.col("question"))).alias("term")).groupBy("query_id", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("*").alias("qtf"))
+    own = asked.join(index.terms, "term", "left" if pad else "inner")
+    own = stored(own.select("query_id", "term", F.coalesce(F.col("qtf") * F.col("idf"), F.lit(0.0)).alias("weight")))
+    avgdl = index.totals.first()["avgdl"] or 1.0
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.words.schema['id'].dataType.simpleString()}, score double"
+    blocks = max(1, -(-own.count() // block_terms))
+    found = []
+    for k in range(blocks):
+        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast(_Asked(part.toArrow()))
+
+        def best(batches, sent=sent):
+            for batch in batches:
+                for at in range(0, batch.num_rows, slice_rows):
+                    b_ = batch.slice(at, slice_rows)
+                    b_ = b_.take(pc.sort_indices(b_, [("id", "ascending")]))
+                    query, doc, score = sent.value.scores(b_.column("w"), avgdl, k1, b)
+                    if pad:
+                        every = np.zeros((len(sent.value.ids), b_.num_rows))
+                        every[query, doc] = score
+                        (query, doc), score = np.divmod(np.arange(every.size), b_.num_rows), every.ravel()
+                    order = np.lexsort((doc, -np.round(score, 9), query))
+                    query, doc, score = query[order], doc[order], score[order]
+                    first = np.searchsorted(query, query)
+                    top = np.arange(len(query)) - first < top_k
+                    ids = sent.value.ids
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[top])), b_.column("id").take(pa.array(doc[top])), pa.array(score[top])], names=["query_id", "id", "score"])
+
+        found.append(index.words.mapInArrow(best, kinds))
+    scores = reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
     return ranked(scores, top_k, id_col).select("query_id", id_col, "score", "rank")
 
 
@@ -76,10 +144,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, id_col
 
     The queries of a block (``query_id``, ``embedding``) are a matrix sent to the tasks; each Arrow batch of
     vectors is one product and keeps its k best rows a query, so k rows a query and batch are shuffled.
-    A zero vector scores 0.
+    A zero vector scores 0. Rows without a vector, or with one that holds a null or NaN, are no candidates and ask nothing.
     """
-    from functools import reduce
-
+    whole = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    vectors, queries = vectors.where(whole), queries.where(whole)
     spark, n = vectors.sparkSession, queries.count()
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
     found = []
@@ -144,15 +212,15 @@ def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, top_k:
     return ranked(scored, top_k, id_col, "rerank_score", "final_rank")
 
 
-def retrieve(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5, dense_candidates: int = 20, sparse_candidates: int = 20, pool: int = 15, use_reranker: bool = True, id_col: str = "chunk_id", text: str = "embed_text", scorer: Callable = overlap_scorer) -> DataFrame:
-    """Hybrid retrieval: both searches, fusion, the best ``pool`` reranked, the best top_k kept.
+def retrieve(index: Bm25Index, corpus: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5, dense_candidates: int = 20, sparse_candidates: int = 20, pool: int = 15, use_reranker: bool = True, id_col: str = "chunk_id", text: str = "embed_text", scorer: Callable = overlap_scorer) -> DataFrame:
+    """Hybrid retrieval over a corpus, its BM25 index and its vectors: both searches, fusion, the best ``pool`` reranked, the best top_k kept.
 
     ``score`` is the rerank score, else the fused one. Empty questions are left out; top_k is 1 to 10.
     """
     if not 1 <= top_k <= 10:
         raise ValueError("top_k must be 1 to 10")
     asked = queries.where(F.trim(F.coalesce("question", F.lit(""))) != "")
-    fused = fuse_ranks(dense_search(vectors, asked, dense_candidates, id_col), sparse_search(corpus, asked, sparse_candidates, id_col=id_col, text=text), id_col=id_col)
+    fused = fuse_ranks(dense_search(vectors, asked, dense_candidates, id_col), sparse_search(index, asked, sparse_candidates, id_col=id_col), id_col=id_col)
     if not use_reranker:
         return fused.where(F.col("rrf_rank") <= top_k).withColumn("final_rank", F.col("rrf_rank")).withColumn("score", F.col("rrf_score"))
     best = rerank(fused.where(F.col("rrf_rank") <= pool), asked, corpus, top_k, id_col, text, scorer)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm
+from ..functions.text import norm, tokenize
 from ..operators import layout
 from ..operators.chunks import build_chunks
-from ..operators.retrieval import sparse_search
+from ..operators.retrieval import Bm25Index, bm25_index, open_index, sparse_search
+from ..sources.tables import shared_dir
 
 WORDS_SQL = r"'[\p{L}\p{N}_]+'"
 
@@ -82,15 +83,34 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.concat_ws(".", lang_no(), F.regexp_extract("source", r"\d+", 0), F.col("doc_id").cast("string")).alias("section_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("section_title"), F.lit(1).alias("page_start"), (F.floor(F.col("n_chars") / 2000) + 1).cast("int").alias("page_end"), F.col("text").alias("display_text"), F.col("text").alias("embed_text"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Bm25Index:
+    """The documents' BM25 index: built once in a session, then read from shared storage."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = shared_dir(spark)
+        bm25_index(corpus(spark, sf_dir), path=path)
+        _INDEXES[key] = path
+    return open_index(spark, _INDEXES[key])
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions; their truth is the sections of the documents that contain them word for word.
 
-    The items are a stated query set: one row holding them all is sent to the tasks, and each document is searched once for every item.
+    A document that contains an item has the item's inner words among its own (the outer ones may be parts of longer words). So each item
+    looks up its rarest inner word in the index, and only the documents found are searched; items without inner words search all.
     """
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    everything = items.agg(F.collect_list(F.struct("query_id", "question")).alias("items"))
-    docs = corpus(spark, sf_dir).select("section_id", "embed_text").crossJoin(F.broadcast(everything))
-    found = docs.select("section_id", F.explode(F.filter("items", lambda i: F.contains(F.col("embed_text"), i["question"]))["query_id"]).alias("query_id"))
+    ix = index(spark, sf_dir)
+    words = tokenize(F.col("question"))
+    inner = items.select("query_id", F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("term"))
+    known = inner.join(ix.terms.select("term", "df"), "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"))
+    docs = corpus(spark, sf_dir).select(F.col("chunk_id").alias("id"), "section_id", "embed_text")
+    seeded = known.where("rarest.df > 0").select("query_id", F.col("rarest.term").alias("term")).join(ix.words.select("id", F.explode(F.array_distinct("w")).alias("term")), "term").join(items, "query_id").join(docs, "id")
+    short = items.join(known, "query_id", "left_anti").where("question is not null").crossJoin(docs)
+    found = seeded.select("query_id", "question", "section_id", "embed_text").unionByName(short.select("query_id", "question", "section_id", "embed_text")).where(F.contains("embed_text", F.col("question")))
     truth = found.groupBy("query_id").agg(F.sort_array(F.collect_set("section_id")).alias("sections"))
     out = items.join(truth, "query_id", "left").withColumn("answerable", F.col("sections").isNotNull())
     kind = F.when(~F.col("answerable"), "not in document").when(F.length("question") % 2 == 0, "simple fact").otherwise("multi-section")
@@ -112,7 +132,8 @@ lens AS (SELECT chunk_id, len(w) AS dl FROM words),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs CROSS JOIN tot),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM rawidf) ELSE r END AS idf FROM rawidf),
+meanidf AS (SELECT avg(r) AS m FROM rawidf),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM rawidf CROSS JOIN meanidf),
 asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {WORDS_SQL})) AS term FROM benchmark) GROUP BY item_id, term),
 bm AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN idf USING (term) JOIN post USING (term) JOIN lens USING (chunk_id) CROSS JOIN tot GROUP BY query_id, chunk_id),
 sparse AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 20)"""
@@ -122,7 +143,7 @@ def retrieved(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The best k documents by BM25 of each question, with their chunk columns."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = corpus(spark, sf_dir)
-    top = sparse_search(docs, q, k).withColumnRenamed("rank", "final_rank")
+    top = sparse_search(index(spark, sf_dir), q, k).withColumnRenamed("rank", "final_rank")
     return top.join(docs, "chunk_id")
 
 

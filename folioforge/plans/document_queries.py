@@ -28,13 +28,17 @@ def s1(spark, sf_dir):
 
 @query("s2_answer_key", f"WITH {b.QUESTIONS_SQL} SELECT CAST(query_id AS VARCHAR) AS query_id, type, question, answerable FROM questions")
 def s2(spark, sf_dir):
-    """The questions written as a nested answer key and read back: two lists become one table."""
+    """The questions written as nested answer keys, one for each question's hash bucket, and read back: two lists become one table.
+
+    A key holds about a hundred questions, so no row grows with the table.
+    """
     path = tables.shared_dir(spark)
     q = b.questions(spark, sf_dir)
+    n = -(-q.count() // 100)
     item = F.struct(F.col("query_id").cast("string").alias("id"), "type", "question", "sections")
-    key = q.agg(F.collect_list(F.when(F.col("answerable"), item)).alias("questions"), F.collect_list(F.when(~F.col("answerable"), item)).alias("unanswerable_questions"))
-    tables.write_report(key, path)
-    return tables.read_answer_key(spark, path).select("query_id", "type", "question", "answerable")
+    key = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, n))).alias("key")).agg(F.collect_list(F.when(F.col("answerable"), item)).alias("questions"), F.collect_list(F.when(~F.col("answerable"), item)).alias("unanswerable_questions"))
+    tables.write_table(key.drop("key"), path, "json")
+    return tables.read_answer_key(spark, path, multi_line=False).select("query_id", "type", "question", "answerable")
 
 
 @query("s3_write_chunks", f"WITH {b.CHUNKS_SQL} SELECT type, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM chunks GROUP BY type")
@@ -354,7 +358,7 @@ def st1(spark, sf_dir):
 
     tables.write_table(embed_texts(docs.select("chunk_id", "embed_text")).select("chunk_id", "embedding"), f"{base}/vectors")
     stream = spark.readStream.schema(q.schema).parquet(f"{base}/in")
-    jobs.answer_stream(stream, docs, spark.read.parquet(f"{base}/vectors"), hashing_embedder(), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    jobs.answer_stream(stream, b.index(spark, sf_dir), docs, spark.read.parquet(f"{base}/vectors"), hashing_embedder(), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("query_id", "chunk_id", "final_rank", F.round("score", 6).alias("score"))
 
 

@@ -21,13 +21,13 @@ def _vectors(spark, sf_dir):
 
 
 def _vector_queries(spark, sf_dir):
-    """The first twenty vectors are the stated queries."""
-    return b.table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every hundredth vector is a query, numbered from 0."""
+    return b.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), "embedding")
 
 
 DENSE_SQL = """
 vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-cosine AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.e, v.e) AS score FROM vec q CROSS JOIN vec v WHERE q.vec_id < 20),
+cosine AS (SELECT q.vec_id // 100 AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.e, v.e) AS score FROM vec q CROSS JOIN vec v WHERE q.vec_id % 100 = 0),
 dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosine QUALIFY rank <= 20)"""
 
 FUSED_SQL = (
@@ -36,7 +36,7 @@ FUSED_SQL = (
     + b.BM25_SQL
     + """,
 fused AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.score AS dense_score, d.rank AS dense_rank, s.score AS sparse_score, s.rank AS sparse_rank,
-  1 / (60 + coalesce(d.rank, 1000)) + 1 / (60 + coalesce(s.rank, 1000)) AS rrf_score FROM dense d FULL OUTER JOIN (SELECT * FROM sparse WHERE query_id < 20) s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
+  1 / (60 + coalesce(d.rank, 1000)) + 1 / (60 + coalesce(s.rank, 1000)) AS rrf_score FROM dense d FULL OUTER JOIN sparse s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, chunk_id) AS rrf_rank FROM fused)"""
 )
 
@@ -75,13 +75,12 @@ def r1(spark, sf_dir):
 
 @query("r2_bm25_statistics", f"WITH {b.BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def r2(spark, sf_dir):
-    d = b.corpus(spark, sf_dir)
-    return retrieval.idf_table(d, retrieval.corpus_totals(d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return b.index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r3_sparse_search", f"WITH {b.BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def r3(spark, sf_dir):
-    return retrieval.sparse_search(b.corpus(spark, sf_dir), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return retrieval.sparse_search(b.index(spark, sf_dir), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("r4_dense_search", f"WITH {DENSE_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
@@ -91,7 +90,7 @@ def r4(spark, sf_dir):
 
 def _lists(spark, sf_dir):
     dense = retrieval.dense_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
-    return dense, retrieval.sparse_search(b.corpus(spark, sf_dir), _items(spark, sf_dir).where("query_id < 20"))
+    return dense, retrieval.sparse_search(b.index(spark, sf_dir), _items(spark, sf_dir))
 
 
 @query("r5_fuse_ranks", f"WITH {FUSED_SQL} SELECT query_id, chunk_id, round(dense_score, 6) AS dense_score, dense_rank, round(sparse_score, 6) AS sparse_score, sparse_rank, round(rrf_score, 9) AS rrf_score, rrf_rank FROM ranked")
@@ -104,15 +103,15 @@ def r5(spark, sf_dir):
 @query("r6_rerank", f"WITH {b.BM25_SQL}, cand AS (SELECT * FROM sparse WHERE rank <= 15), {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, final_rank FROM final")
 def r6(spark, sf_dir):
     docs, items = b.corpus(spark, sf_dir), _items(spark, sf_dir)
-    out = retrieval.rerank(retrieval.sparse_search(docs, items, 15), items, docs)
+    out = retrieval.rerank(retrieval.sparse_search(b.index(spark, sf_dir), items, 15), items, docs)
     return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
-@query("r7_retrieve", f"WITH {FUSED_SQL}, cand AS (SELECT * FROM ranked WHERE rrf_rank <= 15), {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS score, rrf_rank, final_rank FROM final")
+@query("r7_retrieve", f"WITH {FUSED_SQL}, cand AS (SELECT * FROM ranked WHERE rrf_rank <= 15 AND query_id IN (SELECT query_id FROM dense)), {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS score, rrf_rank, final_rank FROM final")
 def r7(spark, sf_dir):
-    """The whole hybrid search: both lists, fusion, 15 reranked, 5 kept."""
+    """The whole hybrid search: both lists, fusion, 15 reranked, 5 kept. Every item that has a vector query of its number asks."""
     q = _items(spark, sf_dir).join(_vector_queries(spark, sf_dir), "query_id")
-    out = retrieval.retrieve(b.corpus(spark, sf_dir), _vectors(spark, sf_dir), q)
+    out = retrieval.retrieve(b.index(spark, sf_dir), b.corpus(spark, sf_dir), _vectors(spark, sf_dir), q)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rrf_rank", "final_rank")
 
 

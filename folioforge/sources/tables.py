@@ -52,9 +52,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return out
 
 
-def read_answer_key(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of both lists of a nested answer key: query_id, type, question, answer, sections, answerable, topic_excluded."""
-    key = spark.read.option("multiLine", True).schema(ANSWER_KEY).json(path)
+def read_answer_key(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Questions of both lists of nested answer keys (a file each, or a line each): query_id, type, question, answer, sections, answerable, topic_excluded."""
+    key = spark.read.option("multiLine", multi_line).schema(ANSWER_KEY).json(path)
 
     def rows(field: str, answerable: bool) -> DataFrame:
         return key.select(F.explode(field).alias("q")).select(F.col("q.id").alias("query_id"), "q.type", "q.question", F.coalesce("q.answer", "q.expected_response").alias("answer"), F.coalesce("q.sections", F.array().cast("array<string>")).alias("sections"), F.lit(answerable).alias("answerable"), F.col("q.topic_excluded_from_handbook").alias("topic_excluded"))

@@ -4,44 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.retrieval import retrieve
+from ..operators.retrieval import Bm25Index, retrieve
 from ..operators.vectors import embed_texts
 from ..sources.tables import missing_points
 
 
-def _stored_already(spark, path: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if there else None
-
-
-def answer_stream(questions: DataFrame, corpus: DataFrame, vectors: DataFrame, embed: Callable, sink: str, checkpoint: str, **options) -> StreamingQuery:
+def answer_stream(questions: DataFrame, index: Bm25Index, corpus: DataFrame, vectors: DataFrame, embed: Callable, sink: str, checkpoint: str, **options) -> StreamingQuery:
     """Each micro-batch of questions (query_id, question) is embedded and retrieved for; results are appended with their batch.
 
-    A batch writes its own ``batch=`` folder, overwriting what an earlier try of it left: a replay changes nothing.
+    The corpus's stored BM25 index serves all batches. A batch writes its own ``batch=`` folder, overwriting what an earlier try
+    of it left: a replay changes nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         asked = embed_texts(batch.select("query_id", "question"), "question", embed)
-        found = retrieve(corpus, vectors, asked, **options)
+        found = retrieve(index, corpus, vectors, asked, **options)
         found.select("query_id", "chunk_id", "final_rank", "score").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return questions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_stream(chunks: DataFrame, embed: Callable, store: str, checkpoint: str, keys: tuple[str, ...] = ("chunk_id",)) -> StreamingQuery:
-    """New chunks are embedded and stored, those stored before (by key) left alone, whatever is replayed."""
+BUCKETS = 64
+
+
+def index_stream(chunks: DataFrame, embed: Callable, store: str, checkpoint: str, keys: tuple[str, ...] = ("chunk_id",), order: str | None = None) -> StreamingQuery:
+    """New chunks are embedded and stored, those stored before (by key) left alone, whatever is replayed.
+
+    The store is partitioned by a hash of the key, and a batch meets only the partitions that its keys fall in. Of rows of one key in
+    a batch the least by ``order`` (by all columns, if None) is kept.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = _stored_already(spark, store)
-        fresh = batch.dropDuplicates(list(keys))
-        if stored is not None:
-            fresh = missing_points(fresh, stored.where(F.col("batch") != batch_id), list(keys))
-        embed_texts(fresh, embed=embed).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
+        w = Window.partitionBy(*keys).orderBy(*([order] if order else [F.xxhash64(*batch.columns), *[c for c, kind in batch.dtypes if not kind.startswith("map")]]))
+        fresh = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("bucket", bucket)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        stored = spark.read.schema(schema).parquet(store).where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id))
+        fresh = missing_points(fresh, stored, list(keys))
+        embed_texts(fresh.withColumn("batch", F.lit(batch_id)), embed=embed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(store)
+
+    # an empty store of the right shape, so that every batch can read it
+    spark = chunks.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").parquet(store)
     return chunks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

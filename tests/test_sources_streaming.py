@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators.vectors import embed_texts, hashing_embedder
 from folioforge.sources import tables
+from folioforge.operators.retrieval import bm25_index
 from folioforge.streaming import jobs
 
 
@@ -45,6 +46,6 @@ def test_streams_are_idempotent(spark, tmp_path):
     q = spark.createDataFrame([("q1", "word3"), ("q2", "word5 common")], "query_id string, question string")
     q.write.parquet(f"{tmp_path}/q")
     stream = spark.readStream.schema(q.schema).parquet(f"{tmp_path}/q")
-    jobs.answer_stream(stream, chunks, embed_texts(chunks), hashing_embedder(), f"{tmp_path}/out", f"{tmp_path}/ck", top_k=2).awaitTermination()
+    jobs.answer_stream(stream, bm25_index(chunks), chunks, embed_texts(chunks), hashing_embedder(), f"{tmp_path}/out", f"{tmp_path}/ck", top_k=2).awaitTermination()
     got = {(r.query_id, r.final_rank): r.chunk_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["q1", 1] == "c3" and got["q2", 1] == "c5" and len(got) == 4
