@@ -16,12 +16,16 @@ EFFECTIVE = r"effective (\d{1,2} [A-Z][a-z]+ \d{4})"
 
 def context_block(chunk_id: Column, section_id: Column, title: Column, page_start: Column, page_end: Column, text: Column) -> Column:
     pages = F.when(page_start == page_end, F.concat(F.lit("p. "), page_start.cast("string"))).otherwise(F.concat(F.lit("pp. "), page_start.cast("string"), F.lit("-"), page_end.cast("string")))
-    return F.concat(F.lit("--- [CHUNK "), chunk_id, F.lit(" | Section "), F.coalesce(section_id, F.lit("")), F.lit(": "), F.coalesce(title, F.lit("")), F.lit(" | "), pages, F.lit("] ---\n"), text)
+    return F.concat(F.lit("--- [CHUNK "), chunk_id, F.lit(" | Section "), F.coalesce(section_id, F.lit("Unknown")), F.lit(": "), F.coalesce(title, F.lit("")), F.lit(" | "), pages, F.lit("] ---\n"), text)
 
 
-def format_context(retrieved: DataFrame, rank: str = "final_rank", text: str = "display_text") -> DataFrame:
-    """(query_id, context): the retrieved chunks' blocks in rank order, joined by an empty line. A query has at most its top k chunks."""
-    block = context_block(*[F.col(c) for c in ("chunk_id", "section_id", "section_title", "page_start", "page_end", text)])
+def format_context(retrieved: DataFrame, rank: str = "final_rank") -> DataFrame:
+    """(query_id, context): the retrieved chunks' blocks in rank order, joined by an empty line. A query has at most its top k chunks.
+
+    A block shows the embed text, which holds tags and section path, else the display text.
+    """
+    text = F.coalesce("embed_text", "display_text", F.lit(""))
+    block = context_block(*[F.col(c) for c in ("chunk_id", "section_id", "section_title", "page_start", "page_end")], text)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), block.alias("block"))))
     return retrieved.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("context"))
 
@@ -67,11 +71,12 @@ def citation_rows(responses: DataFrame) -> DataFrame:
 
 
 def enrich_citations(citations: DataFrame, retrieved: DataFrame, rank: str = "final_rank") -> DataFrame:
-    """Citations with ``section_title``: of the query's retrieved chunks by section, else by chunk, else "Section x". The last retrieved chunk of a section gives its title."""
+    """Citations with ``section_title``: of the query's retrieved chunks by section, else by chunk, else "Section x". The last retrieved chunk of a section gives its title; with ``doc_id`` on both sides, a section is one of its document."""
     title = F.nullif(F.col("section_title"), F.lit(""))
-    by_section = retrieved.groupBy("query_id", "section_id").agg(F.max_by(title, rank).alias("_by_section"))
+    same = ["query_id", "section_id", *(["doc_id"] if "doc_id" in retrieved.columns and "doc_id" in citations.columns else [])]
+    by_section = retrieved.groupBy(*same).agg(F.max_by(title, rank).alias("_by_section"))
     by_chunk = retrieved.groupBy("query_id", "chunk_id").agg(F.max_by(title, rank).alias("_by_chunk"))
-    out = citations.join(by_section, ["query_id", "section_id"], "left").join(by_chunk, ["query_id", "chunk_id"], "left")
+    out = citations.join(by_section, same, "left").join(by_chunk, ["query_id", "chunk_id"], "left")
     return out.withColumn("section_title", F.coalesce("_by_section", "_by_chunk", F.concat(F.lit("Section "), F.coalesce("section_id", F.lit(""))))).drop("_by_section", "_by_chunk")
 
 
@@ -82,10 +87,10 @@ def amendments(records: DataFrame) -> DataFrame:
 
 
 def amended_citations(citations: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(query_id, amended): whether any citation lies in an amended section or names the amendment in its quote."""
-    known = catalogue.select("number", F.col("section_id").alias("amended_section")).distinct()
-    by_section = citations.join(known, citations["section_id"] == F.col("amended_section"), "left_semi").select("query_id")
-    named = citations.select("query_id", F.explode(F.regexp_extract_all(F.lower("quote"), F.lit(r"amendment (\d+)"), F.lit(1))).alias("n")).withColumn("number", F.col("n").try_cast("int"))
-    by_name = named.join(known.select("number").distinct(), "number", "left_semi").select("query_id")
+    """(query_id, amended): whether any citation (doc_id, section_id, quote) lies in an amended section of its document or names one of the document's amendments in its quote."""
+    known = catalogue.select("doc_id", "number", "section_id").distinct()
+    by_section = citations.join(known, ["doc_id", "section_id"], "left_semi").select("query_id")
+    named = citations.select("query_id", "doc_id", F.explode(F.regexp_extract_all(F.lower("quote"), F.lit(r"amendment (\d+)"), F.lit(1))).alias("n")).withColumn("number", F.col("n").try_cast("int"))
+    by_name = named.join(known, ["doc_id", "number"], "left_semi").select("query_id")
     hit = by_section.union(by_name).distinct().withColumn("hit", F.lit(True))
     return citations.select("query_id").distinct().join(hit, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("amended"))

@@ -12,19 +12,25 @@ REFUSAL_PHRASES = ("not found", "does not contain", "no information")
 GATES = (("hit_at_5", 0.90), ("section_recall", 0.85), ("grounding_rate", 0.999), ("refusal_precision", 0.80), ("refusal_recall", 0.80), ("refusal_f1", 0.80), ("factual", 0.80))
 
 
+def _keys(truth: DataFrame, retrieved: DataFrame) -> list[str]:
+    return ["query_id", *(["doc_id"] if "doc_id" in truth.columns and "doc_id" in retrieved.columns else [])]
+
+
 def section_recall(truth: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """(query_id, hit, recall): truth sections (``sections`` array) matched, as a subtree in either direction, by a retrieved section; recall 1 without truth."""
-    wanted = truth.select("query_id", F.explode_outer("sections").alias("t"))
-    seen = retrieved.select("query_id", F.col("section_id").alias("c")).distinct()
-    pairs = wanted.join(seen, "query_id", "left").groupBy("query_id", "t").agg(F.coalesce(F.bool_or(sections_match(F.col("t"), F.col("c"))), F.lit(False)).alias("ok"))
+    """(query_id, hit, recall): truth sections (``sections`` array) matched, as a subtree in either direction, by a retrieved section; recall 1 without truth. With ``doc_id`` on both sides, only sections of the question's document match."""
+    same = _keys(truth, retrieved)
+    wanted = truth.select(*same, F.explode_outer("sections").alias("t"))
+    seen = retrieved.select(*same, F.col("section_id").alias("c")).distinct()
+    pairs = wanted.join(seen, same, "left").groupBy("query_id", "t").agg(F.coalesce(F.bool_or(sections_match(F.col("t"), F.col("c"))), F.lit(False)).alias("ok"))
     n = F.count("t")
     return pairs.groupBy("query_id").agg((F.count_if("ok") > 0).cast("double").alias("hit"), F.when(n == 0, 1.0).otherwise(F.count_if("ok") / n).alias("recall"))
 
 
 def first_ranks(truth: DataFrame, retrieved: DataFrame, rank: str = "final_rank") -> DataFrame:
-    """Truth rows with ``first_rank``: the best rank of an exactly equal section, null if none."""
-    wanted = truth.select("query_id", F.explode("sections").alias("section_id")).distinct()
-    best = wanted.join(retrieved.select("query_id", "section_id", rank), ["query_id", "section_id"]).groupBy("query_id").agg(F.min(rank).alias("first_rank"))
+    """Truth rows with ``first_rank``: the best rank of an exactly equal section (of the question's document, with ``doc_id`` on both sides), null if none."""
+    same = _keys(truth, retrieved)
+    wanted = truth.select(*same, F.explode("sections").alias("section_id")).distinct()
+    best = wanted.join(retrieved.select(*same, "section_id", rank), [*same, "section_id"]).groupBy("query_id").agg(F.min(rank).alias("first_rank"))
     return truth.join(best, "query_id", "left")
 
 

@@ -6,6 +6,8 @@ document's records are ordered by ``pos`` within one window partition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from ..functions.text import heading_id, heading_title, norm, table_markdown, wi
 HEADER_Y, FOOTER_Y = 55.0, 775.0
 HEADING_SIZES = (18.0, 14.0, 12.0)
 PARAGRAPH_GAP, INDENT_TOLERANCE = 25.0, 6.0
-LEADER = r"^[. ]*\.{2,}[. ]*(\d+)$"
-CAPTION = r"^Table (\d+(?:\.\d+)*)"
+#: Fixed patterns: a dot leader with its page, and a table's caption.
+LEADER = r"^(?:\. ?)+(\d+)$"
+CAPTION = r"^(Table \d+)\.\s+(.+)$"
 BULLET = "•"
 ENDINGS = r"[.!?:;)]$"
 
@@ -66,6 +69,11 @@ def contents_pages(lines: DataFrame, title: str = "Table of Contents", leader: s
     return after.withColumn("gaps", gap).where("gaps = 0").select("doc_id", "page")
 
 
+def body_start(lines: DataFrame, title: str = "Table of Contents", leader: str = LEADER) -> DataFrame:
+    """(doc_id, body_start): the page after the last page of the contents; documents without contents have no row."""
+    return contents_pages(lines, title, leader).groupBy("doc_id").agg((F.max("page") + 1).alias("body_start"))
+
+
 def contents_entries(lines: DataFrame, title: str = "Table of Contents", leader: str = LEADER, tolerance: float = 2.0) -> DataFrame:
     """(doc_id, id, title, page, level): each dot leader with the first numbered line at its height on its page."""
     here = lines.join(contents_pages(lines, title, leader), ["doc_id", "page"], "left_semi")
@@ -109,6 +117,10 @@ def attach_captions(tables: DataFrame, captions: DataFrame, above: float = 40.0,
     return tables.join(done.select("doc_id", "page", F.col("m.table_no").alias("table_no"), F.col("m.line_no").alias("caption_line"), F.col("m.text").alias("caption")), ["doc_id", "page", "table_no"], "left")
 
 
+def uncaptioned_tables(attached: DataFrame) -> DataFrame:
+    return attached.where("caption_line is null")
+
+
 def unused_captions(captions: DataFrame, attached: DataFrame) -> DataFrame:
     used = attached.where("caption_line is not null").select("doc_id", "page", F.col("caption_line").alias("line_no"))
     return captions.join(used, ["doc_id", "page", "line_no"], "left_anti")
@@ -118,16 +130,23 @@ def with_sections(elements: DataFrame, levels: int = 3) -> DataFrame:
     """Elements (ordered by ``pos``, headings having ``level`` > 0, ``heading_id``, ``heading_title``) with section_id, section_title, section_path.
 
     A heading replaces its level and clears the deeper ones: a null pair marks the reset, and the last mark of each level holds.
+    A heading-styled line without a number is no heading (see ``heading_warnings``).
     """
+    level = F.when(F.coalesce("heading_id", F.lit("")) != "", F.col("level")).otherwise(0)
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     none = F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"))
     own = F.struct(F.col("heading_id").alias("id"), F.col("heading_title").alias("title"))
-    stack = [F.last(F.when(F.col("level") == k, own).when(F.col("level").between(1, k - 1), none), ignorenulls=True).over(w) for k in range(1, levels + 1)]
+    stack = [F.last(F.when(level == k, own).when(level.between(1, k - 1), none), ignorenulls=True).over(w) for k in range(1, levels + 1)]
     out = elements.withColumn("_stack", F.array(*stack)).withColumn("_stack", F.filter("_stack", lambda x: x["id"].isNotNull()))
     last = F.get("_stack", F.size("_stack") - 1)
     return out.withColumns({"section_id": last["id"], "section_title": last["title"], "section_path": F.transform("_stack", lambda x: F.concat_ws(" ", x["id"], x["title"]))}).drop("_stack")
 
 
+def heading_warnings(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, text) of heading-styled lines (``level`` > 0) without a number."""
+    return lines.where((F.col("level") > 0) & (heading_id(F.col("text")) == "")).select("doc_id", "page", "line_no", "text")
+
+
 def element_kind(glossary: str = "15") -> Column:
     """Kind of a text line: list_item, callout, glossary_entry (below the glossary section) or paragraph."""
     lead, section = F.coalesce("lead", F.lit("")), F.coalesce("section_id", F.lit(""))
@@ -216,9 +235,17 @@ def numbered(records: DataFrame) -> DataFrame:
     return records.withColumns({"id": F.format_string("rec%04d", n), "n_chars": F.length("text")})
 
 
-def parse_report(records: DataFrame) -> DataFrame:
-    """(doc_id, kind, n) counts by record type."""
-    return records.groupBy("doc_id", F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+def parse_report(records: DataFrame, headings: DataFrame, patterns: DataFrame, joins: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(doc_id, part, key, n): a document's records by type, headings by level, removed lines by pattern, joins over page breaks by page, warnings by page."""
+
+    def part(df: DataFrame, name: str, key: Column, n: Column) -> DataFrame:
+        return df.groupBy("doc_id", F.lit(name).alias("part"), key.cast("string").alias("key")).agg(n.cast("long").alias("n"))
+
+    each = [
+        part(records, "records", F.col("type"), F.count("*")), part(headings, "headings", F.col("level"), F.count("*")), part(patterns, "removed", F.col("pattern"), F.sum("n_lines")),
+        part(joins, "joins", F.col("page"), F.count("*")), part(warnings, "warnings", F.col("page"), F.count("*")),
+    ]
+    return reduce(DataFrame.unionByName, each)
 
 
 def touching_page(records: DataFrame, page: int) -> DataFrame:
@@ -226,6 +253,7 @@ def touching_page(records: DataFrame, page: int) -> DataFrame:
 
 
 def table_records(attached: DataFrame) -> DataFrame:
-    """A record text for each table with its caption ("Table ?" without one)."""
-    caption = F.coalesce("caption", F.lit("Table ?"))
-    return attached.withColumns({"table_id": F.nullif(F.regexp_extract(caption, CAPTION, 1), F.lit("")), "header": F.col("rows")[0], "text": table_markdown(caption, F.col("rows"))})
+    """A record for each table: its id ("Table 3", null without a number), caption ("Table ?" without one), header, the rows below it, and text."""
+    caption = F.coalesce(F.nullif("caption", F.lit("")), F.lit("Table ?"))
+    body = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
+    return attached.withColumns({"caption": caption, "table_id": F.nullif(F.regexp_extract(caption, CAPTION, 1), F.lit("")), "header": F.col("rows")[0], "text": table_markdown(caption, F.col("rows")), "rows": body})

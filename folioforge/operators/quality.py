@@ -52,15 +52,17 @@ def prefix_faults(chunks: DataFrame) -> DataFrame:
 
 
 def needles_found(needles: DataFrame, chunks: DataFrame, text: str = "display_text") -> DataFrame:
-    """Needles (query_id, section_id, needle) with ``found``: contained, flattened, in the concatenated text of the section's subtree.
+    """Needles (query_id, doc_id, section_id, needle) with ``found``: contained, flattened, in the concatenated text of the section's subtree in the document.
 
-    Each chunk is keyed by its section's ancestors, which makes the subtree an equi-join; only needled sections are kept before text is gathered.
+    Each chunk is keyed by its document and its section's ancestors, which makes the subtree an equi-join; only needled sections are kept
+    before text is gathered, and what is gathered is part of one document.
     """
+    same = ["doc_id", "section_id"]
     keyed = chunks.select("doc_id", "chunk_no", F.explode(ancestors(F.col("section_id"))).alias("section_id"), F.col(text).alias("text"))
-    keyed = keyed.join(needles.select("section_id").distinct(), "section_id", "left_semi")
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "chunk_no", "text")))
-    whole = keyed.groupBy("section_id").agg(flat(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias("_all"))
-    return needles.join(whole, "section_id", "left").withColumn("found", F.coalesce(F.contains("_all", flat(F.col("needle"))), F.lit(False))).drop("_all")
+    keyed = keyed.join(needles.select(*same).distinct(), same, "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))
+    whole = keyed.groupBy(*same).agg(flat(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias("_all"))
+    return needles.join(whole, same, "left").withColumn("found", F.coalesce(F.contains("_all", flat(F.col("needle"))), F.lit(False))).drop("_all")
 
 
 def contents_differences(toc: DataFrame, headings: DataFrame, extra_level: int = 3) -> DataFrame:
@@ -102,27 +104,29 @@ def unexpected_patterns(patterns: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def table_cells(tables: DataFrame) -> DataFrame:
-    """(table_id, row_key, column, value): tables (header, rows) in long form, keyed by the first column."""
-    rows = tables.select("table_id", "header", F.posexplode("rows").alias("row_no", "row"))
-    return rows.select("table_id", F.get("row", F.lit(0)).alias("row_key"), F.posexplode(F.arrays_zip(F.col("header").alias("h"), F.col("row").alias("v"))).alias("n", "c")).where("n > 0").select("table_id", "row_key", F.col("c.h").alias("column"), F.col("c.v").alias("value"))
+    """(doc_id, table_id, row_key, column, value): tables (header, rows) in long form, keyed by the first column."""
+    rows = tables.select("doc_id", "table_id", "header", F.posexplode("rows").alias("row_no", "row"))
+    return rows.select("doc_id", "table_id", F.get("row", F.lit(0)).alias("row_key"), F.posexplode(F.arrays_zip(F.col("header").alias("h"), F.col("row").alias("v"))).alias("n", "c")).where("n > 0").select("doc_id", "table_id", "row_key", F.col("c.h").alias("column"), F.col("c.v").alias("value"))
 
 
 def ragged_rows(tables: DataFrame) -> DataFrame:
-    return tables.select("table_id", F.size("header").alias("n_columns"), F.posexplode("rows").alias("row_no", "row")).where(F.size("row") != F.col("n_columns")).select("table_id", "row_no", "n_columns", F.size("row").alias("n_cells"))
+    return tables.select("doc_id", "table_id", F.size("header").alias("n_columns"), F.posexplode("rows").alias("row_no", "row")).where(F.size("row") != F.col("n_columns")).select("doc_id", "table_id", "row_no", "n_columns", F.size("row").alias("n_cells"))
 
 
 def cell_mismatches(cells: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expectations (table_id, row_key, column, expected) that no cell meets."""
-    joined = expected.join(cells, ["table_id", "row_key", "column"], "left")
+    """Expectations (doc_id, table_id, row_key, column, expected) that no cell meets."""
+    joined = expected.join(cells, ["doc_id", "table_id", "row_key", "column"], "left")
     return joined.where(~F.col("value").eqNullSafe(F.col("expected")))
 
 
 def character_differences(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ch, n_left, n_right): where the two sides' letters and digits do not balance. Counted map-side."""
+    """(key, ch, n_left, n_right): where the two sides' letters and digits do not balance. """
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        chars = df.select(key, F.explode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", ""), "")).alias("ch")).where("ch <> ''")
-        return chars.groupBy(key, "ch").agg(F.count("*").alias(name))
+        kept = df.select(key, F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", "").alias("t")).where("t <> ''")
+        # a row's characters are counted within the row: a row a distinct character leaves it
+        each = F.transform(F.array_distinct(F.split("t", "")), lambda c: F.struct(c.alias("ch"), (F.char_length("t") - F.char_length(F.replace("t", c, F.lit("")))).alias("n")))
+        return kept.select(key, F.explode(each).alias("c")).groupBy(key, F.col("c.ch").alias("ch")).agg(F.sum("c.n").alias(name)).where("ch <> ''")
 
     both = counts(left, "n_left").join(counts(right, "n_right"), [key, "ch"], "full_outer").na.fill(0, ["n_left", "n_right"])
     return both.where("n_left <> n_right")
@@ -156,16 +160,17 @@ def excluded_words(records: DataFrame, words: list[str], text: str = "text") ->
 
 
 def question_pages(questions: DataFrame, headings: DataFrame, records: DataFrame) -> DataFrame:
-    """(query_id, section_id, heading_page, first_page, last_page): where each question's sections lie; null pages: the section is missing."""
-    asked = questions.select("query_id", F.explode("sections").alias("section_id"))
-    at = headings.groupBy(F.col("id").alias("section_id")).agg(F.min("page").alias("heading_page"))
-    span = records.where("section_id is not null").select(F.explode(ancestors(F.col("section_id"))).alias("section_id"), "page_start", "page_end").groupBy("section_id").agg(F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
-    return asked.join(at, "section_id", "left").join(span, "section_id", "left")
+    """(query_id, doc_id, section_id, heading_page, first_page, last_page): where each question's sections lie in its document; null pages: the section is missing."""
+    same = ["doc_id", "section_id"]
+    asked = questions.select("query_id", "doc_id", F.explode("sections").alias("section_id"))
+    at = headings.groupBy("doc_id", F.col("id").alias("section_id")).agg(F.min("page").alias("heading_page"))
+    span = records.where("section_id is not null").select("doc_id", F.explode(ancestors(F.col("section_id"))).alias("section_id"), "page_start", "page_end").groupBy(*same).agg(F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
+    return asked.join(at, same, "left").join(span, same, "left").select("query_id", *same, "heading_page", "first_page", "last_page")
 
 
 def unlisted_needles(needles: DataFrame, questions: DataFrame) -> DataFrame:
-    """Needles in sections that their question does not list."""
-    return needles.join(questions.select("query_id", F.explode("sections").alias("section_id")), ["query_id", "section_id"], "left_anti")
+    """Needles in sections that their question does not list for the document."""
+    return needles.join(questions.select("query_id", "doc_id", F.explode("sections").alias("section_id")), ["query_id", "doc_id", "section_id"], "left_anti")
 
 
 def page_number_faults(lines: DataFrame, pattern: str = r"Page (\d+) of (\d+)") -> DataFrame:

@@ -125,7 +125,7 @@ def contents_lines(spark, sf_dir):
     h = headings(spark, sf_dir).withColumn("n", n)
     cols = lambda text, x, no: ["doc_id", F.lit(0).alias("page"), no.alias("line_no"), (F.col("n") * 14 + 60).cast("double").alias("y0"), F.lit(float(x)).alias("x0"), text.alias("text")]
     titles = h.select(*cols(F.concat_ws(" ", "id", "title"), 72, F.col("n") * 2))
-    leaders = h.select(*cols(F.concat(F.lit("........ "), F.col("page").cast("string")), 300, F.col("n") * 2 + 1))
+    leaders = h.select(*cols(F.concat(F.when(F.col("n") % 2 == 0, "........ ").otherwise(". . . . "), F.col("page").cast("string")), 300, F.col("n") * 2 + 1))
     top = h.select("doc_id").distinct().select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("line_no"), F.lit(56.0).alias("y0"), F.lit(72.0).alias("x0"), F.lit("Table of Contents").alias("text"))
     return titles.unionByName(leaders).unionByName(top)
 
@@ -135,6 +135,22 @@ def i6(spark, sf_dir):
     return layout.contents_entries(contents_lines(spark, sf_dir))
 
 
+def unnumbered(spark, sf_dir):
+    """Lines of which the headings at two places of each page have lost their number."""
+    return b.lines(spark, sf_dir).withColumns({"level": layout.heading_level(), "text": F.when((F.col("line_no") % 40).isin(8, 24), F.col("raw")).otherwise(F.col("text"))})
+
+
+@query("i6_body_start", f"WITH {HEADINGS_SQL} SELECT doc_id, CAST(1 AS BIGINT) AS body_start FROM headings GROUP BY doc_id")
+def i6_body(spark, sf_dir):
+    return layout.body_start(contents_lines(spark, sf_dir))
+
+
+@query("i4_heading_warnings", f"WITH {b.LINES_SQL} SELECT doc_id, page, line_no, text FROM (SELECT * REPLACE (CASE WHEN line_no % 40 IN (8, 24) THEN raw ELSE text END AS text) FROM lines) WHERE (top OR second) AND NOT regexp_matches(text, '^\\d+(\\.\\d+)*\\s+.+$')")
+def i4_warnings(spark, sf_dir):
+    """Some headings have lost their number."""
+    return layout.heading_warnings(unnumbered(spark, sf_dir))
+
+
 CELLS_SQL = b.LINES_SQL + r""",
 rows_ AS (SELECT doc_id, page, line_no, string_split(raw, ' | ') AS cells, y0 FROM lines WHERE contains(raw, ' | ')),
 tabs AS (SELECT doc_id, page, min(y0) AS y0, max(y0) + 12 AS y1, min(line_no) AS first, list(cells ORDER BY line_no) AS rows FROM rows_ GROUP BY doc_id, page)"""
@@ -165,6 +181,34 @@ def i9(spark, sf_dir):
     return layout.attach_captions(page_tables(spark, sf_dir), caps).select("doc_id", "page", "caption_line")
 
 
+ATTACHED_SQL = CELLS_SQL + """,
+cap AS (SELECT t.doc_id, t.page, t.rows, (SELECT max(l.line_no) FROM lines l WHERE l.doc_id = t.doc_id AND l.page = t.page AND NOT contains(l.raw, ' | ') AND l.y0 + 12 <= t.y0 + 3 AND t.y0 - l.y0 - 12 <= 40) AS caption_line FROM tabs t)"""
+
+
+def attached(spark, sf_dir):
+    """Every line that is no table row may be a caption; those of even pages are numbered as tables."""
+    text = F.when(F.col("page") % 2 == 0, F.concat(F.lit("Table "), F.col("page").cast("string"), F.lit(". x"), F.col("raw"))).otherwise(F.col("raw"))
+    caps = b.lines(spark, sf_dir).where(~F.contains("raw", F.lit(" | "))).select("doc_id", "page", "line_no", "y1", text.alias("text"))
+    return caps, layout.attach_captions(page_tables(spark, sf_dir), caps)
+
+
+@query("i9_uncaptioned_tables", f"WITH {ATTACHED_SQL} SELECT doc_id, page FROM cap WHERE caption_line IS NULL")
+def i9_tables(spark, sf_dir):
+    return layout.uncaptioned_tables(attached(spark, sf_dir)[1]).select("doc_id", "page")
+
+
+@query("i9_unused_captions", f"WITH {ATTACHED_SQL} SELECT l.doc_id, l.page, l.line_no FROM lines l LEFT JOIN cap c ON c.doc_id = l.doc_id AND c.page = l.page AND c.caption_line = l.line_no WHERE NOT contains(l.raw, ' | ') AND c.doc_id IS NULL")
+def i9_unused(spark, sf_dir):
+    caps, tables_ = attached(spark, sf_dir)
+    return layout.unused_captions(caps, tables_).select("doc_id", "page", "line_no")
+
+
+@query("i10_table_records", f"WITH {ATTACHED_SQL} SELECT c.doc_id, c.page, CASE WHEN c.caption_line IS NOT NULL AND c.page % 2 = 0 THEN 'Table ' || c.page END AS table_id, coalesce(nullif(CASE WHEN c.page % 2 = 0 THEN 'Table ' || c.page || '. x' || l.raw ELSE l.raw END, ''), 'Table ?') AS caption, array_to_string(c.rows[1], '|') AS header, CAST(len(c.rows) - 1 AS BIGINT) AS n_rows FROM cap c LEFT JOIN lines l ON l.doc_id = c.doc_id AND l.line_no = c.caption_line")
+def i10_records(spark, sf_dir):
+    out = layout.table_records(attached(spark, sf_dir)[1])
+    return out.select("doc_id", "page", "table_id", "caption", F.array_join("header", "|").alias("header"), F.size("rows").alias("n_rows"))
+
+
 @query("i10_table_markdown", f"""WITH {CELLS_SQL}
 SELECT doc_id, page, 'Table ' || page || chr(10) || '| ' || array_to_string(rows[1], ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(rows[1])) || CASE WHEN len(rows) > 1 THEN chr(10) || array_to_string(list_transform(rows[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) ELSE '' END AS text FROM tabs""")
 def i10(spark, sf_dir):
@@ -179,8 +223,7 @@ tagged AS (SELECT l.doc_id, l.line_no, last_value(CASE WHEN h.level = 1 THEN h.i
 SELECT doc_id, line_no, CASE WHEN at2 IS NOT NULL AND (at1 IS NULL OR at2 > at1) THEN id2 ELSE id1 END AS section_id,
   list_filter([one, CASE WHEN at2 IS NOT NULL AND (at1 IS NULL OR at2 > at1) THEN two END], lambda x: x IS NOT NULL) AS section_path FROM tagged""")
 def i11(spark, sf_dir):
-    level = F.when(F.col("raw").rlike(r"\S"), layout.heading_level()).otherwise(0)
-    lines = b.lines(spark, sf_dir).withColumns({"pos": F.col("line_no"), "level": level, "heading_id": heading_id(F.col("text")), "heading_title": heading_title(F.col("text"))})
+    lines = b.lines(spark, sf_dir).withColumns({"pos": F.col("line_no"), "level": layout.heading_level(), "heading_id": heading_id(F.col("text")), "heading_title": heading_title(F.col("text"))})
     return layout.with_sections(lines).select("doc_id", "line_no", "section_id", "section_path")
 
 
@@ -231,9 +274,14 @@ def i15(spark, sf_dir):
     return b.records(spark, sf_dir).select("doc_id", "pos", "id", "n_chars")
 
 
-@query("i16_parse_report", f"WITH {b.RECORDS_SQL} SELECT doc_id, type AS kind, count(*) AS n FROM records GROUP BY doc_id, type")
+@query("i16_parse_report", f"""WITH {SPLIT_SQL}
+SELECT doc_id, 'records' AS part, type AS key, count(*) AS n FROM records GROUP BY doc_id, type
+UNION ALL SELECT doc_id, 'headings', CASE WHEN top THEN '1' ELSE '2' END, count(*) FROM lines WHERE (top OR second) AND regexp_matches(raw, '\\S') GROUP BY doc_id, top
+UNION ALL SELECT doc_id, 'removed', regexp_replace(text, '\\d+', '#', 'g'), count(*) FROM lines WHERE NOT y0 BETWEEN 55 AND 775 GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'joins', CAST(pos AS VARCHAR), count(*) FROM joins WHERE joined GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'warnings', CAST(page AS VARCHAR), count(*) FROM (SELECT * REPLACE (CASE WHEN line_no % 40 IN (8, 24) THEN raw ELSE text END AS text) FROM lines) WHERE (top OR second) AND NOT regexp_matches(text, '^\\d+(\\.\\d+)*\\s+.+$') GROUP BY doc_id, page""")
 def i16(spark, sf_dir):
-    return layout.parse_report(b.records(spark, sf_dir))
+    return layout.parse_report(b.records(spark, sf_dir), headings(spark, sf_dir), layout.running_lines(b.lines(spark, sf_dir)), layout.stitch_log(split_records(spark, sf_dir)), layout.heading_warnings(unnumbered(spark, sf_dir)))
 
 
 @query("i17_touching_page", f"WITH {b.RECORDS_SQL} SELECT doc_id, id FROM records WHERE 2 BETWEEN page_start AND page_end")
@@ -271,12 +319,15 @@ def c5(spark, sf_dir):
 
 # --- answers --------------------------------------------------------------------------------------
 
-BLOCK_SQL = "'--- [CHUNK ' || chunk_id || ' | Section ' || section_id || ': ' || section_title || ' | ' || CASE WHEN page_end = 1 THEN 'p. 1' ELSE 'pp. 1-' || page_end END || '] ---' || chr(10) || text"
+BLOCK_SQL = "'--- [CHUNK ' || chunk_id || ' | Section ' || CASE WHEN chunk_id % 7 = 0 THEN 'Unknown' ELSE section_id END || ': ' || section_title || ' | ' || CASE WHEN page_end = 1 THEN 'p. 1' ELSE 'pp. 1-' || page_end END || '] ---' || chr(10) || CASE WHEN chunk_id % 3 <> 0 THEN '[tag] ' ELSE '' END || text"
 CONTEXT_SQL = f"WITH {b.RETRIEVED_SQL}, ctx AS (SELECT query_id, string_agg({BLOCK_SQL}, chr(10) || chr(10) ORDER BY final_rank) AS context FROM retrieved GROUP BY query_id)"
 
 
 def contexts(spark, sf_dir):
-    return answers.format_context(b.retrieved(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string")))
+    """Every third chunk has no embed text, every seventh no section."""
+    n = F.col("chunk_id")
+    r = b.retrieved(spark, sf_dir).withColumns({"embed_text": F.when(n % 3 != 0, F.concat(F.lit("[tag] "), "embed_text")), "section_id": F.when(n % 7 != 0, F.col("section_id"))})
+    return answers.format_context(r.withColumn("chunk_id", n.cast("string")))
 
 
 @query("g1_format_context", CONTEXT_SQL + " SELECT * FROM ctx")
@@ -313,9 +364,11 @@ def g4(spark, sf_dir):
     return answers.parse_responses(r).select("query_id", "answer", F.size("citations").alias("n_citations"), "refusal")
 
 
-@query("g5_enrich_citations", f"""WITH {b.CITATIONS_SQL} SELECT c.query_id, c.chunk_id, coalesce((SELECT max(r.section_title) FROM retrieved r WHERE r.query_id = c.query_id AND r.section_id = c.section_id), 'Section ' || c.section_id) AS section_title FROM citations c""")
+@query("g5_enrich_citations", f"""WITH {b.CITATIONS_SQL} SELECT c.query_id, c.chunk_id, coalesce((SELECT arg_max(r.section_title, r.final_rank) FROM retrieved r WHERE r.query_id = c.query_id AND regexp_extract(r.section_id, '^\\d+\\.\\d+') = regexp_extract(c.section_id, '^\\d+\\.\\d+')), 'Section ' || regexp_extract(c.section_id, '^\\d+\\.\\d+')) AS section_title FROM citations c""")
 def g5(spark, sf_dir):
-    return answers.enrich_citations(b.citations(spark, sf_dir), b.retrieved(spark, sf_dir)).select("query_id", "chunk_id", "section_title")
+    """Sections are language and source, so that a query retrieves several chunks of one."""
+    section = F.regexp_extract("section_id", r"^\d+\.\d+", 0)
+    return answers.enrich_citations(b.citations(spark, sf_dir).withColumn("section_id", section), b.retrieved(spark, sf_dir).withColumn("section_id", section)).select("query_id", "chunk_id", "section_title")
 
 
 AMEND_SQL = b.RECORDS_SQL + ",\namend AS (SELECT doc_id, CAST(pos % 9 AS INTEGER) AS number, make_date(2026, CAST(pos % 12 AS INTEGER) + 1, 1) AS effective, section_id FROM records WHERE pos % 13 = 0)"
@@ -336,12 +389,12 @@ def g6(spark, sf_dir):
 
 
 @query("g7_amended_citations", f"""WITH {AMEND_SQL}, c AS (SELECT doc_id AS query_id, section_id, CASE WHEN pos % 5 = 0 THEN 'see amendment ' || pos || ' here' ELSE text END AS quote FROM records)
-SELECT query_id, bool_or(section_id IN (SELECT section_id FROM amend) OR (regexp_extract(lower(quote), 'amendment (\\d+)', 1) <> '' AND CAST(nullif(regexp_extract(lower(quote), 'amendment (\\d+)', 1), '') AS INTEGER) IN (SELECT number FROM amend))) AS amended FROM c GROUP BY query_id""")
+SELECT query_id, bool_or(EXISTS (SELECT 1 FROM amend a WHERE a.doc_id = c.query_id AND (a.section_id = c.section_id OR a.number = CAST(nullif(regexp_extract(lower(quote), 'amendment (\\d+)', 1), '') AS INTEGER)))) AS amended FROM c GROUP BY query_id""")
 def g7(spark, sf_dir):
     """Every record cites its section; every fifth line names an amendment by its line number."""
     r = b.records(spark, sf_dir)
     quote = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("see amendment "), F.col("pos").cast("string"), F.lit(" here"))).otherwise(F.col("text"))
-    return answers.amended_citations(r.select(F.col("doc_id").alias("query_id"), "section_id", quote.alias("quote")), answers.amendments(amendment_records(spark, sf_dir)))
+    return answers.amended_citations(r.select(F.col("doc_id").alias("query_id"), "doc_id", "section_id", quote.alias("quote")), answers.amendments(amendment_records(spark, sf_dir)))
 
 
 # --- streams --------------------------------------------------------------------------------------

@@ -62,16 +62,17 @@ def q5(spark, sf_dir):
 
 
 NEEDLE_SQL = b.CHUNKS_SQL + r""",
-needles AS (SELECT doc_id AS query_id, regexp_extract(section_id, '^\d+\.\d+') AS section_id, CASE WHEN doc_id % 4 = 0 THEN upper(display_text) || ' zz' ELSE upper(display_text) END AS needle FROM chunks WHERE chunk_no = 1 AND doc_id % 50 = 0)"""
+needles AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS doc_id, regexp_extract(section_id, '^\d+\.\d+') AS section_id, translate(display_text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || CASE WHEN doc_id % 4 = 0 THEN ' zz' ELSE '' END AS needle FROM chunks WHERE chunk_no = 1)"""
 
 
 def needles(spark, sf_dir):
-    """The first chunk of every fiftieth document, in capitals, is to be found in the subtree of its source; every other one has been changed."""
-    c = b.chunks(spark, sf_dir).where("chunk_no = 1 and doc_id % 50 = 0")
-    return c.select(F.col("doc_id").alias("query_id"), F.regexp_extract("section_id", r"^\d+\.\d+", 0).alias("section_id"), F.concat(F.upper("display_text"), F.when(F.col("doc_id") % 4 == 0, " zz").otherwise("")).alias("needle"))
+    """The first chunk of every document, in capitals, is to be found in its source's sections of the document; every fourth has been changed, every fifth is asked of the next document, which has the same sections or none."""
+    d = F.col("doc_id")
+    c = b.chunks(spark, sf_dir).where("chunk_no = 1")
+    return c.select(d.alias("query_id"), F.when(d % 5 == 0, d + 1).otherwise(d).alias("doc_id"), F.regexp_extract("section_id", r"^\d+\.\d+", 0).alias("section_id"), F.concat(F.translate("display_text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.when(F.col("doc_id") % 4 == 0, " zz").otherwise("")).alias("needle"))
 
 
-@query("q6_needles", f"WITH {NEEDLE_SQL}, whole AS (SELECT n.query_id, string_agg(c.display_text, ' ' ORDER BY c.doc_id, c.chunk_no) AS t, any_value(n.needle) AS needle FROM needles n JOIN chunks c ON starts_with(c.section_id, n.section_id || '.') GROUP BY n.query_id) SELECT query_id, contains(lower(t), lower(needle)) AS found FROM whole")
+@query("q6_needles", f"WITH {NEEDLE_SQL}, whole AS (SELECT n.query_id, string_agg(c.display_text, ' ' ORDER BY c.chunk_no) AS t, any_value(n.needle) AS needle FROM needles n LEFT JOIN chunks c ON c.doc_id = n.doc_id AND starts_with(c.section_id, n.section_id || '.') GROUP BY n.query_id) SELECT query_id, coalesce(contains(lower(t), lower(needle)), false) AS found FROM whole")
 def q6(spark, sf_dir):
     return qa.needles_found(needles(spark, sf_dir), b.chunks(spark, sf_dir)).select("query_id", "found")
 
@@ -124,33 +125,33 @@ def q9_patterns(spark, sf_dir):
 
 def cell_tables(spark, sf_dir):
     t = page_tables(spark, sf_dir)
-    return t.select(F.concat_ws(".", F.col("doc_id").cast("string"), F.col("page").cast("string")).alias("table_id"), F.col("rows")[0].alias("header"), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))).alias("rows"))
+    return t.select("doc_id", F.concat(F.lit("Table "), F.col("page").cast("string")).alias("table_id"), F.col("rows")[0].alias("header"), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))).alias("rows"))
 
 
 CELL_SQL = CELLS_SQL + """,
-ct AS (SELECT doc_id || '.' || page AS table_id, rows[1] AS header, rows[2:] AS body FROM tabs),
-cr AS (SELECT table_id, header, unnest(body) AS row FROM ct),
-cc AS (SELECT table_id, row[1] AS row_key, unnest(range(2, greatest(len(header), len(row)) + 1)) AS i, header, row FROM cr)"""
+ct AS (SELECT doc_id, 'Table ' || page AS table_id, rows[1] AS header, rows[2:] AS body FROM tabs),
+cr AS (SELECT doc_id, table_id, header, unnest(body) AS row FROM ct),
+cc AS (SELECT doc_id, table_id, row[1] AS row_key, unnest(range(2, greatest(len(header), len(row)) + 1)) AS i, header, row FROM cr)"""
 
 
-@query("q10_table_cells", f"WITH {CELL_SQL} SELECT table_id, row_key, header[i] AS \"column\", row[i] AS value FROM cc")
+@query("q10_table_cells", f"WITH {CELL_SQL} SELECT doc_id, table_id, row_key, header[i] AS \"column\", row[i] AS value FROM cc")
 def q10(spark, sf_dir):
     return qa.table_cells(cell_tables(spark, sf_dir))
 
 
-@query("q10_ragged_rows", f"WITH {CELL_SQL} SELECT table_id, len(header) AS n_columns, len(row) AS n_cells FROM cr WHERE len(header) <> len(row)")
+@query("q10_ragged_rows", f"WITH {CELL_SQL} SELECT doc_id, table_id, len(header) AS n_columns, len(row) AS n_cells FROM cr WHERE len(header) <> len(row)")
 def q10_ragged(spark, sf_dir):
     return qa.ragged_rows(cell_tables(spark, sf_dir)).drop("row_no")
 
 
-@query("q10_cell_mismatches", f"WITH {CELL_SQL}, e AS (SELECT table_id, row_key, header[i] AS \"column\", CASE WHEN length(row_key) % 3 = 0 THEN row[i] || '?' ELSE row[i] END AS expected, row[i] AS value FROM cc WHERE header[i] IS NOT NULL AND row[i] IS NOT NULL), u AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY table_id, row_key, \"column\") = 1) SELECT table_id, row_key, \"column\", expected, value FROM u WHERE expected <> value")
+@query("q10_cell_mismatches", f"WITH {CELL_SQL}, e AS (SELECT doc_id, table_id, row_key, header[i] AS \"column\", CASE WHEN length(row_key) % 3 = 0 THEN row[i] || '?' ELSE row[i] END AS expected, row[i] AS value FROM cc WHERE header[i] IS NOT NULL AND row[i] IS NOT NULL), u AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, table_id, row_key, \"column\") = 1) SELECT doc_id, table_id, row_key, \"column\", expected, value FROM u WHERE expected <> value")
 def q10_mismatches(spark, sf_dir):
     """Unambiguous cells are expected as they are, those of some rows with a mark that no cell has."""
     from pyspark.sql import Window
 
     cells = qa.table_cells(cell_tables(spark, sf_dir)).where("column is not null and value is not null")
-    one = cells.withColumn("n", F.count("*").over(Window.partitionBy("table_id", "row_key", "column"))).where("n = 1").drop("n")
-    expected = one.select("table_id", "row_key", "column", F.when(F.length("row_key") % 3 == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value")).alias("expected"))
+    one = cells.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "table_id", "row_key", "column"))).where("n = 1").drop("n")
+    expected = one.select("doc_id", "table_id", "row_key", "column", F.when(F.length("row_key") % 3 == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value")).alias("expected"))
     return qa.cell_mismatches(one, expected)
 
 
@@ -193,23 +194,23 @@ def q14(spark, sf_dir):
 def section_questions(spark, sf_dir):
     """Every document asks for its first page's section and for its source's, which has no heading."""
     r = b.records(spark, sf_dir).groupBy("doc_id").agg(F.min("section_id").alias("s"))
-    return r.select(F.col("doc_id").alias("query_id"), F.array(F.col("s"), F.regexp_extract("s", r"^\d+\.\d+", 0), F.lit("0.0")).alias("sections"))
+    return r.select(F.col("doc_id").alias("query_id"), "doc_id", F.array(F.col("s"), F.regexp_extract("s", r"^\d+\.\d+", 0), F.lit("0.0")).alias("sections"))
 
 
-@query("q15_question_pages", f"""WITH {b.RECORDS_SQL}, q AS (SELECT doc_id AS query_id, min(section_id) AS s FROM records GROUP BY doc_id), a AS (SELECT query_id, unnest([s, regexp_extract(s, '^\\d+\\.\\d+'), '0.0']) AS section_id FROM q),
-h AS (SELECT section_id, min(page_start) AS heading_page FROM records GROUP BY section_id),
-sp AS (SELECT x AS section_id, min(page_start) AS first_page, max(page_end) AS last_page FROM (SELECT page_start, page_end, unnest([split_part(section_id, '.', 1), regexp_extract(section_id, '^\\d+\\.\\d+'), section_id]) AS x FROM records) GROUP BY x)
-SELECT query_id, section_id, heading_page, first_page, last_page FROM a LEFT JOIN h USING (section_id) LEFT JOIN sp USING (section_id)""")
+@query("q15_question_pages", f"""WITH {b.RECORDS_SQL}, q AS (SELECT doc_id AS query_id, doc_id, min(section_id) AS s FROM records GROUP BY doc_id), a AS (SELECT query_id, doc_id, unnest([s, regexp_extract(s, '^\\d+\\.\\d+'), '0.0']) AS section_id FROM q),
+h AS (SELECT doc_id, section_id, min(page_start) AS heading_page FROM records GROUP BY doc_id, section_id),
+sp AS (SELECT doc_id, x AS section_id, min(page_start) AS first_page, max(page_end) AS last_page FROM (SELECT doc_id, page_start, page_end, unnest([split_part(section_id, '.', 1), regexp_extract(section_id, '^\\d+\\.\\d+'), section_id]) AS x FROM records) GROUP BY doc_id, x)
+SELECT query_id, doc_id, section_id, heading_page, first_page, last_page FROM a LEFT JOIN h USING (doc_id, section_id) LEFT JOIN sp USING (doc_id, section_id)""")
 def q15(spark, sf_dir):
     r = b.records(spark, sf_dir)
-    heads = r.select(F.col("section_id").alias("id"), F.col("page_start").alias("page"))
+    heads = r.select("doc_id", F.col("section_id").alias("id"), F.col("page_start").alias("page"))
     return qa.question_pages(section_questions(spark, sf_dir), heads, r)
 
 
 @query("q15_unlisted_needles", f"WITH {NEEDLE_SQL} SELECT query_id, section_id FROM needles WHERE query_id % 100 <> 0")
 def q15_unlisted(spark, sf_dir):
     n = needles(spark, sf_dir)
-    listed = n.select("query_id", F.when(F.col("query_id") % 100 == 0, ancestors(F.col("section_id"))).otherwise(F.array().cast("array<string>")).alias("sections"))
+    listed = n.select("query_id", "doc_id", F.when(F.col("query_id") % 100 == 0, ancestors(F.col("section_id"))).otherwise(F.array().cast("array<string>")).alias("sections"))
     return qa.unlisted_needles(n, listed).select("query_id", "section_id")
 
 

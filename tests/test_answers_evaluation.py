@@ -22,7 +22,9 @@ def retrieved(spark):
 def test_context_and_prompt(spark):
     ctx = an.format_context(retrieved(spark))
     got = {r.query_id: r.context for r in ctx.collect()}
-    assert got["q1"] == "--- [CHUNK c1 | Section 5: Early | p. 3] ---\nFirst text. Students must register by Friday\n\n--- [CHUNK c2 | Section 5.5: Late | pp. 4-5] ---\nSecond text"
+    assert got["q1"] == "--- [CHUNK c1 | Section 5: Early | p. 3] ---\n[x]\nFirst text. Students must register by Friday\n\n--- [CHUNK c2 | Section 5.5: Late | pp. 4-5] ---\n[x]\nSecond text"
+    bare = retrieved(spark).where("chunk_id = 'c2'").withColumns({"embed_text": F.lit(None).cast("string"), "section_id": F.lit(None).cast("string")})
+    assert an.format_context(bare).first().context == "--- [CHUNK c2 | Section Unknown: Late | pp. 4-5] ---\nSecond text"
     p = {r.query_id: r.prompt for r in an.prompts(spark.createDataFrame([("q1", "Who?"), ("q3", "What?")], "query_id string, question string"), ctx).collect()}
     assert p["q1"].endswith("\n\nQUESTION: Who?") and p["q3"] == "CONTEXT:\n\n\nQUESTION: What?"
 
@@ -54,8 +56,17 @@ def test_amendments(spark):
     rec = spark.createDataFrame([(1, "amendment", "AMENDMENT 1 (effective 1 January 2026).", "fee is now 600", "5.3"), (1, "exception", "Exception to 2.", "x", "6"), (1, "amendment", "AMENDMENT 2", "effective 31 March 2027 x", "7"), (1, None, None, "AMENDMENT 3", "8")], "doc_id int, callout_kind string, lead_in string, text string, section_id string")
     cat = an.amendments(rec)
     assert {(r.number, r.effective, r.section_id) for r in cat.collect()} == {(1, datetime.date(2026, 1, 1), "5.3"), (2, datetime.date(2027, 3, 31), "7")}
-    cites = spark.createDataFrame([("a", "5.3", "x"), ("b", "1", "see Amendment 2 there"), ("c", "1", "amendment 9"), ("d", "5", "no")], "query_id string, section_id string, quote string")
-    assert {r.query_id: r.amended for r in an.amended_citations(cites, cat).collect()} == {"a": True, "b": True, "c": False, "d": False}
+    cites = spark.createDataFrame([("a", 1, "5.3", "x"), ("b", 1, "1", "see Amendment 2 there"), ("c", 1, "1", "amendment 9"), ("d", 1, "5", "no"), ("e", 2, "5.3", "amendment 1")], "query_id string, doc_id int, section_id string, quote string")
+    assert {r.query_id: r.amended for r in an.amended_citations(cites, cat).collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False}
+
+
+def test_sections_are_those_of_the_questions_document(spark):
+    truth = spark.createDataFrame([("q", 1, "x", ["5"]), ("r", 2, "x", ["5"])], "query_id string, doc_id long, type string, sections array<string>")
+    got = spark.createDataFrame([("q", 2, "c1", "5", "Other", 1), ("q", 1, "c2", "5.1", "Own", 2), ("q", 1, "c3", "5", "Own five", 3), ("r", 1, "c2", "5.1", "Own", 1)], "query_id string, doc_id long, chunk_id string, section_id string, section_title string, final_rank int")
+    assert {r.query_id: (r.hit, r.recall) for r in ev.section_recall(truth, got).collect()} == {"q": (1.0, 1.0), "r": (0.0, 0.0)}
+    assert {r.query_id: r.first_rank for r in ev.first_ranks(truth, got).collect()} == {"q": 3, "r": None}
+    cites = spark.createDataFrame([("q", 2, "c9", "5"), ("q", 1, "c9", "5")], "query_id string, doc_id long, chunk_id string, section_id string")
+    assert {r.doc_id: r.section_title for r in an.enrich_citations(cites, got).collect()} == {1: "Own five", 2: "Other"}
 
 
 TRUTH = "query_id string, type string, sections array<string>"

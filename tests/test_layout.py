@@ -65,9 +65,12 @@ def test_running_lines(spark):
 
 
 def test_contents(spark):
-    rows = [line(1, "Table of Contents", 60), line(2, "1 One", 80), line(3, ".......... 5", 81, x0=300.0), line(4, "1.1 Two", 100), line(5, "........ 6", 103, x0=300.0), line(6, "2 Three", 60, page=2), line(7, "..... 9", 60, x0=300.0, page=2), line(8, "body", 60, page=3), line(9, "3 No", 60, page=4), line(10, "..... 9", 60, page=4)]
+    rows = [line(1, "Table of Contents", 60), line(2, "1 One", 80), line(3, ".......... 5", 81, x0=300.0), line(4, "1.1 Two", 100), line(5, ". . . . 6", 103, x0=300.0), line(6, "2 Three", 60, page=2), line(7, "..... 9", 60, x0=300.0, page=2), line(8, "body", 60, page=3), line(9, "3 No", 60, page=4), line(10, "..... 9", 60, page=4)]
     df = spark.createDataFrame(rows, LINE)
     assert sorted(r.page for r in layout.contents_pages(df).collect()) == [1, 2]
+    assert [r.body_start for r in layout.body_start(df).collect()] == [3]
+    spaced = df.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\.", ". "), "  ", " "))  # "1. 1 Two" is no heading then
+    assert {(r.id, r.page) for r in layout.contents_entries(spaced).collect()} == {("1", 5), ("2", 9)}
     assert {(r.id, r.title, r.page, r.level) for r in layout.contents_entries(df).collect()} == {("1", "One", 5, 1), ("2", "Three", 9, 1)}
 
 
@@ -78,22 +81,27 @@ def test_tables_take_lines_and_captions(spark):
     tables = spark.createDataFrame([(1, 1, 1, 70.0, 200.0, 500.0, 300.0, [["a"]]), (1, 1, 2, 70.0, 230.0, 500.0, 300.0, [["a"]]), (1, 1, 3, 70.0, 500.0, 500.0, 600.0, [["a"]]), (1, 1, 4, 70.0, 700.0, 500.0, 710.0, [["a"]])], TABLE)
     lines = spark.createDataFrame([line(1, "in", 250), line(2, "left", 250, x0=10.0), line(3, "below", 320)], LINE)
     assert sorted(r.line_no for r in layout.outside_tables(lines, tables).collect()) == [2, 3]
-    caps = spark.createDataFrame([line(1, "Table 1", 175), line(2, "Table 3", 448), line(3, "Table 4", 647)], LINE)  # bottoms 187, 460, 659
+    caps = spark.createDataFrame([line(1, "Table 1. Fees", 175), line(2, "Table 3. Dates", 448), line(3, "Table 4. Rest", 647)], LINE)  # bottoms 187, 460, 659
     got = layout.attach_captions(tables, caps)
     # the first table takes the caption that the second could have had; 40 above is near enough, 41 is not
-    assert {r.table_no: r.caption for r in got.collect()} == {1: "Table 1", 2: None, 3: "Table 3", 4: None}
-    assert [r.text for r in layout.unused_captions(caps, got).collect()] == ["Table 4"]
+    assert {r.table_no: r.caption for r in got.collect()} == {1: "Table 1. Fees", 2: None, 3: "Table 3. Dates", 4: None}
+    assert [r.text for r in layout.unused_captions(caps, got).collect()] == ["Table 4. Rest"]
+    assert sorted(r.table_no for r in layout.uncaptioned_tables(got).collect()) == [2, 4]
     rec = {r.table_no: r for r in layout.table_records(got).collect()}
-    assert rec[3].table_id == "3" and rec[2].table_id is None and rec[2].text.startswith("Table ?\n")
+    assert rec[3].table_id == "Table 3" and rec[2].table_id is None and rec[2].text.startswith("Table ?\n")
+    assert rec[3].header == ["a"] and rec[3].rows == [] and rec[3].text == "Table 3. Dates\n| a |\n|---|"
 
 
 def test_sections_reset_deeper_levels(spark):
-    rows = [(1, 0, 0, None, None), (1, 1, 1, "1", "A"), (1, 2, 0, None, None), (1, 3, 2, "1.1", "B"), (1, 4, 3, "1.1.1", "C"), (1, 5, 0, None, None), (1, 6, 2, "1.2", "D"), (1, 7, 0, None, None), (1, 8, 1, "2", "E"), (1, 9, 3, "2.0.1", "F"), (2, 1, 0, None, None)]
+    rows = [(1, 0, 0, None, None), (1, 1, 1, "1", "A"), (1, 2, 0, None, None), (1, 3, 2, "1.1", "B"), (1, 4, 3, "1.1.1", "C"), (1, 5, 0, None, None), (1, 6, 2, "1.2", "D"), (1, 7, 0, None, None), (1, 8, 1, "2", "E"), (1, 9, 3, "2.0.1", "F"), (1, 10, 1, "", ""), (1, 11, 0, None, None), (2, 1, 0, None, None)]
     got = {(r.doc_id, r.pos): r for r in layout.with_sections(spark.createDataFrame(rows, "doc_id long, pos int, level int, heading_id string, heading_title string")).collect()}
     assert got[1, 0].section_id is None and got[1, 0].section_path == []
     assert got[1, 5].section_path == ["1 A", "1.1 B", "1.1.1 C"] and got[1, 5].section_title == "C"
     assert got[1, 7].section_path == ["1 A", "1.2 D"] and got[1, 8].section_path == ["2 E"] and got[1, 9].section_path == ["2 E", "2.0.1 F"]
     assert got[2, 1].section_id is None
+    assert got[1, 11].section_path == ["2 E", "2.0.1 F"]  # a heading without a number is none
+    bare = spark.createDataFrame([(1, 1, 4, "Untitled", 2), (1, 1, 5, "3 Titled", 2), (1, 1, 6, "plain", 0)], "doc_id long, page int, line_no int, text string, level int")
+    assert [r.text for r in layout.heading_warnings(bare).collect()] == ["Untitled"]
 
 
 def test_element_kinds(spark):
@@ -137,7 +145,11 @@ def test_page_breaks(spark):
 def test_numbering_and_report(spark):
     df = layout.numbered(spark.createDataFrame([(1, 5, "ab", "paragraph"), (1, 9, "c", "list_item"), (2, 1, "d", "paragraph")], "doc_id long, pos long, text string, type string"))
     assert {(r.doc_id, r.pos): (r.id, r.n_chars) for r in df.collect()} == {(1, 5): ("rec0001", 2), (1, 9): ("rec0002", 1), (2, 1): ("rec0001", 1)}
-    assert {(r.doc_id, r.kind): r.n for r in layout.parse_report(df).collect()} == {(1, "paragraph"): 1, (1, "list_item"): 1, (2, "paragraph"): 1}
+    heads = spark.createDataFrame([(1, 1), (1, 2), (1, 2)], "doc_id long, level int")
+    running = spark.createDataFrame([(2, "Page #", 4)], "doc_id long, pattern string, n_lines long")
+    at = spark.createDataFrame([(1, 3)], "doc_id long, page int")
+    got = {(r.doc_id, r.part, r.key): r.n for r in layout.parse_report(df, heads, running, at, at).collect()}
+    assert got == {(1, "records", "paragraph"): 1, (1, "records", "list_item"): 1, (2, "records", "paragraph"): 1, (1, "headings", "1"): 1, (1, "headings", "2"): 2, (2, "removed", "Page #"): 4, (1, "joins", "3"): 1, (1, "warnings", "3"): 1}
 
 
 def test_chunks(spark):

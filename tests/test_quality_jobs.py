@@ -35,9 +35,9 @@ def test_prefix_and_field_faults(spark):
 
 
 def test_needles(spark):
-    c = spark.createDataFrame([(1, 1, "5.1", "Fee is  MRL"), (1, 2, "5.1.2", "2,500 a term"), (1, 3, "52", "other")], "doc_id long, chunk_no long, section_id string, display_text string")
-    n = spark.createDataFrame([("a", "5", "fee IS mrl 2,500"), ("b", "5.1.2", "fee"), ("c", "5", "other"), ("d", "9", "x")], "query_id string, section_id string, needle string")
-    assert {r.query_id: r.found for r in qa.needles_found(n, c).collect()} == {"a": True, "b": False, "c": False, "d": False}
+    c = spark.createDataFrame([(1, 1, "5.1", "Fee is  MRL"), (1, 2, "5.1.2", "2,500 a term"), (1, 3, "52", "other"), (2, 1, "5.1", "held by the second document only")], "doc_id long, chunk_no long, section_id string, display_text string")
+    n = spark.createDataFrame([("a", 1, "5", "fee IS mrl 2,500"), ("b", 1, "5.1.2", "fee"), ("c", 1, "5", "other"), ("d", 1, "9", "x"), ("e", 1, "5", "held by"), ("f", 2, "5", "held by"), ("g", 2, "5.1", "fee")], "query_id string, doc_id long, section_id string, needle string")
+    assert {r.query_id: r.found for r in qa.needles_found(n, c).collect()} == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": True, "g": False}
 
 
 def test_contents_and_numbering(spark):
@@ -59,12 +59,12 @@ def test_leaks_patterns_and_sets(spark):
 
 
 def test_table_cells(spark):
-    t = spark.createDataFrame([("t1", ["k", "x", "y"], [["a", "1", "2"], ["b", "3"]])], "table_id string, header array<string>, rows array<array<string>>")
+    t = spark.createDataFrame([(1, "Table 1", ["k", "x", "y"], [["a", "1", "2"], ["b", "3"]]), (2, "Table 1", ["k", "x"], [["a", "7"]])], "doc_id long, table_id string, header array<string>, rows array<array<string>>")
     cells = qa.table_cells(t)
-    assert {(r.row_key, r.column): r.value for r in cells.collect()} == {("a", "x"): "1", ("a", "y"): "2", ("b", "x"): "3", ("b", "y"): None}
+    assert {(r.doc_id, r.row_key, r.column): r.value for r in cells.collect()} == {(1, "a", "x"): "1", (1, "a", "y"): "2", (1, "b", "x"): "3", (1, "b", "y"): None, (2, "a", "x"): "7"}
     assert [(r.row_no, r.n_cells) for r in qa.ragged_rows(t).collect()] == [(1, 2)]
-    want = spark.createDataFrame([("t1", "a", "x", "1"), ("t1", "a", "y", "9"), ("t1", "z", "x", "1")], "table_id string, row_key string, column string, expected string")
-    assert {(r.row_key, r.column) for r in qa.cell_mismatches(cells, want).collect()} == {("a", "y"), ("z", "x")}
+    want = spark.createDataFrame([(1, "Table 1", "a", "x", "1"), (1, "Table 1", "a", "y", "9"), (1, "Table 1", "z", "x", "1"), (2, "Table 1", "a", "x", "1")], "doc_id long, table_id string, row_key string, column string, expected string")
+    assert {(r.doc_id, r.row_key, r.column) for r in qa.cell_mismatches(cells, want).collect()} == {(1, "a", "y"), (1, "z", "x"), (2, "a", "x")}
 
 
 def test_text_counts_and_words(spark):
@@ -80,12 +80,12 @@ def test_text_counts_and_words(spark):
 
 
 def test_questions_and_pages(spark):
-    q = spark.createDataFrame([("a", ["5", "9"])], "query_id string, sections array<string>")
-    h = spark.createDataFrame([("5", 3)], "id string, page int")
-    r = spark.createDataFrame([("5.1", 4, 5), ("5", 3, 3), ("52", 9, 9), (None, 1, 1)], "section_id string, page_start int, page_end int")
+    q = spark.createDataFrame([("a", 1, ["5", "9"])], "query_id string, doc_id long, sections array<string>")
+    h = spark.createDataFrame([(1, "5", 3), (2, "5", 1), (2, "9", 2)], "doc_id long, id string, page int")
+    r = spark.createDataFrame([(1, "5.1", 4, 5), (1, "5", 3, 3), (1, "52", 9, 9), (1, None, 1, 1), (2, "5.2", 1, 8), (2, "9", 2, 2)], "doc_id long, section_id string, page_start int, page_end int")
     assert {x.section_id: (x.heading_page, x.first_page, x.last_page) for x in qa.question_pages(q, h, r).collect()} == {"5": (3, 3, 5), "9": (None, None, None)}
-    n = spark.createDataFrame([("a", "5", "x"), ("a", "7", "y")], "query_id string, section_id string, needle string")
-    assert [x.section_id for x in qa.unlisted_needles(n, q).collect()] == ["7"]
+    n = spark.createDataFrame([("a", 1, "5", "x"), ("a", 1, "7", "y"), ("a", 2, "9", "y")], "query_id string, doc_id long, section_id string, needle string")
+    assert sorted(x.section_id for x in qa.unlisted_needles(n, q).collect()) == ["7", "9"]
     lines = spark.createDataFrame([(1, 1, "cover"), (1, 2, "Page 2 of 4"), (1, 3, "Page 3 of 9"), (1, 4, "none")], "doc_id long, page int, text string")
     assert sorted(x.page for x in qa.page_number_faults(lines).collect()) == [3, 4]
 
