@@ -254,6 +254,97 @@ def test_language_fuses_evidence_and_rejects(spark):
     assert [out[k].accepted for k in (0, 100, 202, 203, 204)] == [True, True, False, False, True] and out[202].lang == out[203].lang == "und"
 
 
+def plain_fusion(rows, labelled, weight=40.0, strength=20.0):
+    """(language, posterior) of rows (id, text, declared, host), with the evidence counted in dictionaries."""
+    from math import exp, log
+
+    langs = sorted({x for _, x in labelled})
+    counts = {x: np.full(langid.BUCKETS, 0.05) for x in langs}
+    for t, x in labelled:
+        counts[x] += np.bincount(langid.trigram_hash(t), minlength=langid.BUCKETS)
+    logp = {x: np.log(c / c.sum()).astype(np.float32) for x, c in counts.items()}
+    ll, best = [], []
+    for _, t, _, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            ll.append(None)
+            best.append(None)
+            continue
+        h = langid.trigram_hash(t)
+        s = [logp[x][h].astype(float).sum() * min(1.0, weight / len(h)) for x in langs]
+        ll.append(s)
+        best.append(langs[int(np.argmax(s))])
+    low = [(d.split("-")[0].lower() if d else None, h.lower() if h else None) for _, _, d, h in rows]
+    tally = lambda keep: [sum(b == x and keep(*k) for b, k in zip(best, low, strict=True)) for x in langs]
+    smooth = lambda n, up: [(a + strength * p) / (sum(n) + strength) for a, p in zip(n, up, strict=True)]
+    suffix = lambda h: h.rpartition(".")[2] if h and "." in h else None
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h else None
+    every = smooth(tally(lambda d, h: True), [1 / len(langs)] * len(langs))
+    out = []
+    for s, (d, h) in zip(ll, low, strict=True):
+        if s is None:
+            out.append(("und", 0.0))
+            continue
+        prior = smooth(tally(lambda _, g, h=h: suffix(g) == suffix(h)), every)
+        prior = smooth(tally(lambda _, g, h=h: domain(g) == domain(h) and suffix(g) == suffix(h)), prior)
+        prior = smooth(tally(lambda _, g, h=h: g == h), prior)
+        kinds = {k for (k, _), b in zip(low, best, strict=True) if k and b}
+        given = [0.0] * len(langs)
+        if d:
+            n, total = tally(lambda e, _, d=d: e == d), tally(lambda e, _: e is not None)
+            given = [log((a + 0.5) / (z + 0.5 * (len(kinds) + 1))) for a, z in zip(n, total, strict=True)]
+        score = [a + log(p) + g for a, p, g in zip(s, prior, given, strict=True)]
+        top = int(np.argmax(score))
+        out.append((langs[top], 1 / sum(exp(x - score[top]) for x in score)))
+    return out
+
+
+def test_language_matches_plain_fusion(spark):
+    """Held-out rows, a fifth of them with a wrong declaration, on hosts of one language and of several."""
+    rng = random.Random(13)
+    words = {"en": ["the", "and", "with", "house", "other", "no"], "de": ["der", "und", "nicht", "haus", "über", "no"], "fr": ["je", "suis", "dans", "maison", "le", "no"]}
+    make = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    labelled = [(make(x, 30), x) for x in words for _ in range(40)]
+    rows, true = [], []
+    for i in range(300):
+        x = rng.choice(sorted(words))
+        said = x if rng.random() < 0.8 else rng.choice(sorted(words))
+        rows.append((i, make(x, rng.choice([1, 1, 2, 30])), rng.choice([said, said.upper() + "-XX", None]), rng.choice([f"www.{x}.example.{x}", f"a.{x}site.com", "mixed.org", "intranet", None])))
+        true.append(x)
+    rows += [(900, None, "en", "a.b.de"), (901, "123", "de", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string")
+    got = {r.doc_id: r for r in langid.identify(d, declared=F.col("declared"), host=F.col("host"), labelled=spark.createDataFrame(labelled, "text string, lang string")).collect()}
+    want = plain_fusion(rows, labelled)
+    assert all(got[i].lang == lang and abs(got[i].posterior - p) < 1e-4 for (i, *_), (lang, p) in zip(rows, want, strict=True))
+    alone = sum(got[i].text_lang == x for i, x in enumerate(true))
+    fused = sum(got[i].lang == x for i, x in enumerate(true))
+    assert fused > alone and fused > 0.93 * len(true)
+
+
+def test_language_sample_does_not_depend_on_the_layout(spark):
+    rows = [(i, f"the house number {i} and others" if i % 2 else f"das haus nummer {i} und andere", "en" if i % 2 else "de") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = langid.train(d, max_rows=300), langid.train(d.repartition(7).sortWithinPartitions(F.desc("doc_id")), max_rows=300)
+    assert a[0] == b[0] and (a[1] == b[1]).all()
+
+
+def test_language_of_pages(spark, sf):
+    got = langid.pages_language(spark, sf).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    import re
+
+    def plain(r):
+        text = re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ", r.html or ""))
+        said = re.search(r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", r.html or "")
+        host = re.search(r"^[a-zA-Z]+://([^/:?#]+)", r.url or "")
+        return (r.page_id, text, said and said[1], host and host[1])
+
+    rows = [plain(r) for r in pages.values()]
+    want = dict(zip((r[0] for r in rows), plain_fusion(rows, [(r.text, r.lang) for r in docs_ if r.text is not None and r.lang is not None]), strict=True))
+    assert all(r.lang == want[r.page_id][0] and abs(r.posterior - want[r.page_id][1]) < 1e-3 for r in got)
+
+
 def test_language_without_labels_or_rows(spark):
     d = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang, r.accepted) for r in langid.identify(d).collect()] == [("und", False)]
