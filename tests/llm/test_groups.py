@@ -200,7 +200,7 @@ def test_contamination_matches_all_pairs(spark):
         rows.append((i, " ".join(t)))
     rows += [(500, None), (501, ""), (502, "we have a tiny item here"), (503, " ".join(items[0] * 200))]
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(99, None)], "item_id long, text string")
-    for options in ({}, {"block_items": 5}):
+    for options in ({}, {"block_chars": 900}):
         got = {r.doc_id: set(r["items"]) for r in decontaminate.contamination(docs(spark, rows), bench, **options).collect()}
         want = {i: {k for k, x in enumerate(items) if x and plain_align((t or "").split(), x) >= len(x)} for i, t in rows if i < 500 or i == 502}
         assert {i: got[i] for i in want} == want
@@ -216,6 +216,19 @@ def test_contamination_of_a_very_common_item(spark):
     assert none.where("contaminated").count() == 0
 
 
+def test_contamination_by_items_of_any_ids(spark):
+    """Null, repeated, text and huge ids; equal items; extra columns named like the results."""
+    items = ["one passage that nobody else would ever write like this", "quite another passage of which only the second file holds all"]
+    rows = [(1, f"so {items[0]} end", "x"), (2, f"so {items[1]} end {items[0]}", "y"), (3, "a clean one", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    got = {r.doc_id: r for r in decontaminate.contamination(d, spark.createDataFrame([(None, items[0]), ("b", items[1]), ("a", items[1]), ("a", items[1])], "item_id string, text string")).collect()}
+    assert [got[k].contaminated for k in (1, 2, 3)] == [True, True, False]
+    assert got[1].best_item is None and got[1]["items"] == [None] and got[1].n_items == 1
+    assert got[2].best_item == "a" and got[2]["items"] == ["a", "a", "b", None]
+    big = decontaminate.contamination(d, spark.createDataFrame([(2**63 - 1, items[0])], "item_id long, text string"))
+    assert {r.doc_id: r.best_item for r in big.collect()} == {1: 2**63 - 1, 2: 2**63 - 1, 3: None}
+
+
 def test_contamination_by_edited_copies_in_many_documents(spark):
     items = [[f"{c}{i}" for i in range(20)] for c in "abc"]
     edited = [[f"x{i}" if i in (5, 12) else w for i, w in enumerate(x)] for x in items]
