@@ -1,12 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule reads a lazily computed view of one text and answers "reject". On a bounded sample the
-cost (seconds) and the selectivity (share rejected) of every rule are measured; the cascade then asks
-the rules in falling order of rejections per second and stops at the first rejection. The order
-changes the work, never the verdict.
+Each rule reads a lazily computed view of one text and answers "reject"; it names the features that it reads, which
+rules share. On a bounded sample are measured: the seconds of each feature, those of each rule once its features are there, and
+how often each set of rules rejects together. The cascade is planned step by step: next comes the rule with the most rejections, among
+the texts that no rule before it rejects, per second of what it adds (its own time, and that of the features that no rule before
+it has needed). A text is asked until the first rejection. The order changes the work, never the verdict.
+
+With ``base`` rules the cascade first tells whether one of them rejects, in planned order too, and asks the others of what passes.
+``stats`` are features that the result holds for every text; they are computed for all, and so cost the rules nothing.
 
 Edge cases: a null text has no words (and fails the base rules), an empty table gives an empty
-table, repeated rows are judged one by one, other columns are ignored. Texts of any length are read whole.
+table, repeated rows are judged one by one. Rules of equal gain keep their order. Texts of any length are read whole. Columns
+named like the results are replaced; all others come through.
 """
 
 from __future__ import annotations
@@ -73,25 +78,39 @@ class TextView:
         return covered
 
 
+#: Each feature with the features that it is computed from.
+PARTS = {"words": (), "lines": (), "n_words": ("words",), "word_chars": ("words",), "n_symbols": (), "n_dup_lines": ("lines",), "n_repeat_words": ("words",)}
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
+    reads: tuple[str, ...]
     rejects: Callable[[TextView], bool]
 
 
+def needed(features: tuple[str, ...]) -> list[str]:
+    """The features and what they are computed from, parts first."""
+    out: list[str] = []
+    for f in features:
+        out += [x for x in (*needed(PARTS[f]), f) if x not in out]
+    return out
+
+
 #: The contract's base rules.
 BASE_RULES = (
-    Rule("few_words", lambda v: v.n_words < 10),
-    Rule("repeated_words", lambda v: 100 * v.n_repeat_words > 20 * v.n_words),
+    Rule("few_words", ("n_words",), lambda v: v.n_words < 10),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda v: 100 * v.n_repeat_words > 20 * v.n_words),
 )
 #: The method's own rules, asked of what passes the base.
 RULES = (
-    Rule("symbols", lambda v: 10 * v.n_symbols > v.n_words),
-    Rule("duplicate_lines", lambda v: 10 * v.n_dup_lines > 3 * len(v.lines)),
-    Rule("word_length", lambda v: not 2 * v.n_words <= v.word_chars <= 20 * v.n_words),
-    Rule("wordless", lambda v: 10 * sum(map(has_letter, v.words)) < 7 * v.n_words),
-    Rule("ellipses", lambda v: 10 * sum(x.rstrip(SPACE_CHARS).endswith(("...", "…")) for x in v.lines) > 3 * len(v.lines)),
-    Rule("bullets", lambda v: 10 * sum(x.lstrip(SPACE_CHARS)[0] in "-*•‣" for x in v.lines) > 9 * len(v.lines)),
+    Rule("symbols", ("n_words", "n_symbols"), lambda v: 10 * v.n_symbols > v.n_words),
+    Rule("duplicate_lines", ("n_dup_lines", "lines"), lambda v: 10 * v.n_dup_lines > 3 * len(v.lines)),
+    Rule("word_length", ("n_words", "word_chars"), lambda v: not 2 * v.n_words <= v.word_chars <= 20 * v.n_words),
+    Rule("wordless", ("n_words", "words"), lambda v: 10 * sum(map(has_letter, v.words)) < 7 * v.n_words),
+    Rule("ellipses", ("lines",), lambda v: 10 * sum(x.rstrip(SPACE_CHARS).endswith(("...", "…")) for x in v.lines) > 3 * len(v.lines)),
+    Rule("bullets", ("lines",), lambda v: 10 * sum(x.lstrip(SPACE_CHARS)[0] in "-*•‣" for x in v.lines) > 9 * len(v.lines)),
 )
 
 
@@ -99,38 +118,58 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def measure(docs: DataFrame, rules=BASE_RULES + RULES, text_col: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[dict]:
-    """Cost and selectivity of each rule on about ``sample_rows`` rows of the whole table (documented bound)."""
+def measure(docs: DataFrame, rules=BASE_RULES + RULES, text_col: str = "text", sample_rows: int = 2000, seed: int = 7) -> dict:
+    """``seconds`` of each feature and rule, and ``rejected``: how many texts each set of rules (as bits) rejects, on about ``sample_rows`` rows of the whole table (documented bound)."""
     n = docs.count()
     part = docs.select(text_col).sample(min(1.0, sample_rows / max(1, n)), seed).limit(2 * sample_rows)
+    features = needed(tuple(f for r in rules for f in r.reads))
 
     def task():
         def work(texts: list) -> dict[str, list]:
-            rejected, seconds = [0] * len(rules), [0.0] * len(rules)
+            seconds: Counter = Counter()
+            sets: Counter = Counter()
+            clock = time.perf_counter
             for t in texts:
+                v, rejected = TextView(t), 0
+                for f in features:
+                    at = clock()
+                    getattr(v, f)
+                    seconds[f] += clock() - at
                 for k, r in enumerate(rules):
-                    at = time.perf_counter()
-                    rejected[k] += r.rejects(TextView(t))
-                    seconds[k] += time.perf_counter() - at
-            rows = [{"rule": r.name, "n": len(texts), "rejected": rejected[k], "seconds": seconds[k]} for k, r in enumerate(rules)]
-            return {"measured": [rows] + [None] * (len(texts) - 1)}
+                    at = clock()
+                    rejected |= bool(r.rejects(v)) << k
+                    seconds[r.name] += clock() - at
+                sets[rejected] += 1
+            rows = [("s", x, s) for x, s in seconds.items()] + [("r", str(k), float(c)) for k, c in sets.items()]
+            return {"measured": [[{"what": w, "name": x, "value": y} for w, x, y in rows]] + [None] * (len(texts) - 1)}
 
         return work
 
-    row = T.StructType([T.StructField("rule", T.StringType()), T.StructField("n", T.LongType()), T.StructField("rejected", T.LongType()), T.StructField("seconds", T.DoubleType())])
+    row = T.StructType([T.StructField("what", T.StringType()), T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
     each = map_texts(part, text_col, task, [T.StructField("measured", T.ArrayType(row))], keep=[]).select(F.explode("measured").alias("m")).select("m.*")
-    return [r.asDict() for r in each.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()]
-
-
-def plan(measured: list[dict], rules) -> list[Rule]:
-    """The rules by falling rejections per second of cost; unmeasured ones keep their order."""
-    gain = {m["rule"]: m["rejected"] / max(m["seconds"], 1e-9) for m in measured}
-    return sorted(rules, key=lambda r: -gain.get(r.name, 0.0))
+    rows = each.groupBy("what", "name").agg(F.sum("value").alias("value")).collect()  # a row a feature, a rule and a set of rules met in the sample
+    return {"seconds": {r["name"]: r["value"] for r in rows if r["what"] == "s"}, "rejected": {int(r["name"]): int(r["value"]) for r in rows if r["what"] == "r"}, "rules": [r.name for r in rules]}
+
+
+def plan(measured: dict, rules, done=(), there: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules in order of what they reject of the texts that ``done`` rules and those before them pass, per second that they add to features already ``there``."""
+    bit = {name: 1 << k for k, name in enumerate(measured["rules"])}
+    cost = lambda x: measured["seconds"].get(x, 0.0)
+    passed = {k: n for k, n in measured["rejected"].items() if not any(k & bit[r.name] for r in done)}
+    have, left, out = set(needed(there)), list(rules), []
+    while left:
+        gain = lambda r: sum(n for k, n in passed.items() if k & bit.get(r.name, 0)) / max(1e-9, cost(r.name) + sum(cost(f) for f in needed(r.reads) if f not in have))  # noqa: B023, E731
+        best = max(left, key=gain)
+        left.remove(best)
+        out.append(best)
+        have.update(needed(best.reads))
+        passed = {k: n for k, n in passed.items() if not k & bit.get(best.name, 0)}
+    return out
 
 
 def cascade(docs: DataFrame, rules, base=BASE_RULES, text_col: str = "text", stats: bool = True) -> DataFrame:
     """docs with ``base_failed``, ``failed_rule`` (the first rejection, null if none), ``kept`` and, if asked for, the base statistics."""
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if stats else []
+    longs = list(STATS) if stats else []
     names = [*longs, "base_failed", "failed_rule", "kept"]
 
     def task():
@@ -150,8 +189,9 @@ def op1(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ordered = plan(measure(docs), RULES)
-    return cascade(docs, ordered).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    measured = measure(docs)
+    base = plan(measured, BASE_RULES, there=STATS)
+    return cascade(docs, plan(measured, RULES, base, STATS), base).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP1_SQL = r"""
