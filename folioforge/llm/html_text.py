@@ -5,18 +5,21 @@ classes, ids, roles) above them. Each block is a vector of hashed path parts, ha
 lengths; a bidirectional LSTM (numpy) reads a page's blocks in both directions and labels each one main text
 or not, so that every decision sees the whole page. Scripts, styles and other unrendered elements are no blocks.
 
-Training. The labeller is trained at each run on at most ``train_pages`` pages (documented bound). Their
-labels come from markup that says what it is (``article``, ``main``, ``role=main`` against ``nav``,
-``aside``, ``footer``, ``form``, comment and advert classes ...); parts of the path are hidden at random in
+Training. The labeller is trained at each run on at most about ``train_pages`` pages (documented bound), chosen by a hash of their
+html. Their labels come from several cues: markup that says what it is (``article``, ``main``, ``role=main`` against ``nav``,
+``aside``, ``footer``, ``form``, comment and advert classes ...); class names with an ambiguous word (``related``, ``share``) only if
+all their other words are those of page furniture, so that ``related-work`` stays text; blocks that are mostly links below such a name; and,
+on pages without main-text markup, blocks that many sampled pages repeat. Parts of the path are hidden at random in
 training, so that words and neighbours count too, and a second copy of the sample is strewn with markup that it
-may lack (``strewn``). On a page that is not marked so, blocks outside boilerplate markup are the teacher's main
+may lack (``strewn``), invented class names among it. On a page that is not marked so, blocks outside boilerplate are the teacher's main
 text, whatever other pages hold. A long page is trained on in windows of blocks.
 
 The text of a page: its main blocks in page order, white space runs made single spaces and trimmed,
 joined by an empty line. Nothing else is cut, and pages of any length are read whole.
 
 Edge cases: null or empty html has the empty text; broken markup is read as far as it goes (unclosed
-comments and tags end with the page); repeated pages get equal texts; an empty table gives an empty table.
+comments and tags end with the page, unclosed quotes with their tag); repeated pages get equal texts; an empty table gives an empty
+table. Columns named ``text`` or ``n_chars`` are replaced; all others come through.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,8 +37,11 @@ from pyspark.sql import types as T
 
 from .common import map_texts
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A quote that is never closed is an ordinary character, so that its tag ends at the next bracket.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]|["'])*)>?|[^<]+|<""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+MARKS = {"class": ".", "id": "#", "role": "role="}
+LINKS = "~links"  # path part of a block at least half of whose characters are links
 SPACE = re.compile(r"\s+")
 #: Fixed word lists of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mpadded menclose".split())
@@ -42,13 +50,22 @@ HIDDEN = frozenset("script style noscript template textarea select iframe title
 RAW = frozenset("script style textarea title iframe noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset("article main role=main".split())
-BOILERPLATE = re.compile(r"^(?:nav|aside|footer|header|form|menu|dialog|button)$|(?:^|[-_ .#=])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|footer|header|comment\w*|repl(?:y|ies)|cookie\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|breadcrumbs?)(?:$|[-_ .])", re.I)
+FURNITURE = frozenset("nav aside footer header form menu dialog button".split())
+#: Words of class names, ids and roles: boilerplate wherever they stand alone or beside neutral ones; those that may be about a text's matter;
+#: and neutral ones, which say where a box is or what it is made of.
+BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promotions nav navbar navigation menu sidebar footer header comment comments commentlist commenter reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe subscription breadcrumb breadcrumbs complementary contentinfo search".split())
+AMBIGUOUS = frozenset("related share sharing social notice notices recommended popular trending toolbar widget".split())
+NEUTRAL = frozenset("a an and bar block body bottom box boxes button buttons card cards col column container content desktop entry extra feed fixed form global group head heading icon icons inner item items js latest left link links list main media mobile module more most news page panel post posts primary region right row secondary section side site small sticky story stories tags text the thread title to top topic topics ui ul user users view wrap wrapper zone article articles area".split())
+WORD_PART = re.compile(r"[a-z]+|[0-9]+")
 
 #: Markup that training strews among the sampled pages' blocks: around boilerplate, and around main text.
 STREWN_OUT = tuple(tuple(x.split()) for x in ("aside p", "aside div", "nav li", "form label", "form p", "footer p", "header p", "section .comments p", "div .comment p", "ul .replies li", "div #comments div", "div .sidebar p", "div .cookie-notice p", "div .notice p", "div .banner div", "div .ads p", "div .advert p", "div .promo p", "div .share li", "div .related li", "div .newsletter p", "dialog p", "div .menu li", "div .breadcrumbs li"))
+LEAVES = ("p", "div", "li", "h2", "h3", "h4", "label", "td")
 STREWN_IN = tuple(tuple(x.split()) for x in ("div .content p", "section p", "div .body p", "div .text", "blockquote p", "ul li", "ol li", "h2", "h3", "figure p", "figure figcaption", "table tr td", "pre", "div .entry p"))
 
-PATH_BITS, WORD_BITS, EXTRA = 128, 64, 4
+#: Path parts have buckets of their own for furniture, element names and all other names, so that a name never seen is not taken for furniture.
+PART_BITS = 64
+PATH_BITS, WORD_BITS, EXTRA = 3 * PART_BITS, 64, 4
 FEATURES = PATH_BITS + WORD_BITS + EXTRA
 
 
@@ -57,14 +74,18 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
+    linked = 0
     html = html or ""
 
     def flush() -> None:
+        nonlocal linked
         if text:
             joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if joined:
-                out.append((tuple(p for n, parts in stack if n not in INLINE for p in parts), joined))
+                path = tuple(p for n, parts in stack if n not in INLINE for p in parts)
+                out.append((path + (LINKS,) if 2 * linked >= len(joined) else path, joined))
             text.clear()
+        linked = 0
 
     def close(name: str, stop: frozenset) -> bool:
         for k in range(len(stack) - 1, -1, -1):
@@ -84,6 +105,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
             if token.startswith(("<!", "<?")):
                 continue
             text.append(token)
+            if any(n == "a" for n, _ in stack):
+                linked += len(token.strip())
         elif m.group(1):
             if name not in INLINE:
                 flush()
@@ -115,22 +138,37 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
             if name not in VOID and not m.group(3).rstrip().endswith("/"):
                 parts = [name]
                 for key, a, b, c in ATTRIBUTE.findall(m.group(3)):
-                    mark = {"class": ".", "id": "#", "role": "role="}[key.lower()]
-                    parts += [mark + v for v in (a or b or c).lower().split()]
+                    if mark := MARKS.get(key.lower()):
+                        parts += [mark + v for v in (a or b or c).lower().split()]
                 stack.append((name, tuple(parts)))
     flush()
     return [(p, t) for p, t in out if not HIDDEN.intersection(p)]
 
 
-def teacher(path: tuple[str, ...], marked: bool) -> bool:
-    """Whether markup says that a block is main text; ``marked``: its page has main-text markup."""
+@lru_cache(maxsize=100_000)
+def furniture(part: str, links: bool) -> bool:
+    """Whether a path part is that of page furniture; below a name with an ambiguous word this also holds for anything that is mostly ``links``."""
+    if part in FURNITURE:
+        return True
+    if not part.startswith((".", "#", "role=")):
+        return False
+    words = WORD_PART.findall(part.removeprefix("role="))
+    known = [w in BOILERPLATE or w in AMBIGUOUS for w in words]
+    if links and any(known):
+        return True
+    return any(known) and all(k or w in NEUTRAL or w.isdigit() or len(w) == 1 for k, w in zip(known, words, strict=True))
+
+
+def teacher(path: tuple[str, ...], marked: bool, repeated: bool = False) -> bool:
+    """Whether a block is main text by its markup; ``marked``: its page has main-text markup; ``repeated``: many pages hold its text."""
     last = max((i for i, p in enumerate(path) if p in MAIN), default=-1)
-    if marked and last < 0:
+    if last < 0 and (marked or repeated):
         return False
     below = last + 1
     while 0 < below < len(path) and path[below].startswith((".", "#", "role=")):
         below += 1  # the main element's own attributes
-    return not any(BOILERPLATE.search(p) for p in path[below:] if p not in MAIN) and "head" not in path
+    links = path[-1:] == (LINKS,)
+    return not any(furniture(p, links) for p in path[below:] if p not in MAIN) and "head" not in path
 
 
 def _bucket(text: str, size: int) -> int:
@@ -151,11 +189,15 @@ class Hasher:
             k = self.seen[text] = _bucket(text, size)
         return k
 
+    def part(self, part: str) -> int:
+        kind = 0 if furniture(part, False) or part == LINKS else 2 if part.startswith((".", "#", "role=")) else 1
+        return kind * PART_BITS + self.bucket("<" + part, PART_BITS)
+
     def vectors(self, page: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
         x = np.zeros((len(page), FEATURES), np.float32)
         for i, (path, text) in enumerate(page):
             for p in path:
-                x[i, self.bucket("<" + p, PATH_BITS)] = 1
+                x[i, self.part(p)] = 1
             words = text.lower().split()
             for w in words:
                 x[i, PATH_BITS + self.bucket(w, WORD_BITS)] += 1
@@ -266,6 +308,10 @@ def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None = None):
     return x, live, y
 
 
+def invented(rng: np.random.Generator) -> str:
+    return "-".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(rng.integers(1, 3)))
+
+
 def strewn(read: list[list], labels: list[np.ndarray], seed: int = 6) -> tuple[list[list], list[np.ndarray]]:
     """Copies of the sampled pages with markup that the sample may lack: boilerplate blocks, of words from other blocks, among
     and inside the main text, and main blocks in further wrappers. So the labeller is not lost where a site has comments in its article."""
@@ -277,11 +323,16 @@ def strewn(read: list[list], labels: list[np.ndarray], seed: int = 6) -> tuple[l
         for (path, text), main in zip(b, y, strict=True):
             if main and rng.random() < 0.3:
                 path = path[:-1] + STREWN_IN[rng.integers(len(STREWN_IN))]
+            if rng.random() < 0.15:  # a name that says nothing
+                path = (*path[:-1], "div", f".{invented(rng)}", *path[-1:])
             rows.append((path, text, main))
         stems = [p[:-1] for p, _, m in rows if m] + [("html", "body")]
         for _ in range(rng.integers(1, 5)):
             at = rng.integers(len(rows) + 1)
-            some = [(stems[rng.integers(len(stems))] + STREWN_OUT[rng.integers(len(STREWN_OUT))], texts[rng.integers(len(texts))], 0.0)] * rng.integers(1, 4)
+            path = STREWN_OUT[rng.integers(len(STREWN_OUT))]
+            if rng.random() < 0.4:
+                path = (*path[:-1], LEAVES[rng.integers(len(LEAVES))])
+            some = [(stems[rng.integers(len(stems))] + path, texts[rng.integers(len(texts))], 0.0)] * rng.integers(1, 4)
             rows[at:at] = some
         pages.append([(p, t) for p, t, _ in rows])
         marks.append(np.array([m for _, _, m in rows], np.float32))
@@ -296,30 +347,36 @@ def windows(page: list, size: int, most: int, rng: np.random.Generator) -> list[
 
 def train(pages: DataFrame, html_col: str = "html", train_pages: int = 400, seed: int = 9, long_page: int = 400) -> BlockLabeller | None:
     """A labeller from about ``train_pages`` pages of the table, long ones in windows of ``long_page`` blocks; None if the table holds no block."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(html_col)
+    rows = pages.where(F.col(html_col) != "").select(F.col(html_col).alias("html"), F.xxhash64(html_col, F.lit(seed)).alias("at"))
     n = rows.count()
-    some = rows.sample(min(1.0, train_pages / max(1, n)), seed).limit(2 * train_pages) if n > train_pages else rows
     rng = np.random.default_rng(seed)
     most = max(1, train_pages // max(1, n))  # windows a page, so that the windows are bounded as the pages are
-    read, labels = [], []
+    read: list[list] = []
 
     def learn(sample: DataFrame) -> None:
-        for (h,) in sample.toLocalIterator():
-            page = blocks(h)
-            marked = any(MAIN.intersection(p) for p, _ in page)
-            for b in windows(page, long_page, most, rng):
-                read.append(b)
-                labels.append(np.array([teacher(p, marked) for p, _ in b], np.float32))
-
-    learn(some)
+        for (h,) in sample.orderBy("at").select("html").limit(2 * train_pages).toLocalIterator():
+            if page := blocks(h):
+                read.append(page)
+
+    learn(rows.where(F.pmod("at", F.lit(1_000_000)) < int(1_000_000 * train_pages / max(train_pages, n))) if n > train_pages else rows)
     if not read and n > train_pages:  # a sample of empty pages: whichever pages hold a block
         holds = F.udf(lambda h: bool(blocks(h)), T.BooleanType())
-        learn(rows.where(holds(html_col)).limit(train_pages))
+        learn(rows.where(holds("html")))
+    held = Counter(t for page in read for t in {t for _, t in page})
+    often = max(3, len(read) // 20)
+    labels: list[np.ndarray] = []
+    cut: list[list] = []
+    for page in read:
+        marked = any(MAIN.intersection(p) for p, _ in page)
+        for b in windows(page, long_page, most, rng):
+            cut.append(b)
+            labels.append(np.array([teacher(p, marked, held[t] >= often) for p, t in b], np.float32))
+    read = cut
     if not read:
         return None
     hasher = Hasher()
     more, marks = strewn(read, labels)
-    return BlockLabeller().fit([hasher.vectors(b) for b in read + more], labels + marks, epochs=max(6, 1600 // len(read)))
+    return BlockLabeller().fit([hasher.vectors(b) for b in read + more], labels + marks, epochs=max(6, 2400 // len(read)))
 
 
 def label(model: BlockLabeller, pages: list[list], hasher: Hasher, budget: int = 40_000) -> list[np.ndarray]:

@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,10 +41,20 @@ def test_extraction_with_markup_the_sample_lacks(spark, sf):
     extra = '<section class="comments"><h3>Comments</h3><p>so true of the others</p><div class="comment"><p>and with that</p></div></section><form><label>name</label></form>'
     bars = '<aside class="sidebar"><p>most read of the week</p></aside><div class="cookie-notice"><p>we use these</p></div>'
     odd = [(i, u, h.replace("</article>", extra + "</article>" + bars)) for i, u, h in rows]
-    model = html_text.train(p.where("page_id % 2 = 0"))
+    model = html_text.train(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").where("page_id % 2 = 0"))
     got = {r.page_id: r.text for r in html_text.extract(pages(spark, odd), model=model).collect()}
-    # trained on some 25 pages only; what it strays in is a block or two
-    assert sum(got[i] == plain_article(h) for i, _, h in rows) >= 0.8 * len(rows)
+    right, found, true = 0, 0, 0
+    for i, _, h in rows:
+        have, want = got[i].split("\n\n"), plain_article(h).split("\n\n")
+        right += sum((Counter(have) & Counter(want)).values())
+        found, true = found + len(have), true + len(want)
+    assert right >= 0.95 * found and right >= 0.95 * true
+    # what belongs to an article stays in it, whatever its boxes are called
+    kept = [("<p>see <math><mi>a</mi><mo>+</mo><mi>b</mi></math> there and then</p>", "see a+b there and then"), ('<div class="related-work"><p>other studies of the matter are these two.</p></div>', "other studies of the matter are these two."), ('<p data-role="comments" data-id="nav">a paragraph with data of its own.</p>', "a paragraph with data of its own."), ("<object><p>what stands in for the object here.</p></object>", "what stands in for the object here."), ('<section class="market-share"><p>the share of the market has grown again.</p></section>', "the share of the market has grown again."), ("<figure><figcaption>a caption below the picture here.</figcaption></figure>", "a caption below the picture here.")]
+    for markup, text in kept:
+        with_it = [(i, u, h.replace("</article>", markup + "</article>")) for i, u, h in rows if "</article>" in h]
+        out = html_text.extract(pages(spark, with_it), model=model).collect()
+        assert sum(text in r.text.split("\n\n") for r in out) >= 0.95 * len(out), markup
 
 
 def test_extraction_of_mixed_sites(spark):
@@ -80,6 +91,9 @@ def test_blocks_of_broken_and_hidden_markup():
     assert read("<p>open <b>bold<br><p>next") == ["open bold", "next"]
     assert read("<!-- never closed <p>x") == [] and read("<div") == [] and read(None) == [] and read("") == []
     assert read("1 < 2 and 3 > 2") == ["1 < 2 and 3 > 2"]
+    assert read('<p>a</p><div class="x>b</div><p>c</p>') == ["a", "b", "c"] and read("<p title='>one</p>") == ["one"]
+    assert html_text.blocks('<p><a href="x">all of it</a></p>')[0][0] == ("p", html_text.LINKS) and html_text.blocks('<p><a href="x">a bit</a> of all that</p>')[0][0] == ("p",)
+    assert html_text.blocks("""<p data-class="ad" title="class='nav'" ID='Q'>t</p>""")[0][0] == ("p", "#q")
     path = html_text.blocks('<body><div class="Ad box" id=top><p>t</p></div>')[0][0]
     assert path == ("body", "div", ".ad", ".box", "#top", "p")
 
@@ -87,6 +101,9 @@ def test_blocks_of_broken_and_hidden_markup():
 def test_teacher_labels():
     assert html_text.teacher(("body", "article", "p"), True)
     assert not html_text.teacher(("body", "article", "div", ".comments", "p"), True)
+    assert html_text.teacher(("article", "div", ".related-work", "p"), True) and html_text.teacher(("article", ".x", "section", "#market-share", "p"), True) and html_text.teacher(("article", "div", ".navy", "p"), True)
+    assert not html_text.teacher(("article", "div", ".related-posts", "p"), True) and not html_text.teacher(("article", "div", ".cookie-notice", "p"), True) and not html_text.teacher(("article", "div", ".share", "p"), True)
+    assert not html_text.teacher(("article", "div", ".related-work", "li", html_text.LINKS), True) and not html_text.teacher(("body", "p"), False, True)
     assert not html_text.teacher(("body", "nav", "li"), True) and not html_text.teacher(("body", "p"), True)
     assert html_text.teacher(("body", "p"), False) and not html_text.teacher(("body", "footer"), False)
 
