@@ -127,8 +127,9 @@ class CuckooFilter:
 
 
 def line_key(line: Column) -> Column:
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.trim(line, F.lit(SPACE_CHARS)), letters, letters.lower())
+    letters, bare = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", F.trim(line, F.lit(SPACE_CHARS))
+    plain = F.octet_length(line) == F.char_length(line)  # of single-byte characters: the same by a faster way
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, letters, letters.lower()))
 
 
 def lines_of(text: Column) -> Column:
@@ -252,7 +253,7 @@ def dropped_lines(lines: DataFrame, keys: DataFrame, kept_filters: tuple[DataFra
     keys = stored(keys)
     n_keys, n_refs = keys.agg(F.count("*"), F.coalesce(F.sum("n_refs"), F.lit(0))).first()
     n_shards = kept_filters[1] if kept_filters else shards_for(n_keys)
-    hits = screened(lines, kept_filters[0] if kept_filters else filters(keys, n_shards), n_shards, **screen)
+    hits = stored(screened(lines, kept_filters[0] if kept_filters else filters(keys, n_shards), n_shards, **screen))  # read twice below
     hot = F.broadcast(keys.where(F.col("n_refs") * 10_000 > n_refs).select("k1", "k2", F.col("keeper").alias("hot_keeper")))  # under 10,000 rows
     told = hits.join(hot, ["k1", "k2"], "left")
     here = told.where("hot_keeper <> id").select("id", "t1", "t2", "line_no")
