@@ -12,8 +12,11 @@ on to every shard that their own bounds do not exclude. In a shard home codes me
 all 64 bits are compared: the links are exact, whatever the trees look like. The trees are built on a
 bounded sample of fingerprints (``sample_codes``, at most a quarter of all), which changes the balance only.
 
-Scale. Equal fingerprints are one code. A shard returns a forest (each code with its local root), never
-all pairs; shards over ``block_rows`` codes are split into pairs of hash blocks, each a task of its own.
+Scale. Equal fingerprints are one code. A shard of over ``block_rows`` rows gets a tree of its own, built in a task on a
+sample of its home codes (about ``sample_codes``) over its block or over all 64 bits, whichever saves more; its rows are
+dealt in parts that each route themselves by it, and shards still too large go through the same again (``levels`` times).
+What no tree can split is dealt in pairs of hash blocks of ``block_rows`` rows, each a task of its own. A shard returns a
+forest (each code with its local root), never all pairs.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated ids keep one row each; an empty table gives an empty table.
@@ -21,6 +24,8 @@ fewer words than a shingle is one shingle; repeated ids keep one row each; an em
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -90,10 +95,11 @@ def build_tree(sample: np.ndarray, mask: int, radius: int, leaf: int, seed: int)
     return {"root": root, "leaves": leaves[0], "point": np.array(point, np.uint64), "ball": np.array(ball, np.int64), "inner": np.array(inner, np.int64), "outer": np.array(outer, np.int64), "mask": np.uint64(mask), "radius": radius}
 
 
-def route(tree: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of codes, leaf, home?) for each shard a code belongs to or has to visit."""
+def route(tree: dict, codes: np.ndarray, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of codes, leaf, home?) for each shard a code belongs to or has to visit; codes that are not ``at_home`` only visit."""
     rows, leaf, home = [], [], []
-    todo = [(tree["root"], np.arange(len(codes)), np.empty(0, np.int64))]
+    own = np.ones(len(codes), bool) if at_home is None else at_home
+    todo = [(tree["root"], np.nonzero(own)[0], np.nonzero(~own)[0])]
     while todo:
         node, own, guest = todo.pop()
         if node < 0:
@@ -138,7 +144,48 @@ def forest(codes: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int
     return label
 
 
-def links(codes: DataFrame, radius: int = 4, parts: int = 3, sample_codes: int = 20_000, shard_codes: int = 2000, block_rows: int = 30_000) -> DataFrame:
+def comparisons(tree: dict, codes: np.ndarray) -> int:
+    """Pairs of codes that meet in the leaves of a tree."""
+    _, leaf, home = route(tree, codes)
+    return int(np.bincount(leaf[home], minlength=tree["leaves"]) @ np.bincount(leaf, minlength=tree["leaves"]))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A stored table as the sent side of a join while it is small; beyond that Spark shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= 500_000 else rows
+
+
+def split_shards(placed: DataFrame, loads: DataFrame, radius: int, parts: int, sample_codes: int, shard_codes: int, block_rows: int) -> tuple[DataFrame, bool]:
+    """``placed`` with its ``loads`` shards dealt to the leaves of trees of their own; False if no tree saves at least half."""
+    masks = block_masks(parts)
+
+    def grow(key, pdf):
+        codes = pdf["code"].to_numpy(np.int64).view(np.uint64)
+        leaf = max(8, int(shard_codes * len(codes) / max(1, int(pdf["homes"].iloc[0]))))
+        trees = [build_tree(codes, m, r, leaf, seed) for seed, (m, r) in enumerate([(masks[int(pdf["block"].iloc[0])], radius // parts), ((1 << 64) - 1, radius)])]
+        cost, best = min((comparisons(t, codes), i) for i, t in enumerate(trees))
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(trees[best])]} if 2 * cost < len(codes) ** 2 else {"shard": [], "tree": []})
+
+    rate = F.greatest(F.lit(1), F.floor(F.col("homes") / sample_codes))
+    some = placed.join(_few(loads), "shard").where(F.col("home") & (F.pmod(F.xxhash64("code", F.lit(12)), rate) == 0))
+    trees = stored(some.select("shard", "block", "code", "homes").groupBy("shard").applyInPandas(grow, "shard long, tree binary"))
+    ways = _few(stored(trees.select("shard").join(loads, "shard").select("shard", F.ceil(F.col("rows") / block_rows).cast("int").alias("pieces"))))
+    if not ways.head(1):
+        return placed, False
+    rows = placed.join(ways, "shard").withColumn("piece", F.pmod(F.xxhash64("code", F.lit(13)), F.col("pieces")).cast("int")).drop("pieces")
+    sent = trees.join(ways, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+
+    def deal(pdf, sent):
+        tree = pickle.loads(sent["tree"].iloc[0])
+        at, leaf, home = route(tree, pdf["code"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool))
+        return pd.DataFrame({"shard": pdf["shard"].to_numpy()[at], "leaf": leaf, "block": pdf["block"].to_numpy()[at], "code": pdf["code"].to_numpy()[at], "rep": pdf["rep"].to_numpy()[at], "home": home})
+
+    dealt = rows.groupBy("shard", "piece").cogroup(sent.groupBy("shard", "piece")).applyInPandas(deal, "shard long, leaf long, block int, code long, rep long, home boolean")
+    # should two shards' hashes ever agree they are one shard, which costs comparisons and no link
+    return stored(placed.join(ways, "shard", "left_anti").unionByName(dealt.withColumn("shard", F.xxhash64("shard", "leaf")).drop("leaf"))), True
+
+
+def links(codes: DataFrame, radius: int = 4, parts: int = 3, sample_codes: int = 20_000, shard_codes: int = 2000, block_rows: int = 30_000, levels: int = 3) -> DataFrame:
     """Links (a, b) between the ``rep`` values of distinct ``code`` rows: a forest with the components of all pairs within ``radius``."""
     spark = codes.sparkSession
     n = codes.count()
@@ -154,12 +201,26 @@ def links(codes: DataFrame, radius: int = 4, parts: int = 3, sample_codes: int =
             c = pdf["code"].to_numpy(np.int64).view(np.uint64)
             for k, t in enumerate(sent.value):
                 rows, leaf, home = route(t, c)
-                yield pd.DataFrame({"shard": leaf + base[k], "code": c[rows].view(np.int64), "rep": pdf["rep"].to_numpy()[rows], "home": home})
-
-    placed = stored(codes.select("code", "rep").mapInPandas(shards, "shard long, code long, rep long, home boolean"))
-    loads = placed.groupBy("shard").count().select("shard", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))  # a row for each leaf of the sampled trees
+                yield pd.DataFrame({"shard": leaf + base[k], "block": k, "code": c[rows].view(np.int64), "rep": pdf["rep"].to_numpy()[rows], "home": home})
+
+    placed = stored(codes.select("code", "rep").mapInPandas(shards, "shard long, block int, code long, rep long, home boolean"))
+
+    def large() -> DataFrame:
+        """Shards over ``block_rows``: at most a row for each ``block_rows`` rows of ``placed``."""
+        return stored(placed.groupBy("shard").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).where(F.col("rows") > block_rows))
+
+    loads = large()
+    for _ in range(levels):
+        if not loads.head(1):
+            break
+        placed, split = split_shards(placed, loads, radius, parts, sample_codes, shard_codes, block_rows)
+        if not split:
+            break
+        loads = large()
+    ways = loads.select("shard", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
+    dealt = placed.drop("block").join(_few(ways), "shard", "left").fillna({"blocks": 1})
     own = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
-    pairs = placed.join(F.broadcast(loads), "shard").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = pairs.select("shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "code", "rep", "home")
 
     def compare(key, pdf):

@@ -155,6 +155,24 @@ def test_vantage_shards_lose_no_pair():
         assert frozenset((place[a], place[b])) in met
 
 
+def test_large_vantage_shards_are_split_and_lose_no_link(spark, monkeypatch):
+    """Shards get trees of their own, also where all codes agree on a block, and the components stay those of all pairs."""
+    rng = np.random.default_rng(4)
+    flips = lambda c, n: np.bitwise_xor.reduce([np.uint64(1) << rng.integers(0, 64, len(c)).astype(np.uint64) for _ in range(n)], axis=0) ^ c
+    far = rng.integers(0, 1 << 64, 1500, dtype=np.uint64)
+    one_block = (far[:500] & ~np.uint64(simhash.block_masks(3)[0])) | np.uint64(12345)
+    near = far[:400]
+    every = np.unique(np.concatenate([far, one_block, flips(near, 2), flips(near, 4), flips(one_block[:200], 3)]))
+    table = spark.createDataFrame([(int(c), k) for k, c in enumerate(every.view(np.int64).tolist())], "code long, rep long")
+    done, split = [], simhash.split_shards
+    monkeypatch.setattr(simhash, "split_shards", lambda *a: done.append(split(*a)) or done[-1])
+    found = components.components(simhash.links(table, sample_codes=150, shard_codes=40, block_rows=150)).collect()
+    assert len(done) >= 2 and done[0][1] and done[1][1]
+    want = plain_components(list(range(len(every))), every.tolist())
+    got = {r.node: r.component for r in found}
+    assert {k: got.get(k, k) for k in want} == want
+
+
 def test_simhash_edges(spark):
     r = simhash.near_duplicates(docs(spark, [(3, "same text in three rows"), (3, "same text in three rows"), (None, "same text in three rows"), (9, None), (4, "")])).collect()
     assert sorted((x.doc_id or 0, x.component_id) for x in r) == [(0, 3), (3, 3), (3, 3), (4, 4), (9, 4)]
