@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in for a model: signed word hashes, unit length."""
+    """A deterministic stand-in for a model: signed word hashes (MD5, which SQL engines have too), unit length."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+                out[i, int.from_bytes(h[:4]) % dim] += 1 if h[4] >> 7 else -1
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(length == 0, 1, length)).tolist()
 

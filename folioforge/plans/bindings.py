@@ -125,7 +125,9 @@ truth AS (SELECT item_id AS query_id, section_id, chunk_id FROM benchmark b JOIN
 questions AS (SELECT item_id AS query_id, text AS question, item_id IN (SELECT query_id FROM truth) AS answerable,
   CASE WHEN item_id NOT IN (SELECT query_id FROM truth) THEN 'not in document' WHEN length(text) % 2 = 0 THEN 'simple fact' ELSE 'multi-section' END AS type FROM benchmark)"""
 
-BM25_SQL = f"""
+def bm25_sql(asked: str) -> str:
+    """Best 20 documents by BM25 (``sparse``) for the rows (query_id, text) of a table."""
+    return f"""
 words AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(coalesce(text, '')), {WORDS_SQL}) AS w FROM documents),
 post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM words) GROUP BY chunk_id, term),
 lens AS (SELECT chunk_id, len(w) AS dl FROM words),
@@ -134,11 +136,24 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs CROSS JOIN tot),
 meanidf AS (SELECT avg(r) AS m FROM rawidf),
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM rawidf CROSS JOIN meanidf),
-asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {WORDS_SQL})) AS term FROM benchmark) GROUP BY item_id, term),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {WORDS_SQL})) AS term FROM {asked}) GROUP BY query_id, term),
 bm AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN idf USING (term) JOIN post USING (term) JOIN lens USING (chunk_id) CROSS JOIN tot GROUP BY query_id, chunk_id),
 sparse AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 20)"""
 
 
+ITEMS_SQL = "(SELECT item_id AS query_id, text FROM benchmark)"
+BM25_SQL = bm25_sql(ITEMS_SQL)
+
+
+def embedding_sql(name: str, rows: str) -> str:
+    """The bundled embedder's vectors: table ``name`` (id, e) for the rows (id, text) of a table."""
+    return f"""
+{name}_words AS (SELECT id, md5(w) AS h FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\S+')) AS w FROM {rows})),
+{name}_cells AS (SELECT id, CAST('0x' || h[7:8] AS INTEGER) % 64 AS cell, CAST(sum(CASE WHEN CAST('0x' || h[9:10] AS INTEGER) >= 128 THEN 1 ELSE -1 END) AS INTEGER) AS c FROM {name}_words GROUP BY ALL),
+{name}_maps AS (SELECT id, map(list(cell), list(c)) AS m, sqrt(sum(c * c)) AS length FROM {name}_cells GROUP BY id),
+{name} AS (SELECT r.id, list_transform(range(64), lambda i: CAST(CAST(CASE WHEN length > 0 THEN coalesce(m[CAST(i AS INTEGER)], 0) / length ELSE 0 END AS FLOAT) AS DOUBLE)) AS e FROM {rows} r LEFT JOIN {name}_maps USING (id))"""
+
+
 def retrieved(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The best k documents by BM25 of each question, with their chunk columns."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))

@@ -11,6 +11,7 @@ from ..sources import tables
 from ..streaming import jobs
 from . import bindings as b
 from .registry import query
+from .retrieval_queries import FUSE_SQL, rerank_sql
 
 SPACE = r"'[\s\x{A0}]+'"
 
@@ -241,7 +242,12 @@ def elements(spark, sf_dir):
     return layout.paragraphs(lines.where(r"raw rlike '\\S'"))
 
 
-@query("i13_paragraphs")
+@query("i13_paragraphs", f"""WITH RECURSIVE {b.LINES_SQL},
+seq AS (SELECT doc_id, page, line_no AS pos, top OR second AS heading, text, 72 + 4 * (line_no % 3) AS x, y0 AS y, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS n FROM lines WHERE regexp_matches(raw, '\\S')),
+walk AS (SELECT doc_id, page, n, pos, heading, text, pos AS start, x, y, NOT heading AS page_top, NOT heading AS seen FROM seq WHERE n = 1
+  UNION ALL SELECT doc_id, page, n, pos, heading, text, CASE WHEN goes_on THEN start ELSE pos END, CASE WHEN goes_on THEN anchor ELSE x END, y, CASE WHEN goes_on THEN page_top ELSE NOT heading AND NOT seen END, seen OR NOT heading
+  FROM (SELECT s.*, w.start, w.x AS anchor, w.page_top, w.seen, NOT s.heading AND NOT w.heading AND s.y - w.y BETWEEN 0 AND 25 AND abs(s.x - w.x) <= 6 AS goes_on FROM walk w JOIN seq s ON s.doc_id = w.doc_id AND s.page = w.page AND s.n = w.n + 1))
+SELECT doc_id, page, start AS pos, 'paragraph' AS kind, bool_or(page_top) AS page_top, length(trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), {SPACE}, ' ', 'g'))) AS n_chars FROM walk WHERE NOT heading GROUP BY doc_id, page, start""")
 def i13(spark, sf_dir):
     return elements(spark, sf_dir).select("doc_id", "page", "pos", "kind", "page_top", F.length("text").alias("n_chars"))
 
@@ -400,7 +406,13 @@ def g7(spark, sf_dir):
 # --- streams --------------------------------------------------------------------------------------
 
 
-@query("st1_answer_stream")
+USERS_SQL = "(SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> '')"
+
+
+@query("st1_answer_stream", f"""WITH {b.embedding_sql('vec', '(SELECT doc_id AS id, text FROM documents)')}, {b.embedding_sql('ask', f'(SELECT query_id AS id, text FROM {USERS_SQL})')}, {b.bm25_sql(USERS_SQL)},
+near AS (SELECT a.id AS query_id, v.id AS chunk_id, CASE WHEN list_sum(list_transform(v.e, lambda x: abs(x))) * list_sum(list_transform(a.e, lambda x: abs(x))) > 0 THEN list_cosine_similarity(a.e, v.e) ELSE 0 END AS score FROM ask a CROSS JOIN vec v),
+dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM near QUALIFY rank <= 20),
+{FUSE_SQL}, cand AS (SELECT * FROM ranked WHERE rrf_rank <= 15), {rerank_sql(USERS_SQL)} SELECT query_id, chunk_id, final_rank, round(rerank_score, 6) AS score FROM final""")
 def st1(spark, sf_dir):
     """User turns arrive as files and are retrieved for, micro-batch by micro-batch, against the documents."""
     base = tables.shared_dir(spark)

@@ -30,27 +30,32 @@ vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 cosine AS (SELECT q.vec_id // 100 AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.e, v.e) AS score FROM vec q CROSS JOIN vec v WHERE q.vec_id % 100 = 0),
 dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosine QUALIFY rank <= 20)"""
 
-FUSED_SQL = (
-    DENSE_SQL
-    + ","
-    + b.BM25_SQL
-    + """,
+FUSE_SQL = """
 fused AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.score AS dense_score, d.rank AS dense_rank, s.score AS sparse_score, s.rank AS sparse_rank,
   1 / (60 + coalesce(d.rank, 1000)) + 1 / (60 + coalesce(s.rank, 1000)) AS rrf_score FROM dense d FULL OUTER JOIN sparse s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, chunk_id) AS rrf_rank FROM fused)"""
-)
 
-RERANK_SQL = f"""
-qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {WORDS})) AS q FROM benchmark),
+FUSED_SQL = DENSE_SQL + "," + b.BM25_SQL + "," + FUSE_SQL
+
+
+def rerank_sql(asked: str) -> str:
+    """The best 5 (``final``) of the candidates (``cand``) of the rows (query_id, text) of a table."""
+    return f"""
+qw AS (SELECT query_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {WORDS})) AS q FROM {asked}),
 scored AS (SELECT c.*, len(list_intersect(q, list_distinct(w))) / len(q) AS rerank_score FROM cand c JOIN qw USING (query_id) JOIN words USING (chunk_id)),
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 9) DESC, chunk_id) AS final_rank FROM scored QUALIFY final_rank <= 5)"""
 
 
-@query("e1_embed_texts")
+RERANK_SQL = rerank_sql(b.ITEMS_SQL)
+
+
+@query("e1_embed_texts", f"""WITH {b.embedding_sql('vec', '(SELECT doc_id AS id, text FROM documents)')}
+SELECT id AS chunk_id, len(e) AS dim, CAST(list_sum(list_transform(e, lambda x, i: i * sign(x))) AS BIGINT) AS signs, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS length FROM vec""")
 def e1(spark, sf_dir):
-    """Every document embedded by the bundled hashing embedder (a model is injected in use)."""
+    """Every document embedded by the bundled hashing embedder (a model is injected in use); signs is the sum of places by their signs."""
     out = vectors.embed_texts(b.corpus(spark, sf_dir).select("chunk_id", "embed_text"))
-    return out.select("chunk_id", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("length"))
+    signs = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * F.signum(x)), F.lit(0.0), lambda a, x: a + x).cast("long")
+    return out.select("chunk_id", F.size("embedding").alias("dim"), signs.alias("signs"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("length"))
 
 
 @query("e2_vector_check", "SELECT vec_id AS chunk_id, len(embedding) AS dim, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS length FROM embeddings WHERE len(embedding) <> 64 OR sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) < 1.0")
