@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, langid, linededup, pieces, pii, quality, secrets, simhash, warc
+from . import decontaminate, html_text, langid, linededup, pieces, pii, quality, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_language_id": langid.op9,
     "op10_pii": pii.op10,
+    "op13_substring_dedup": substrings.op13,
     "line_dedup_incremental": linededup.incremental,
     "language_id_of_pages": langid.pages_language,
 }
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_line_dedup": linededup.OP3_SQL,
     "line_dedup_incremental": linededup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op13_substring_dedup": substrings.OP13_SQL,
 }
