@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, langid, linededup, pieces, pii, quality, secrets, simhash, substrings, warc
+from . import decontaminate, fill_in_middle, html_text, langid, linededup, pieces, pii, prefix_trie, quality, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_language_id": langid.op9,
     "op10_pii": pii.op10,
+    "op11_fill_in_middle": fill_in_middle.op11,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_substring_dedup": substrings.op13,
     "line_dedup_incremental": linededup.incremental,
     "language_id_of_pages": langid.pages_language,
@@ -24,5 +26,7 @@ ORACLES = {
     "op3_line_dedup": linededup.OP3_SQL,
     "line_dedup_incremental": linededup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_substring_dedup": substrings.OP13_SQL,
 }
