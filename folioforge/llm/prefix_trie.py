@@ -173,7 +173,7 @@ WITH s0 AS (SELECT i, i::BIGINT AS v FROM range(256) r(i)),
 {_CRC_STEPS},
 crc AS (SELECT list(v ORDER BY i) AS l FROM s8),
 ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
-h AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), ch -> ascii(ch)::BIGINT)), (a, b) -> xor(l[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 AS h FROM ids, crc),
+h AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: xor(l[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 AS h FROM ids, crc),
 t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 r0 AS (SELECT h.c, 0 AS part, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.pos <= h.h UNION ALL SELECT h.c, 1, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
 r1 AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, role, text FROM r0),

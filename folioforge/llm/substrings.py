@@ -6,18 +6,18 @@ a document with a smaller id; windows are judged on the input.
 Routing. A window's *anchor* is the smallest hash of its ``anchor``-word grams, so equal windows have equal anchors. The run
 of neighbouring windows with one anchor is a *passage* of ``width`` to ``2 * width - anchor`` words. An anchor met in one
 document only cannot lie in a repeated window; a cuckoo filter of the others lets the tasks that read the texts pick
-the passages to compare. The distinct ones are the references (their text once, and the smallest id that holds it),
-dealt to shards by anchor.
+the passages to compare. The distinct ones are the references, dealt to shards by anchor.
 
 Matching. A shard's references become one suffix automaton: a state is the set of places where its strings end, with the smallest
-id among them; the arrays are built by sorting, no string is walked in Python. The automaton is sent to each part of
-the shard's passages, which stream through it: at each word the state of the longest suffix that the shard holds, and
-from there by suffix links the state of the last ``width`` words, whose smallest id is the window's keeper. Documents of a
-larger id lose the window, and touching windows are one span.
+id among them; the arrays are built by sorting, no string is walked in Python. The passages of the documents stream through the
+automaton of their shard: at each word the state of the longest suffix that the shard holds, and from there by suffix links the
+state of the last ``width`` words, whose smallest id is the window's keeper. Documents of a larger id lose the window, and
+touching windows are one span. Since a window can only match in the shard of its anchor, no automaton has to be sent to all tasks: passages come to it.
 
-Scale. Anchors are counted by partial sums; filters over ``sent_bytes`` are not sent, the passages are then found by a join. Texts are shuffled
-once, for the cut. An anchor with over ``hot_passages`` distinct passages has its passages split into single windows, each its own
-anchor, so no shard follows one anchor; copies are one reference, and a shard's passages go in parts of ``part_rows``.
+Scale. Anchors go once a batch of texts; filters over ``sent_bytes`` are not sent, the passages are then found by a join. A passage's words go to its
+shard once for each batch of texts, however many documents repeat it; its verdict comes back by a join on its hashes, which Spark splits for hot passages. Texts are shuffled
+once, for the cut. An anchor in over ``hot_batches`` batches has its passages split into single windows, each its own
+anchor, so no shard follows one anchor.
 
 Edge cases: null, empty and short texts keep all words; ids may be of any type that can be ordered; rows of one id are one document
 (a window in rows of one id alone is not repeated) and each row is cut on its own; rows with a null id hold no references and keep all words;
@@ -27,14 +27,14 @@ all others come through, the text as its kept words joined by one space.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,10 +83,9 @@ class Passages(NamedTuple):
     last: np.ndarray
     a: np.ndarray
 
-    def words(self, take: np.ndarray) -> list[str]:
+    def words(self) -> list[bytes]:
         ends = np.append(self.starts[1:] - 1, len(self.line))
-        at, to = self.starts[self.first[take]].tolist(), ends[self.last[take]].tolist()
-        return [self.line[s:e].decode() for s, e in zip(at, to, strict=True)]
+        return [self.line[s:e] for s, e in zip(self.starts[self.first].tolist(), ends[self.last].tolist(), strict=True)]
 
 
 def passages(texts: list[str | None], width: int = WIDTH, anchor: int = ANCHOR) -> Passages:
@@ -124,20 +123,23 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
 
 
 def anchors(docs: DataFrame, id_col: str, text_col: str, width: int, anchor: int) -> DataFrame:
-    """(id, a): the anchors of each document."""
+    """(a): the anchors of each batch of documents, twice if two documents of it have the anchor."""
 
     def task():
         def one(texts):
             p = passages(texts, width, anchor)
-            order = np.lexsort((p.a, p.text))
+            order = np.lexsort((p.text, p.a))
             a, text = p.a[order], p.text[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (text[1:] != text[:-1]))[: len(a)]
-            return {"a": _lists(text[new], len(texts), pa.array(a[new], pa.int64()))}
+            fresh = np.append(True, a[1:] != a[:-1])[: len(a)]
+            again = ~fresh & np.append(False, text[1:] != text[:-1])[: len(a)]
+            second = again & ~np.append(False, (again[:-1] & (a[1:] == a[:-1])))[: len(a)]
+            sent = a[fresh | second]
+            return {"a": _lists(np.zeros(len(sent), np.int64), len(texts), pa.array(sent, pa.int64()))}
 
         return one
 
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return map_texts(rows, "text", task, [T.StructField("a", T.ArrayType(T.LongType()))], keep=["id"], drop_text=True).select("id", F.explode("a").alias("a"))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text"))
+    return map_texts(rows, "text", task, [T.StructField("a", T.ArrayType(T.LongType()))], keep=[], drop_text=True).select(F.explode("a").alias("a"))
 
 
 def _filters(repeated: DataFrame) -> DataFrame:
@@ -149,50 +151,92 @@ def _filters(repeated: DataFrame) -> DataFrame:
     return repeated.select("a", F.shiftrightunsigned("a", 56).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, cells binary")
 
 
-PASSAGE = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("words", T.StringType())])
+def _sent(filters: DataFrame) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """What tells, in a task, which anchors the filters hold."""
+    sent = filters.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in filters.toLocalIterator()})  # the caller checks its size
 
+    def opened():
+        known = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
 
-def _picked(rows: DataFrame, pick: Callable[[], Callable[[list, Passages], np.ndarray]], width: int, anchor: int) -> DataFrame:
-    """(id, t1, first, a, words) of the passages that ``pick`` chooses of a batch's; rows have id, t1, packed(text, ...)."""
+        def holds(a: np.ndarray) -> np.ndarray:
+            hit, shard = np.zeros(len(a), bool), (a.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            for part in np.split(order, np.nonzero(np.diff(shard[order]))[0] + 1):
+                if len(part) and (f := known.get(int(shard[part[0]]))) is not None:
+                    hit[part] = f.contains(a[part])
+            return hit
+
+        return holds
+
+    return opened
+
+
+def _bytes(filters: DataFrame) -> int:
+    return filters.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
+
+
+def single_windows(p: Passages, take: np.ndarray, hot: np.ndarray, width: int) -> tuple[Passages, np.ndarray]:
+    """The passages ``take``, those of ``hot`` anchors as single windows, and which of them are so."""
+    size = np.where(hot[take], p.last[take] - p.first[take] - width + 2, 1)
+    at = np.repeat(take, size)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    split = np.repeat(hot[take], size)
+    first = p.first[at] + k
+    return Passages(p.line, p.starts, p.text[at], p.own[at] + k, first, np.where(split, first + width - 1, p.last[at]), p.a[at]), split
+
+
+def _picked(rows: DataFrame, pick: Callable[[], Callable[[list, Passages], tuple[np.ndarray, np.ndarray]]], width: int, anchor: int) -> DataFrame:
+    """(id, t1, first, a, s, words, keeper) of the passages that ``pick`` chooses (and which of a batch's are of hot anchors); rows have id, t1, packed(id, text, ...).
+
+    s is a hash of the words; words and the smallest id of a batch stand only where the batch has the passage first.
+    """
+    kind = rows.schema["id"].dataType
+    fields = [T.StructField("first", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("words", T.StringType()), T.StructField("keeper", kind)]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(kind)
 
     def task():
         choose = pick()
 
         def one(batch):
             p = passages([x["text"] for x in batch], width, anchor)
-            take = choose(batch, p)
-            struct = pa.StructArray.from_arrays([pa.array(p.own[take], pa.int32()), pa.array(p.a[take], pa.int64()), pa.array(p.words(take), pa.string())], names=["first", "a", "words"])
-            return {"p": _lists(p.text[take], len(batch), struct)}
+            take, hot = choose(batch, p)
+            p, split = single_windows(p, take, hot, width)
+            words = p.words()
+            s = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
+            a = p.a.copy()
+            a[split] = np.array([xxhash.xxh64_intdigest(words[i]) for i in np.nonzero(split)[0].tolist()], np.uint64).view(np.int64)
+            order = np.lexsort((p.text, s, a))
+            new = np.append(True, (a[order[1:]] != a[order[:-1]]) | (s[order[1:]] != s[order[:-1]]))[: len(order)]
+            heads = order[new]
+            least = np.empty(len(batch), object)
+            least[:] = [x["id"] for x in batch]
+            keeper, shown = [None] * len(words), [None] * len(words)
+            for h, low in zip(heads.tolist(), np.minimum.reduceat(least[p.text[order]], np.nonzero(new)[0]).tolist() if len(heads) else (), strict=True):
+                keeper[h], shown[h] = low, words[h].decode()
+            struct = pa.StructArray.from_arrays([pa.array(p.own, pa.int32()), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(shown, pa.string()), pa.array(keeper, id_type)], names=[f.name for f in fields])
+            return {"p": _lists(p.text, len(batch), struct)}
 
         return one
 
-    out = map_texts(rows, "packed", task, [T.StructField("p", T.ArrayType(PASSAGE))], keep=["id", "t1"], drop_text=True)
+    out = map_texts(rows, "packed", task, [T.StructField("p", T.ArrayType(T.StructType(fields)))], keep=["id", "t1"], drop_text=True)
     return out.select("id", "t1", F.explode("p").alias("p")).select("id", "t1", "p.*")
 
 
 def candidates(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, width: int, anchor: int, sent_bytes: int) -> DataFrame:
-    """(id, t1, first, a, words) of the passages whose anchor may be in ``repeated`` (all that are, and few others)."""
+    """(id, t1, first, a, s, words, keeper) of the passages whose anchor may be in ``repeated`` (all that are, and few others)."""
     text = F.col(f"`{text_col}`")
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t1"), text.alias("text"))
-    cells = stored(_filters(repeated))
-    if cells.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0] <= sent_bytes:
-        sent = docs.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in cells.toLocalIterator()})  # its size is checked above
+    cells, hot_cells = stored(_filters(repeated)), stored(_filters(repeated.where("hot")))
+    if _bytes(cells) + _bytes(hot_cells) <= sent_bytes:
+        some, hot = _sent(cells), _sent(hot_cells)
 
         def by_filter():
-            known = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
+            holds, is_hot = some(), hot()
+            return lambda _, p: (np.nonzero(holds(p.a))[0], is_hot(p.a))
 
-            def choose(_, p):
-                a = p.a
-                hit, shard = np.zeros(len(a), bool), (a.view(np.uint64) >> np.uint64(56)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                for part in np.split(order, np.nonzero(np.diff(shard[order]))[0] + 1):
-                    if len(part) and (f := known.get(int(shard[part[0]]))) is not None:
-                        hit[part] = f.contains(a[part])
-                return np.nonzero(hit)[0]
-
-            return choose
-
-        return _picked(rows.select("id", "t1", F.struct("text").alias("packed")), by_filter, width, anchor)
+        return _picked(rows.select("id", "t1", F.struct("id", "text").alias("packed")), by_filter, width, anchor)
 
     def held():
         def one(texts):
@@ -201,21 +245,22 @@ def candidates(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str,
 
         return one
 
-    every = map_texts(rows, "text", held, [T.StructField("p", T.ArrayType(T.StructType(PASSAGE.fields[:2])))], keep=["id", "t1"], drop_text=True)
-    hits = every.select("id", "t1", F.explode("p").alias("p")).select("id", "t1", "p.*").join(repeated, "a", "left_semi")
-    wanted = hits.groupBy("id", "t1").agg(F.collect_set("first").alias("wanted"))
+    place = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("a", T.LongType())])
+    every = map_texts(rows, "text", held, [T.StructField("p", T.ArrayType(place))], keep=["id", "t1"], drop_text=True)
+    hits = every.select("id", "t1", F.explode("p").alias("p")).select("id", "t1", "p.*").join(repeated, "a")
+    wanted = hits.groupBy("id", "t1").agg(F.collect_set("first").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("first"))).alias("hot"))
 
     def by_place():
         def choose(batch, p):
-            take = np.zeros(len(p.a), bool)
+            take, hot = np.zeros(len(p.a), bool), np.zeros(len(p.a), bool)
             for k, x in enumerate(batch):
                 lo, hi = np.searchsorted(p.text, [k, k + 1])
-                take[lo:hi] = np.isin(p.own[lo:hi], x["wanted"])
-            return np.nonzero(take)[0]
+                take[lo:hi], hot[lo:hi] = np.isin(p.own[lo:hi], x["wanted"]), np.isin(p.own[lo:hi], x["hot"])
+            return np.nonzero(take)[0], hot
 
         return choose
 
-    return _picked(rows.dropDuplicates(["id", "t1"]).join(wanted, ["id", "t1"]).select("id", "t1", F.struct("text", "wanted").alias("packed")), by_place, width, anchor)
+    return _picked(rows.join(wanted, ["id", "t1"]).select("id", "t1", F.struct("id", "text", "wanted", "hot").alias("packed")), by_place, width, anchor)
 
 
 # --- suffix automaton ---------------------------------------------------------------------------------
@@ -327,97 +372,50 @@ class SuffixAutomaton:
                 return self.low[states]
             states[up] = self.link[states[up]]
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {k: getattr(self, k) for k in ("length", "link", "low", "keys", "ends")} | {"n_words": np.array([self.n_words])}
-
-    @classmethod
-    def from_arrays(cls, arrays: dict[str, np.ndarray]) -> SuffixAutomaton:
-        self = cls.__new__(cls)
-        self.__dict__.update({k: v for k, v in arrays.items() if k != "n_words"})
-        self.n_words = int(arrays["n_words"][0])
-        return self
 
-
-def numbered(texts: list[str], known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """(word numbers, words of each text, numbers by word); with ``known``, words not in it are -1."""
-    rows = [t.split(" ") for t in texts]
-    sizes = np.array([len(r) for r in rows], np.int64)
-    if known is None:
-        known = {}
-        flat = [known.setdefault(w, len(known)) for r in rows for w in r]
-    else:
-        flat = [known.get(w, -1) for r in rows for w in r]
-    return np.array(flat, np.int64), sizes, known
+def numbered(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words, words of each text)."""
+    known: dict[str, int] = {}
+    flat, sizes = [], []
+    for t in texts:
+        row = t.split(" ")
+        sizes.append(len(row))
+        flat += [known.setdefault(w, len(known)) for w in row]
+    return np.array(flat, np.int64), np.array(sizes, np.int64)
 
 
 # --- keepers ----------------------------------------------------------------------------------------------
 
 
-def _text_hash(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("s1"), F.xxhash64(F.lit(77), words).alias("s2")]
-
-
-def references(found: DataFrame) -> DataFrame:
-    """(a, words, keeper): the distinct passages with the smallest id that holds each."""
-    return found.groupBy("a", "words").agg(F.min("id").alias("keeper"))
-
-
-def single_windows(found: DataFrame, width: int) -> DataFrame:
-    """The windows of the passages, as passages with an anchor of their own each."""
-    words = F.split("words", " ")
-    each = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(words) - width))).withColumn("words", F.array_join(F.slice(words, F.col("k") + 1, width), " "))
-    return each.withColumn("first", F.col("first") + F.col("k")).withColumn("a", F.xxhash64("words")).drop("k")
-
-
-def keepers(refs: DataFrame, width: int, shard_rows: int, part_rows: int) -> DataFrame:
-    """(s1, s2, keepers): for each distinct passage the smallest id that holds each of its windows."""
-    kind = refs.schema["keeper"].dataType
+def keepers(refs: DataFrame, width: int, shard_rows: int) -> DataFrame:
+    """(a, s, keepers): for each distinct passage the smallest id that holds each of its windows; refs: (a, s, words, keeper)."""
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("keepers", T.ArrayType(refs.schema["keeper"].dataType))])
     n_shards = max(1, -(-refs.count() // shard_rows))
-    placed = refs.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)).cast("int"))
 
-    def build(key, pdf):
-        words, sizes, known = numbered(pdf["words"].tolist())
+    def match(pdf):
         ids, ranks = np.unique(pdf["keeper"].to_numpy(), return_inverse=True)
-        made = SuffixAutomaton(words, sizes, ranks.ravel())
-        return pd.DataFrame({"shard": [key[0]], "automaton": [pickle.dumps((made.arrays(), known, ids))]})
-
-    automata = stored(placed.groupBy("shard").applyInPandas(build, "shard int, automaton binary"))
-    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    sent = automata.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "automaton")
-    streams = placed.join(F.broadcast(parts), "shard").select("shard", F.pmod(F.xxhash64("words"), F.col("parts")).cast("int").alias("part"), "words")
-    out = T.StructType([T.StructField("words", T.StringType()), T.StructField("keepers", T.ArrayType(kind))])
-
-    def stream(key, own, automaton):
-        if not len(own) or not len(automaton):
-            return pd.DataFrame({"words": [], "keepers": []})
-        arrays, known, ids = pickle.loads(automaton["automaton"].iloc[0])
-        made = SuffixAutomaton.from_arrays(arrays)
-        words, sizes, _ = numbered(own["words"].tolist(), known)
+        own = pdf.assign(rank=ranks.ravel()).sort_values("rank", kind="stable").drop_duplicates(["a", "s"])
+        words, sizes = numbered(own["words"])
+        made = SuffixAutomaton(words, sizes, own["rank"].to_numpy())
         longest, states = made.matches(words, sizes)
-        ends = np.concatenate([np.arange(e - s + width - 1, e) for s, e in zip(sizes, np.cumsum(sizes), strict=True)]) if len(sizes) else np.empty(0, np.int64)
+        windows = sizes - width + 1
+        upto = np.cumsum(windows)
+        ends = np.arange(upto[-1]) + np.repeat(np.cumsum(sizes) - upto, windows)  # the last word of each window
         if (longest[ends] < width).any():
-            raise AssertionError("a passage is not in its own shard")
+            raise AssertionError("a passage is not in the automaton of its shard")
         held = ids[made.lowest(states[ends], width)].tolist()
-        cuts = np.cumsum(sizes - width + 1)
-        return pd.DataFrame({"words": own["words"], "keepers": [held[e - s : e] for s, e in zip((sizes - width + 1).tolist(), cuts.tolist(), strict=True)]})
+        return pd.DataFrame({"a": own["a"], "s": own["s"], "keepers": [held[e - n : e] for n, e in zip(windows.tolist(), upto.tolist(), strict=True)]})
 
-    got = streams.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInPandas(stream, out)
-    return got.select(*_text_hash(F.col("words")), "keepers")
+    return refs.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(lambda pdf: match(pdf), out)
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, sent_bytes: int = 64 << 20, hot_passages: int = 20_000, shard_rows: int = 20_000, part_rows: int = 20_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, sent_bytes: int = 64 << 20, hot_batches: int = 20_000, shard_rows: int = 10_000) -> DataFrame:
     """(id, t1, first, goes): for passages with a window held by a smaller id, the first word's number and for each window whether it is so held. t1 tells rows of one id apart by their texts."""
-    grouped = anchors(docs, id_col, text_col, width, anchor).groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    repeated = stored(grouped.where("lo <> hi").select("a"))
+    met = anchors(docs, id_col, text_col, width, anchor).repartition("a").groupBy("a").agg(F.count("*").alias("n"))
+    repeated = stored(met.where("n > 1").select("a", (F.col("n") > hot_batches).alias("hot")))
     found = stored(candidates(docs, repeated, id_col, text_col, width, anchor, sent_bytes))
-    refs = stored(references(found))
-    hot = stored(refs.groupBy("a").count().where(F.col("count") > hot_passages).select("a"))
-    if hot.head(1):
-        split = stored(single_windows(found.join(hot, "a", "left_semi"), width))
-        found = found.join(hot, "a", "left_anti").unionByName(split)
-        refs = stored(refs.join(hot, "a", "left_anti").unionByName(references(split)))
-    kept = keepers(refs, width, shard_rows, part_rows)
-    told = found.select("id", "t1", "first", *_text_hash(F.col("words"))).join(kept, ["s1", "s2"])
+    kept = keepers(found.where("words is not null").select("a", "s", "words", "keeper"), width, shard_rows)
+    told = found.select("id", "t1", "first", "a", "s").join(kept, ["a", "s"])
     return told.select("id", "t1", "first", F.transform("keepers", lambda k: k < F.col("id")).alias("goes")).where(F.exists("goes", lambda x: x))
 
 
