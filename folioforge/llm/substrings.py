@@ -15,7 +15,7 @@ state of the last ``width`` words, whose smallest id is the window's keeper. Doc
 touching windows are one span. Since a window can only match in the shard of its anchor, no automaton has to be sent to all tasks: passages come to it.
 
 Scale. Anchors go once a batch of texts; filters over ``sent_bytes`` are not sent, the passages are then found by a join. A passage's words go to its
-shard once for each batch of texts, however many documents repeat it; its verdict comes back by a join on its hashes, which Spark splits for hot passages. Texts are shuffled
+shard once for each batch of texts, however many documents repeat it, compressed with those of its group (four groups for each shuffle partition of the session); its verdict comes back by a join on its hashes, which Spark splits for hot passages. Texts are shuffled
 once, for the cut. An anchor in over ``hot_batches`` batches has its passages split into single windows, each its own
 anchor, so no shard follows one anchor.
 
@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,19 +186,22 @@ def single_windows(p: Passages, take: np.ndarray, hot: np.ndarray, width: int) -
     return Passages(p.line, p.starts, p.text[at], p.own[at] + k, first, np.where(split, first + width - 1, p.last[at]), p.a[at]), split
 
 
-def _picked(rows: DataFrame, pick: Callable[[], Callable[[list, Passages], tuple[np.ndarray, np.ndarray]]], width: int, anchor: int) -> DataFrame:
-    """(id, t1, first, a, s, words, keeper) of the passages that ``pick`` chooses (and which of a batch's are of hot anchors); rows have id, t1, packed(id, text, ...).
+def _picked(rows: DataFrame, pick: Callable[[], Callable[[list, Passages], tuple[np.ndarray, np.ndarray]]], width: int, anchor: int, n_groups: int) -> DataFrame:
+    """(id, t1, p, g) of the passages that ``pick`` chooses (and which of a batch's are of hot anchors); rows have id, t1, packed(id, text, ...).
 
-    s is a hash of the words; words and the smallest id of a batch stand only where the batch has the passage first.
+    p: a document's passages (first, a, s), s a hash of the words. g, beside one document of a batch: the distinct passages of the batch by group of anchors, with the smallest
+    id that has each and the words, compressed together.
     """
-    kind = rows.schema["id"].dataType
-    fields = [T.StructField("first", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("words", T.StringType()), T.StructField("keeper", kind)]
     from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = rows.schema["id"].dataType
+    own = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("s", T.LongType())])
+    longs = T.ArrayType(T.LongType())
+    sent = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("a", longs), T.StructField("s", longs), T.StructField("keeper", T.ArrayType(kind)), T.StructField("words", T.BinaryType())])
     id_type = to_arrow_type(kind)
 
     def task():
-        choose = pick()
+        choose, packer = pick(), zstandard.ZstdCompressor(level=3)
 
         def one(batch):
             p = passages([x["text"] for x in batch], width, anchor)
@@ -207,25 +211,30 @@ def _picked(rows: DataFrame, pick: Callable[[], Callable[[list, Passages], tuple
             s = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
             a = p.a.copy()
             a[split] = np.array([xxhash.xxh64_intdigest(words[i]) for i in np.nonzero(split)[0].tolist()], np.uint64).view(np.int64)
-            order = np.lexsort((p.text, s, a))
+            order = np.lexsort((s, a))
             new = np.append(True, (a[order[1:]] != a[order[:-1]]) | (s[order[1:]] != s[order[:-1]]))[: len(order)]
+            ids = np.empty(len(batch), object)
+            ids[:] = [x["id"] for x in batch]
+            keeper = np.minimum.reduceat(ids[p.text[order]], np.nonzero(new)[0]) if len(order) else ids[:0]
             heads = order[new]
-            least = np.empty(len(batch), object)
-            least[:] = [x["id"] for x in batch]
-            keeper, shown = [None] * len(words), [None] * len(words)
-            for h, low in zip(heads.tolist(), np.minimum.reduceat(least[p.text[order]], np.nonzero(new)[0]).tolist() if len(heads) else (), strict=True):
-                keeper[h], shown[h] = low, words[h].decode()
-            struct = pa.StructArray.from_arrays([pa.array(p.own, pa.int32()), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(shown, pa.string()), pa.array(keeper, id_type)], names=[f.name for f in fields])
-            return {"p": _lists(p.text, len(batch), struct)}
+            group = ((a[heads].view(np.uint64) >> np.uint64(20)) % np.uint64(n_groups)).astype(np.int64)
+            by_group = np.argsort(group, kind="stable")
+            heads, keeper, group = heads[by_group], keeper[by_group], group[by_group]
+            cuts = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1, [len(group)])) if len(group) else np.zeros(1, np.int64)
+            blobs = [packer.compress(b"\n".join([words[h] for h in heads[lo:hi].tolist()])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+            groups = pa.StructArray.from_arrays([pa.array(group[cuts[:-1]], pa.int32()), listed(a[heads], pa.int64()), listed(s[heads], pa.int64()), listed(keeper.tolist(), id_type), pa.array(blobs, pa.binary())], names=sent.names)
+            places = pa.StructArray.from_arrays([pa.array(p.own, pa.int32()), pa.array(a, pa.int64()), pa.array(s, pa.int64())], names=own.names)
+            return {"p": _lists(p.text, len(batch), places), "g": _lists(np.zeros(len(blobs), np.int64), len(batch), groups)}
 
         return one
 
-    out = map_texts(rows, "packed", task, [T.StructField("p", T.ArrayType(T.StructType(fields)))], keep=["id", "t1"], drop_text=True)
-    return out.select("id", "t1", F.explode("p").alias("p")).select("id", "t1", "p.*")
+    out = map_texts(rows, "packed", task, [T.StructField("p", T.ArrayType(own)), T.StructField("g", T.ArrayType(sent))], keep=["id", "t1"], drop_text=True)
+    return out.where("size(p) > 0 or size(g) > 0")
 
 
-def candidates(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, width: int, anchor: int, sent_bytes: int) -> DataFrame:
-    """(id, t1, first, a, s, words, keeper) of the passages whose anchor may be in ``repeated`` (all that are, and few others)."""
+def candidates(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, width: int, anchor: int, sent_bytes: int, n_groups: int) -> DataFrame:
+    """(id, t1, p, g), as in ``_picked``, of the passages whose anchor may be in ``repeated`` (all that are, and few others)."""
     text = F.col(f"`{text_col}`")
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t1"), text.alias("text"))
     cells, hot_cells = stored(_filters(repeated)), stored(_filters(repeated.where("hot")))
@@ -236,7 +245,7 @@ def candidates(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str,
             holds, is_hot = some(), hot()
             return lambda _, p: (np.nonzero(holds(p.a))[0], is_hot(p.a))
 
-        return _picked(rows.select("id", "t1", F.struct("id", "text").alias("packed")), by_filter, width, anchor)
+        return _picked(rows.select("id", "t1", F.struct("id", "text").alias("packed")), by_filter, width, anchor, n_groups)
 
     def held():
         def one(texts):
@@ -260,7 +269,7 @@ def candidates(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str,
 
         return choose
 
-    return _picked(rows.join(wanted, ["id", "t1"]).select("id", "t1", F.struct("id", "text", "wanted", "hot").alias("packed")), by_place, width, anchor)
+    return _picked(rows.join(wanted, ["id", "t1"]).select("id", "t1", F.struct("id", "text", "wanted", "hot").alias("packed")), by_place, width, anchor, n_groups)
 
 
 # --- suffix automaton ---------------------------------------------------------------------------------
@@ -387,35 +396,49 @@ def numbered(texts) -> tuple[np.ndarray, np.ndarray]:
 # --- keepers ----------------------------------------------------------------------------------------------
 
 
-def keepers(refs: DataFrame, width: int, shard_rows: int) -> DataFrame:
-    """(a, s, keepers): for each distinct passage the smallest id that holds each of its windows; refs: (a, s, words, keeper)."""
-    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("keepers", T.ArrayType(refs.schema["keeper"].dataType))])
-    n_shards = max(1, -(-refs.count() // shard_rows))
+def match(words: list[str], ids: np.ndarray, width: int) -> list[list]:
+    """For each passage and window of it, the smallest id among the passages that hold the window: all stream through the automaton of all."""
+    names, ranks = np.unique(ids, return_inverse=True)
+    flat, sizes = numbered(words)
+    made = SuffixAutomaton(flat, sizes, ranks.ravel())
+    longest, states = made.matches(flat, sizes)
+    windows = sizes - width + 1
+    upto = np.cumsum(windows)
+    ends = np.arange(upto[-1]) + np.repeat(np.cumsum(sizes) - upto, windows)  # the last word of each window
+    if (longest[ends] < width).any():
+        raise AssertionError("a passage is not in the automaton of its shard")
+    held = names[made.lowest(states[ends], width)].tolist()
+    return [held[e - n : e] for n, e in zip(windows.tolist(), upto.tolist(), strict=True)]
+
+
+def keepers(groups: DataFrame, width: int, shard_rows: int) -> DataFrame:
+    """(a, s, keepers): for each distinct passage the smallest id that holds each of its windows; groups: (group, a, s, keeper, words) as in ``_picked``.
+
+    A group's anchors are dealt to shards of about ``shard_rows`` passages, an automaton each.
+    """
+    kind = groups.schema["keeper"].dataType
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.LongType()), T.StructField("keepers", kind)])
 
-    def match(pdf):
-        ids, ranks = np.unique(pdf["keeper"].to_numpy(), return_inverse=True)
-        own = pdf.assign(rank=ranks.ravel()).sort_values("rank", kind="stable").drop_duplicates(["a", "s"])
-        words, sizes = numbered(own["words"])
-        made = SuffixAutomaton(words, sizes, own["rank"].to_numpy())
-        longest, states = made.matches(words, sizes)
-        windows = sizes - width + 1
-        upto = np.cumsum(windows)
-        ends = np.arange(upto[-1]) + np.repeat(np.cumsum(sizes) - upto, windows)  # the last word of each window
-        if (longest[ends] < width).any():
-            raise AssertionError("a passage is not in the automaton of its shard")
-        held = ids[made.lowest(states[ends], width)].tolist()
-        return pd.DataFrame({"a": own["a"], "s": own["s"], "keepers": [held[e - n : e] for n, e in zip(windows.tolist(), upto.tolist(), strict=True)]})
+    def shards(pdf):
+        opener = zstandard.ZstdDecompressor()
+        words = [w for x in pdf["words"] for w in opener.decompress(x).decode().split("\n")]
+        a, s, ids = (np.concatenate(pdf[c].to_list()) for c in ("a", "s", "keeper"))
+        rows = pd.DataFrame({"a": a, "s": s, "keeper": ids, "words": words}).sort_values("keeper", kind="stable").drop_duplicates(["a", "s"])
+        shard = _mix(rows["a"].to_numpy(np.int64).view(np.uint64)) % np.uint64(-(-len(rows) // shard_rows))
+        told = [pd.DataFrame({"a": own["a"], "s": own["s"], "keepers": match(own["words"].to_list(), own["keeper"].to_numpy(), width)}) for _, own in rows.groupby(shard)]
+        return pd.concat(told)
 
-    return refs.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(lambda pdf: match(pdf), out)
+    return groups.groupBy("group").applyInPandas(lambda pdf: shards(pdf), out)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, sent_bytes: int = 64 << 20, hot_batches: int = 20_000, shard_rows: int = 10_000) -> DataFrame:
     """(id, t1, first, goes): for passages with a window held by a smaller id, the first word's number and for each window whether it is so held. t1 tells rows of one id apart by their texts."""
     met = anchors(docs, id_col, text_col, width, anchor).repartition("a").groupBy("a").agg(F.count("*").alias("n"))
     repeated = stored(met.where("n > 1").select("a", (F.col("n") > hot_batches).alias("hot")))
-    found = stored(candidates(docs, repeated, id_col, text_col, width, anchor, sent_bytes))
-    kept = keepers(found.where("words is not null").select("a", "s", "words", "keeper"), width, shard_rows)
-    told = found.select("id", "t1", "first", "a", "s").join(kept, ["a", "s"])
+    n_groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(candidates(docs, repeated, id_col, text_col, width, anchor, sent_bytes, n_groups))
+    kept = keepers(found.select(F.explode("g").alias("g")).select("g.*"), width, shard_rows)
+    told = found.select("id", "t1", F.explode("p").alias("p")).select("id", "t1", "p.*").join(kept, ["a", "s"])
     return told.select("id", "t1", "first", F.transform("keepers", lambda k: k < F.col("id")).alias("goes")).where(F.exists("goes", lambda x: x))
 
 
