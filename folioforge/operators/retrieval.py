@@ -3,21 +3,21 @@
 Queries have ``query_id`` and ``question``; the corpus has an id column and a text column. Every list
 is ranked by rounded score, then id, so that sums taken in another order give the same ranks.
 
-Both searches leave the corpus where it is: a bounded block of queries is sent to the tasks, which score their own documents and keep
-the best; k rows a query and task are shuffled, and no pair of query and document is. No term is a key of a shuffle, so common words
-are no hot keys. Sparse search reads a stored BM25 index (``bm25_index``): the corpus is tokenized once, when it is built.
+Sparse search reads *postings* (``bm25_index``): a table partitioned by a hash of the term and, within every such partition, bucketed by
+document and sorted by term. A query reads only its terms' partitions. A long list lies in as many files as there are buckets, so a common word is no
+hot key; and all postings of a document are in one bucket, so its score is summed where they are read: only the k best of a query
+and bucket are shuffled, never a pair of query and document. Dense search sends a bounded block of query vectors to the tasks, each of which carries its k best through all its vectors.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,42 +29,72 @@ ABSENT_RANK = 1000
 SENDABLE_QUERIES = 2000
 
 
+TERM_BUCKETS = 32
+#: Up to so many terms of a block of queries, the scan is also given the terms themselves, so that whole row groups of a sorted file are left out.
+PUSHED_TERMS = 500
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    """Stored statistics of a corpus: ``words`` (id, w: a document's tokens), ``terms`` (term, df, idf) and one row of ``totals`` (n, avgdl)."""
+    """Stored statistics of a corpus: ``postings`` (bucket, term, id, tf, dl), ``terms`` (bucket, term, df, idf), ``ids`` of all documents and one row of ``totals`` (n, avgdl, buckets, slices)."""
 
-    words: DataFrame
+    postings: DataFrame
     terms: DataFrame
+    ids: DataFrame
     totals: DataFrame
+    buckets: int
+
+    def bucket(self, term: Column) -> Column:
+        return term_bucket(term, self.buckets)
+
 
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-def bm25_index(corpus: DataFrame, id_col: str = "chunk_id", text: str = "embed_text", path: str | None = None) -> Bm25Index:
+
+def bm25_index(corpus: DataFrame, id_col: str = "chunk_id", text: str = "embed_text", path: str | None = None, buckets: int = TERM_BUCKETS, slices: int | None = None) -> Bm25Index:
     """The index of a corpus, written to ``path`` (or to a folder of its own in shared storage) and read from there.
 
     idf is ln(n - df + 0.5) - ln(df + 0.5); negative values become a quarter of the mean over all terms. Documents without words
-    count for n and the mean length. A document's distinct terms are counted by partial sums: a row a term and task is shuffled.
+    count for n and the mean length. ``slices`` (the session's shuffle partitions, if None) is the number of buckets of documents. Texts
+    are shuffled once, to their slice, where a document's terms are counted.
     """
     spark = corpus.sparkSession
     path = path or shared_dir(spark)
-    spread(corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", tokenize(F.col("text")).alias("w")).write.parquet(f"{path}/words")
-    words = spark.read.parquet(f"{path}/words")
-    n, avgdl = words.agg(F.count("*"), F.coalesce(F.avg(F.size("w")), F.lit(0.0))).first()
-    spark.range(1, numPartitions=1).select(F.lit(n).cast("long").alias("n"), F.lit(avgdl).alias("avgdl")).write.parquet(f"{path}/totals")
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = stored(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
-    raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf")).write.parquet(f"{path}/terms")
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    docs.select("id").write.parquet(f"{path}/ids")
+    words = docs.repartition(slices, "id").select("id", tokenize(F.col("text")).alias("w"))
+    counted = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    rows = counted.select("term", "id", "tf", "dl", term_bucket(F.col("term"), buckets).alias("bucket"))
+    rows.write.partitionBy("bucket").bucketBy(slices, "id").sortBy("term", "id").option("path", f"{path}/postings").saveAsTable(_table_name(path))
+    postings = spark.table(_table_name(path))
+    n = spark.read.parquet(f"{path}/ids").count()
+    raw = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stored(raw)
+    tokens, mean = raw.agg(F.sum("tokens"), F.avg("raw")).first()
+    idf = F.when(F.col("raw") < 0, 0.25 * F.lit(mean or 0.0)).otherwise(F.col("raw"))
+    raw.select("term", "df", idf.alias("idf"), "bucket").repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    totals = spark.range(1, numPartitions=1).select(F.lit(n).cast("long").alias("n"), F.lit((tokens or 0) / n if n else 0.0).alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(slices).alias("slices"))
+    totals.write.parquet(f"{path}/totals")
     return open_index(spark, path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a table of few row groups would leave the others idle. Large tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _table_name(path: str) -> str:
+    return "postings_" + hashlib.md5(path.encode()).hexdigest()
 
 
 def open_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("words", "terms", "totals")))
+    """A stored index; a session that did not build it learns the postings' layout from the folder."""
+    totals, ids = (spark.read.parquet(f"{path}/{t}") for t in ("totals", "ids"))
+    made = totals.first()
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        kind = ids.schema["id"].dataType.simpleString()
+        spark.sql(f"CREATE TABLE {name} (term STRING, id {kind}, tf INT, dl INT, bucket INT) USING parquet PARTITIONED BY (bucket) CLUSTERED BY (id) SORTED BY (term, id) INTO {made['slices']} BUCKETS LOCATION '{path}/postings'")
+        spark.catalog.recoverPartitions(name)
+    terms = spark.read.schema("term string, df long, idf double, bucket int").parquet(f"{path}/terms")
+    return Bm25Index(spark.table(name), terms, ids, totals, made["buckets"])
 
 
 def ranked(scores: DataFrame, k: int, id_col: str = "chunk_id", score: str = "score", rank: str = "rank") -> DataFrame:
@@ -72,78 +102,50 @@ def ranked(scores: DataFrame, k: int, id_col: str = "chunk_id", score: str = "sc
     return scores.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-class _Asked:
-    """A block of queries as arrays: its terms, and for each term the queries that ask for it with their weights."""
-
-    def __init__(self, rows: pa.Table):
-        rows = rows.sort_by("term")
-        self.ids = rows["query_id"].unique()
-        query = pc.index_in(rows["query_id"], value_set=self.ids).to_numpy().astype(np.int64)
-        terms = rows["term"].dictionary_encode().combine_chunks() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
-        self.terms = terms.dictionary
-        self.count = np.bincount(terms.indices.to_numpy(), minlength=len(self.terms)).astype(np.int64)
-        self.start = np.cumsum(self.count) - self.count
-        self.query, self.weight = query, rows["weight"].to_numpy()
-
-    def scores(self, w: pa.ListArray, avgdl: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, document, score) of every pair with a term in common, for the documents' token lists."""
-        dl = pc.fill_null(pc.list_value_length(w), 0).to_numpy().astype(np.int64)
-        at = pc.fill_null(pc.index_in(pc.list_flatten(w), value_set=self.terms), -1).to_numpy()
-        doc = np.repeat(np.arange(len(dl)), dl)[at >= 0]
-        cell, tf = np.unique(doc * len(self.terms) + at[at >= 0], return_counts=True)
-        doc, term = np.divmod(cell, max(1, len(self.terms)))
-        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
-        n = self.count[term]
-        entry = np.repeat(self.start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pair, place = np.unique(self.query[entry] * len(dl) + np.repeat(doc, n), return_inverse=True)
-        query, doc = np.divmod(pair, max(1, len(dl)))
-        return query, doc, np.bincount(place, self.weight[entry] * np.repeat(gain, n), len(pair))
-
-
-def sparse_search(index: Bm25Index, queries: DataFrame, top_k: int = 20, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id", pad: bool = False, block_terms: int = 100_000, slice_rows: int = 500) -> DataFrame:
+def sparse_search(index: Bm25Index, queries: DataFrame, top_k: int = 20, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id", pad: bool = False, block_terms: int = 100_000) -> DataFrame:
     """BM25 top-k: (query_id, id, score, rank). Repeated query words count repeatedly. ``pad`` fills up to k with zero scores, in id order.
 
-    A block of queries with about ``block_terms`` terms is sent to the tasks, which score ``slice_rows`` documents at a time. Null questions ask nothing.
+    A block of queries with about ``block_terms`` terms is sent to the tasks that read the postings. Null questions ask nothing.
     """
-    spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode_outer(tokenize(F.col("question"))).alias("term")).groupBy("query_id", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("*").alias("qtf"))
-    own = asked.join(index.terms, "term", "left" if pad else "inner")
-    own = stored(own.select("query_id", "term", F.coalesce(F.col("qtf") * F.col("idf"), F.lit(0.0)).alias("weight")))
+    words = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = stored(words.withColumn("bucket", index.bucket(F.col("term"))))
+    named = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most as many numbers as the index has buckets
+    own = stored(asked.join(index.terms.where(F.col("bucket").isin(named)), ["bucket", "term"]).select("query_id", "bucket", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
     avgdl = index.totals.first()["avgdl"] or 1.0
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.words.schema['id'].dataType.simpleString()}, score double"
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     blocks = max(1, -(-own.count() // block_terms))
     found = []
     for k in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast(_Asked(part.toArrow()))
-
-        def best(batches, sent=sent):
-            for batch in batches:
-                for at in range(0, batch.num_rows, slice_rows):
-                    b_ = batch.slice(at, slice_rows)
-                    b_ = b_.take(pc.sort_indices(b_, [("id", "ascending")]))
-                    query, doc, score = sent.value.scores(b_.column("w"), avgdl, k1, b)
-                    if pad:
-                        every = np.zeros((len(sent.value.ids), b_.num_rows))
-                        every[query, doc] = score
-                        (query, doc), score = np.divmod(np.arange(every.size), b_.num_rows), every.ravel()
-                    order = np.lexsort((doc, -np.round(score, 9), query))
-                    query, doc, score = query[order], doc[order], score[order]
-                    first = np.searchsorted(query, query)
-                    top = np.arange(len(query)) - first < top_k
-                    ids = sent.value.ids
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[top])), b_.column("id").take(pa.array(doc[top])), pa.array(score[top])], names=["query_id", "id", "score"])
-
-        found.append(index.words.mapInArrow(best, kinds))
-    scores = reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
-    return ranked(scores, top_k, id_col).select("query_id", id_col, "score", "rank")
+        terms = [r[0] for r in part.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        rows = index.postings.where(F.col("bucket").isin([r[0] for r in part.select("bucket").distinct().collect()]))
+        if len(terms) <= PUSHED_TERMS:
+            rows = rows.where(F.col("term").isin(terms))
+        pairs = rows.join(F.broadcast(part), ["bucket", "term"])  # about block_terms rows
+        found.append(pairs.groupBy("query_id", "id").agg(F.sum(F.col("weight") * gain).alias("score")))
+    scores = reduce(DataFrame.unionByName, found)
+    if pad:
+        scores = _padded(stored(scores), index.ids, queries, top_k)
+    return ranked(scores.withColumnRenamed("id", id_col), top_k, id_col).select("query_id", id_col, "score", "rank")
+
+
+def _padded(scores: DataFrame, ids: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The scores with zero rows for the first ids that a query has no score for, where they can be among its k best."""
+    have = queries.select("query_id").distinct().join(scores.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0).alias("at_least_zero")), "query_id", "left").na.fill(0)
+    short = have.where(F.col("at_least_zero") < k)
+    most = short.agg(F.max("n")).first()[0]
+    if most is None:
+        return scores
+    first = ids.orderBy("id").limit(k + most)  # k of them at least are without a score
+    zero = short.select("query_id").crossJoin(F.broadcast(first)).join(scores, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return scores.unionByName(zero)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, id_col: str = "chunk_id", block: int = SENDABLE_QUERIES) -> DataFrame:
     """Exact cosine top-k: (query_id, id, score, rank).
 
-    The queries of a block (``query_id``, ``embedding``) are a matrix sent to the tasks; each Arrow batch of
-    vectors is one product and keeps its k best rows a query, so k rows a query and batch are shuffled.
+    The queries of a block (``query_id``, ``embedding``) are a matrix sent to the tasks. A task multiplies its vectors with it batch by batch and
+    carries each query's k best along, so that it hands on k rows a query, however many batches it reads.
     A zero vector scores 0. Rows without a vector, or with one that holds a null or NaN, are no candidates and ask nothing.
     """
     whole = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
@@ -159,19 +161,45 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, id_col
         matrix = spark.sparkContext.broadcast(_unit(np.array([r[1] for r in rows], np.float64)) if rows else None)
 
         def best(batches, ids=ids, matrix=matrix):
+            top = BestOf(len(ids), top_k)
             for pdf in batches:
-                if not len(pdf) or not ids:
-                    continue
-                pdf = pdf.sort_values(id_col, ignore_index=True)
-                s = matrix.value @ _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)).T
-                k = min(top_k, s.shape[1])
-                order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), k), id_col: pdf[id_col].to_numpy()[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
+                if len(pdf) and ids:
+                    top.add(matrix.value @ _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)).T, pdf[id_col].to_numpy())
+            query, place, score = top.rows()
+            if len(query):
+                yield pd.DataFrame({"query_id": np.array(ids, dtype=object)[query], id_col: place, "score": score})
 
         found.append(vectors.select(id_col, "embedding").mapInPandas(best, kinds))
     return ranked(reduce(DataFrame.unionByName, found), top_k, id_col)
 
 
+class BestOf:
+    """The k best of each of n queries over any number of score blocks, by rounded score, then id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.empty((n, 0)), np.empty((n, 0), object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of each query (row) for each id (column)."""
+        order = np.argsort(ids, kind="stable")
+        scores, ids = scores[:, order], ids[order]
+        if scores.shape[1] > self.k:
+            own = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, : self.k]
+            scores, ids = np.take_along_axis(scores, own, 1), ids[own]
+        else:
+            ids = np.broadcast_to(ids, scores.shape)
+        both, names = np.concatenate([self.scores, scores], 1), np.concatenate([self.ids, ids.astype(object)], 1)
+        for q in range(len(both)) if self.ids.shape[1] else ():  # ids decide between equal scores of two blocks
+            by_id = np.argsort(names[q], kind="stable")
+            both[q], names[q] = both[q][by_id], names[q][by_id]
+        best = np.argsort(-np.round(both, 9), axis=1, kind="stable")[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, k = self.scores.shape
+        return np.repeat(np.arange(n), k), self.ids.ravel(), self.scores.ravel()
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length == 0, 1, length)

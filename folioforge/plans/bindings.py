@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, tokenize
+from ..functions.text import norm
 from ..operators import layout
 from ..operators.chunks import build_chunks
+from ..operators.patterns import texts_with
 from ..operators.retrieval import Bm25Index, bm25_index, open_index, sparse_search
+from ..operators.vectors import embed_texts
 from ..sources.tables import shared_dir
 
 WORDS_SQL = r"'[\p{L}\p{N}_]+'"
@@ -83,34 +85,35 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.concat_ws(".", lang_no(), F.regexp_extract("source", r"\d+", 0), F.col("doc_id").cast("string")).alias("section_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("section_title"), F.lit(1).alias("page_start"), (F.floor(F.col("n_chars") / 2000) + 1).cast("int").alias("page_end"), F.col("text").alias("display_text"), F.col("text").alias("embed_text"))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Bm25Index:
-    """The documents' BM25 index: built once in a session, then read from shared storage."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+def _once(spark: SparkSession, sf_dir: str, what: str, make) -> str:
+    """The path of something built once in a session and read from shared storage from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _STORED:
         path = shared_dir(spark)
-        bm25_index(corpus(spark, sf_dir), path=path)
-        _INDEXES[key] = path
-    return open_index(spark, _INDEXES[key])
+        make(path)
+        _STORED[key] = path
+    return _STORED[key]
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions; their truth is the sections of the documents that contain them word for word.
+def index(spark: SparkSession, sf_dir: str) -> Bm25Index:
+    """The documents' BM25 index."""
+    return open_index(spark, _once(spark, sf_dir, "index", lambda path: bm25_index(corpus(spark, sf_dir), path=path)))
+
 
-    A document that contains an item has the item's inner words among its own (the outer ones may be parts of longer words). So each item
-    looks up its rarest inner word in the index, and only the documents found are searched; items without inner words search all.
-    """
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' vectors by the bundled embedder: chunk_id, embedding."""
+    made = embed_texts(corpus(spark, sf_dir).select("chunk_id", "embed_text")).select("chunk_id", "embedding")
+    return spark.read.parquet(_once(spark, sf_dir, "vectors", lambda path: made.write.parquet(path)))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions; their truth is the sections of the documents that contain them word for word."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    ix = index(spark, sf_dir)
-    words = tokenize(F.col("question"))
-    inner = items.select("query_id", F.explode(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))).alias("term"))
-    known = inner.join(ix.terms.select("term", "df"), "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"))
-    docs = corpus(spark, sf_dir).select(F.col("chunk_id").alias("id"), "section_id", "embed_text")
-    seeded = known.where("rarest.df > 0").select("query_id", F.col("rarest.term").alias("term")).join(ix.words.select("id", F.explode(F.array_distinct("w")).alias("term")), "term").join(items, "query_id").join(docs, "id")
-    short = items.join(known, "query_id", "left_anti").where("question is not null").crossJoin(docs)
-    found = seeded.select("query_id", "question", "section_id", "embed_text").unionByName(short.select("query_id", "question", "section_id", "embed_text")).where(F.contains("embed_text", F.col("question")))
+    docs = corpus(spark, sf_dir).select("section_id", "embed_text")
+    found = texts_with(docs, items, "embed_text", "query_id", "question")
     truth = found.groupBy("query_id").agg(F.sort_array(F.collect_set("section_id")).alias("sections"))
     out = items.join(truth, "query_id", "left").withColumn("answerable", F.col("sections").isNotNull())
     kind = F.when(~F.col("answerable"), "not in document").when(F.length("question") % 2 == 0, "simple fact").otherwise("multi-section")

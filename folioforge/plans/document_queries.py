@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_cell, heading_id, heading_title, norm, table_markdown
 from ..operators import answers, chunks, layout
 from ..operators.vectors import hashing_embedder
 from ..sources import tables
+from ..sources.store import KeyedStore
 from ..streaming import jobs
 from . import bindings as b
 from .registry import query
@@ -27,6 +29,19 @@ def s1(spark, sf_dir):
     return tables.read_table(spark, path, c.schema, "json").select("conv_id", "turn", "role", F.length("text").alias("n"))
 
 
+@query("s1_bad_records", "SELECT conv_id % 10 = 0 AS cut_short, count(*) AS n, CAST(sum(CASE WHEN conv_id % 10 = 0 THEN 0 ELSE length(text) END) AS BIGINT) AS n_chars FROM conversations WHERE conv_id % 10 <> 3 GROUP BY ALL")
+def s1_bad(spark, sf_dir):
+    """Conversations written as lines, those of every tenth conversation cut short and another tenth with a word for a number: read apart."""
+    path = tables.shared_dir(spark)
+    c = b.table(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(*c.columns))
+    broken = F.when(F.col("conv_id") % 10 == 0, F.concat(F.lit('{"cut": 1, '), F.substring(line, 2, 12))).when(F.col("conv_id") % 10 == 3, F.regexp_replace(line, '"turn":', '"turn":"none", "x":')).otherwise(line)
+    c.select(broken.alias("value")).write.text(path)
+    sound = tables.read_sound(spark, path, c.schema).select(F.lit(False).alias("cut_short"), F.length("text").alias("n"))
+    bad = tables.bad_records(spark, path, c.schema).where(F.startswith("record", F.lit('{"cut"'))).select(F.lit(True).alias("cut_short"), F.lit(0).alias("n"))
+    return sound.unionByName(bad).groupBy("cut_short").agg(F.count("*").alias("rows"), F.sum("n").alias("n_chars")).withColumnRenamed("rows", "n")
+
+
 @query("s2_answer_key", f"WITH {b.QUESTIONS_SQL} SELECT CAST(query_id AS VARCHAR) AS query_id, type, question, answerable FROM questions")
 def s2(spark, sf_dir):
     """The questions written as nested answer keys, one for each question's hash bucket, and read back: two lists become one table.
@@ -58,11 +73,14 @@ def s4(spark, sf_dir):
 
 @query("s5_upsert", "SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS BIGINT) AS label, CAST(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM embeddings")
 def s5(spark, sf_dir):
-    """Half of the points are stored; the rest is resumed, and every third is upserted in a second version."""
+    """A store is created anew with half of the points, the rest is resumed from all of them, and every third is upserted in a second version."""
     e = b.table(spark, sf_dir, "embeddings").select("vec_id", "label").withColumn("version", F.lit(1))
-    stored = e.where("vec_id % 2 = 0")
-    stored = stored.unionByName(tables.missing_points(e, stored, ["vec_id"]))
-    return tables.upsert(stored, e.where("vec_id % 3 = 0").withColumns({"label": F.col("label") + 100, "version": F.lit(2)}), ["vec_id"], "version")
+    points = KeyedStore(spark, tables.shared_dir(spark), e.schema, ["vec_id"])
+    points.recreate(e.where("vec_id % 5 = 0").withColumn("version", F.lit(0)))
+    points.recreate(e.where("vec_id % 2 = 0"))
+    points.resume(e)
+    points.upsert(e.where("vec_id % 3 = 0").withColumns({"label": F.col("label") + 100, "version": F.lit(2)}))
+    return points.read()
 
 
 @query("s6_payload_filter", f"WITH {b.CHUNKS_SQL} SELECT doc_id, chunk_id, n_chars FROM chunks WHERE type = 'list_item' AND section_id LIKE '%.1'")
@@ -414,26 +432,26 @@ near AS (SELECT a.id AS query_id, v.id AS chunk_id, CASE WHEN list_sum(list_tran
 dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM near QUALIFY rank <= 20),
 {FUSE_SQL}, cand AS (SELECT * FROM ranked WHERE rrf_rank <= 15), {rerank_sql(USERS_SQL)} SELECT query_id, chunk_id, final_rank, round(rerank_score, 6) AS score FROM final""")
 def st1(spark, sf_dir):
-    """User turns arrive as files and are retrieved for, micro-batch by micro-batch, against the documents."""
+    """User turns arrive as files and are retrieved for, micro-batch by micro-batch, against the documents; a second stream of half of them finds all answered."""
     base = tables.shared_dir(spark)
     q = b.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
-    tables.write_table(q, f"{base}/in")
-    docs = b.corpus(spark, sf_dir)
-    from ..operators.vectors import embed_texts
-
-    tables.write_table(embed_texts(docs.select("chunk_id", "embed_text")).select("chunk_id", "embedding"), f"{base}/vectors")
-    stream = spark.readStream.schema(q.schema).parquet(f"{base}/in")
-    jobs.answer_stream(stream, b.index(spark, sf_dir), docs, spark.read.parquet(f"{base}/vectors"), hashing_embedder(), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("query_id", "chunk_id", "final_rank", F.round("score", 6).alias("score"))
+    for name, rows in (("in", q), ("again", q.where("query_id % 2 = 0"))):
+        tables.write_table(rows, f"{base}/{name}")
+        stream = spark.readStream.schema(q.schema).parquet(f"{base}/{name}")
+        jobs.answer_stream(stream, b.index(spark, sf_dir), b.corpus(spark, sf_dir), b.vectors(spark, sf_dir), hashing_embedder(), f"{base}/out", f"{base}/checkpoint-{name}").awaitTermination()
+    kind = T.LongType()
+    out = jobs.answers_store(spark, f"{base}/out", kind, kind).read().select("query_id", F.explode("chunks").alias("c"))
+    return out.select("query_id", "c.chunk_id", "c.final_rank", F.round("c.score", 6).alias("score"))
 
 
 @query("st2_index_stream", f"WITH {b.CHUNKS_SQL} SELECT doc_id, chunk_id, CAST(64 AS BIGINT) AS dim FROM chunks")
 def st2(spark, sf_dir):
-    """Chunks arrive as files and are embedded and stored once; a second run over the same files stores nothing more."""
+    """Chunks of even documents arrive in one stream, then those of odd ones, and every third again, in another; each is embedded and stored once."""
     base = tables.shared_dir(spark)
     c = b.chunks(spark, sf_dir).select("doc_id", "chunk_id", "embed_text")
-    tables.write_table(c, f"{base}/in")
-    for run in ("one", "two"):
-        stream = spark.readStream.schema(c.schema).parquet(f"{base}/in")
-        jobs.index_stream(stream, hashing_embedder(), f"{base}/store", f"{base}/{run}", ("doc_id", "chunk_id")).awaitTermination()
-    return spark.read.parquet(f"{base}/store").select("doc_id", "chunk_id", F.size("embedding").alias("dim"))
+    tables.write_table(c.where("doc_id % 2 = 0"), f"{base}/one")
+    tables.write_table(c.where("doc_id % 2 = 1 or doc_id % 3 = 0"), f"{base}/two")
+    for source in ("one", "two"):
+        stream = spark.readStream.schema(c.schema).parquet(f"{base}/{source}")
+        jobs.index_stream(stream, hashing_embedder(), f"{base}/store", f"{base}/checkpoint-{source}", ("doc_id", "chunk_id")).awaitTermination()
+    return jobs.index_store(spark, f"{base}/store", c.schema, ("doc_id", "chunk_id")).read().select("doc_id", "chunk_id", F.size("embedding").alias("dim"))

@@ -78,11 +78,24 @@ def r1(spark, sf_dir):
     return d.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
 
 
-@query("r2_bm25_statistics", f"WITH {b.BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
+DF_SQL = f"""
+sets AS (SELECT list_distinct(regexp_extract_all(lower(coalesce(text, '')), {WORDS})) AS ws FROM documents),
+dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(ws) AS term FROM sets) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS r FROM dfs)"""
+
+
+@query("r2_bm25_statistics", f"WITH {DF_SQL} SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS idf FROM raw")
 def r2(spark, sf_dir):
     return b.index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query("r2_postings", f"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), {WORDS}) AS ws FROM documents)
+SELECT id, term, CAST(count(*) AS BIGINT) AS tf, CAST(any_value(dl) AS BIGINT) AS dl FROM (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM w) GROUP BY id, term""")
+def r2_postings(spark, sf_dir):
+    """The postings of all documents, as the searches read them."""
+    return b.index(spark, sf_dir).postings.select("id", "term", "tf", "dl")
+
+
 @query("r3_sparse_search", f"WITH {b.BM25_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def r3(spark, sf_dir):
     return retrieval.sparse_search(b.index(spark, sf_dir), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
@@ -112,11 +125,18 @@ def r6(spark, sf_dir):
     return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
-@query("r7_retrieve", f"WITH {FUSED_SQL}, cand AS (SELECT * FROM ranked WHERE rrf_rank <= 15 AND query_id IN (SELECT query_id FROM dense)), {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS score, rrf_rank, final_rank FROM final")
+ITEM_VECTORS_SQL = b.embedding_sql("vec", "(SELECT doc_id AS id, text FROM documents)") + "," + b.embedding_sql("ask", "(SELECT item_id AS id, text FROM benchmark)")
+NEAR_SQL = """
+near AS (SELECT a.id AS query_id, v.id AS chunk_id, CASE WHEN list_sum(list_transform(v.e, lambda x: abs(x))) * list_sum(list_transform(a.e, lambda x: abs(x))) > 0 THEN list_cosine_similarity(a.e, v.e) ELSE 0 END AS score FROM ask a CROSS JOIN vec v),
+dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM near QUALIFY rank <= 20)"""
+
+
+@query("r7_retrieve", f"WITH {ITEM_VECTORS_SQL},{NEAR_SQL},{b.BM25_SQL},{FUSE_SQL}, cand AS (SELECT * FROM ranked WHERE rrf_rank <= 15), {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS score, rrf_rank, final_rank FROM final")
 def r7(spark, sf_dir):
-    """The whole hybrid search: both lists, fusion, 15 reranked, 5 kept. Every item that has a vector query of its number asks."""
-    q = _items(spark, sf_dir).join(_vector_queries(spark, sf_dir), "query_id")
-    out = retrieval.retrieve(b.index(spark, sf_dir), b.corpus(spark, sf_dir), _vectors(spark, sf_dir), q)
+    """The whole hybrid search for every item: both lists, fusion, 15 reranked, 5 kept. Items and documents are embedded by the bundled embedder."""
+    asked = vectors.embed_texts(_items(spark, sf_dir), "question")
+    docs = b.corpus(spark, sf_dir)
+    out = retrieval.retrieve(b.index(spark, sf_dir), docs, b.vectors(spark, sf_dir), asked)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rrf_rank", "final_rank")
 
 

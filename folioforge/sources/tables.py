@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,12 +44,26 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, kind: str = "parquet") -> DataFrame:
-    """A stage's table. JSON Lines are read with the given schema; blank lines are no rows."""
+    """A stage's table. JSON Lines are read with the given schema; blank lines are no rows, a malformed line or a field of another type fails the read (see ``bad_records``)."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    out = reader.format(kind).load(path)
-    if kind == "json" and schema is not None:
-        return out.na.drop("all")
-    return out
+    return (reader.option("mode", "FAILFAST") if kind == "json" else reader).format(kind).load(path)
+
+
+def read_sound(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of JSON Lines that follow the schema; the others are what ``bad_records`` gives."""
+    return _parsed(spark, path, schema).where("_corrupt_record is null").drop("_corrupt_record", "_file")
+
+
+def bad_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, record): the lines that are not records of the schema, to be set aside and looked at."""
+    return _parsed(spark, path, schema).where("_corrupt_record is not null").select(F.col("_file").alias("file"), F.col("_corrupt_record").alias("record"))
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+    told = F.from_json("value", T.StructType([*kinds.fields, T.StructField("_corrupt_record", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(told.alias("r"), "_file").select("r.*", "_file")
 
 
 def read_answer_key(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -72,17 +86,6 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def missing_points(chunks: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Resume: the chunks not stored yet."""
-    return chunks.join(stored.select(*keys).distinct(), keys, "left_anti")
-
-
-def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Stored and fresh rows, the newest version of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return stored.unionByName(fresh, allowMissingColumns=True).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def by_payload(points: DataFrame, section_id: str | None = None, kind: str | None = None) -> DataFrame:
     """Points filtered by their payload; stored ``partitionBy("type")``, the kind prunes partitions."""
     if kind is not None:

@@ -1,56 +1,77 @@
-"""Streaming jobs: questions answered against a static corpus, and indexing of new chunks."""
+"""Streaming jobs: questions answered against a static corpus, and indexing of new chunks. Both add to a keyed store.
+
+A stream is known by an id that lies in its checkpoint, so a replayed batch changes nothing, while a new checkpoint or another source
+is a stream of its own and takes nothing away from what others stored.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.retrieval import Bm25Index, retrieve
 from ..operators.vectors import embed_texts
-from ..sources.tables import missing_points
+from ..sources.store import KeyedStore
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id kept in a checkpoint's folder; a new one where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/stream_id")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        out = files.create(at, False)
+        out.write(bytearray(uuid.uuid4().hex.encode()))
+        out.close()
+    return spark.read.text(at.toString()).first()[0]
+
+
+def answers_store(spark: SparkSession, path: str, query_type: T.DataType, chunk_type: T.DataType) -> KeyedStore:
+    """Answers by question: query_id and its chunks (chunk_id, final_rank, score), best first."""
+    chunk = T.StructType([T.StructField("final_rank", T.IntegerType()), T.StructField("chunk_id", chunk_type), T.StructField("score", T.DoubleType())])
+    return KeyedStore(spark, path, T.StructType([T.StructField("query_id", query_type), T.StructField("chunks", T.ArrayType(chunk))]), ["query_id"])
 
 
-def answer_stream(questions: DataFrame, index: Bm25Index, corpus: DataFrame, vectors: DataFrame, embed: Callable, sink: str, checkpoint: str, **options) -> StreamingQuery:
-    """Each micro-batch of questions (query_id, question) is embedded and retrieved for; results are appended with their batch.
+def answer_stream(questions: DataFrame, index: Bm25Index, corpus: DataFrame, vectors: DataFrame, embed: Callable, store: str, checkpoint: str, **options) -> StreamingQuery:
+    """Questions (query_id, question) that have no answer in the store yet are embedded and retrieved for, micro-batch by micro-batch.
 
-    The corpus's stored BM25 index serves all batches. A batch writes its own ``batch=`` folder, overwriting what an earlier try
-    of it left: a replay changes nothing.
+    A question that comes again, in whatever batch or stream, is answered once; of two of one id in a batch the least by its text is asked.
+    A batch reads the postings of its terms, all vectors (the search is exact) and of the corpus's texts those that are reranked.
     """
+    spark = questions.sparkSession
+    answers = answers_store(spark, store, questions.schema["query_id"].dataType, corpus.schema[options.get("id_col", "chunk_id")].dataType)
+    stream = stream_id(spark, checkpoint)
+
+    def answered(asked: DataFrame) -> DataFrame:
+        found = retrieve(index, corpus, vectors, embed_texts(asked, "question", embed), **options)
+        best = F.struct(F.col("final_rank").cast("int").alias("final_rank"), F.col(options.get("id_col", "chunk_id")).alias("chunk_id"), "score")
+        return found.groupBy("query_id").agg(F.array_sort(F.collect_list(best)).alias("chunks"))  # top_k entries
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        asked = embed_texts(batch.select("query_id", "question"), "question", embed)
-        found = retrieve(index, corpus, vectors, asked, **options)
-        found.select("query_id", "chunk_id", "final_rank", "score").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        answers.resume(batch.select("query_id", "question"), answered, stream, batch_id, F.col("question"))
 
     return questions.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-BUCKETS = 64
+def index_store(spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...] = ("chunk_id",)) -> KeyedStore:
+    """Chunks with their vectors."""
+    return KeyedStore(spark, path, T.StructType([*(f for f in schema.fields if f.name != "embedding"), T.StructField("embedding", T.ArrayType(T.FloatType()))]), list(keys))
 
 
 def index_stream(chunks: DataFrame, embed: Callable, store: str, checkpoint: str, keys: tuple[str, ...] = ("chunk_id",), order: str | None = None) -> StreamingQuery:
     """New chunks are embedded and stored, those stored before (by key) left alone, whatever is replayed.
 
-    The store is partitioned by a hash of the key, and a batch meets only the partitions that its keys fall in. Of rows of one key in
-    a batch the least by ``order`` (by all columns, if None) is kept.
+    Of rows of one key in a batch the least by ``order`` (by a hash of all columns, if None) is kept.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    spark = chunks.sparkSession
+    kept = index_store(spark, store, chunks.schema, keys)
+    stream = stream_id(spark, checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        w = Window.partitionBy(*keys).orderBy(*([order] if order else [F.xxhash64(*batch.columns), *[c for c, kind in batch.dtypes if not kind.startswith("map")]]))
-        fresh = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("bucket", bucket)
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        stored = spark.read.schema(schema).parquet(store).where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id))
-        fresh = missing_points(fresh, stored, list(keys))
-        embed_texts(fresh.withColumn("batch", F.lit(batch_id)), embed=embed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(store)
-
-    # an empty store of the right shape, so that every batch can read it
-    spark = chunks.sparkSession
-    spark.createDataFrame([], schema).write.mode("append").parquet(store)
+        kept.resume(batch, lambda fresh: embed_texts(fresh, embed=embed), stream, batch_id, F.col(order) if order else None)
+
     return chunks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
