@@ -17,7 +17,10 @@ text, whatever other pages hold. A long page is trained on in windows of blocks.
 The text of a page: its main blocks in page order, white space runs made single spaces and trimmed,
 joined by an empty line. Nothing else is cut, and pages of any length are read whole.
 
-Edge cases: null or empty html has the empty text; broken markup is read as far as it goes (unclosed
+A page is read in time of its length, however deep or unclosed its elements are; of more than 100 levels of elements the path keeps
+those that tell something first, which never touches the text. The sample is read in the tasks; only its windows of blocks come to the driver.
+
+Edge cases: null or empty html has the empty text; elements with ``hidden`` or ``display: none`` are not read; broken markup is read as far as it goes (unclosed
 comments and tags end with the page, unclosed quotes with their tag); repeated pages get equal texts; an empty table gives an empty
 table. Columns named ``text`` or ``n_chars`` are replaced; all others come through.
 """
@@ -25,12 +28,14 @@ table. Columns named ``text`` or ``n_chars`` are replaced; all others come throu
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,50 +74,112 @@ PATH_BITS, WORD_BITS, EXTRA = 3 * PART_BITS, 64, 4
 FEATURES = PATH_BITS + WORD_BITS + EXTRA
 
 
+#: Elements of a path that are kept; of deeper ones, the outermost that say nothing of their place are left out.
+DEPTH = 100
+UNSEEN = "~unseen"  # path part of an element that its own attributes hide
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+
+
+@lru_cache(maxsize=100_000)
+def telling(parts: tuple[str, ...]) -> bool:
+    """Whether an element's path parts say that what it holds is main text, furniture or not shown."""
+    return any(p in MAIN or p in HIDDEN or p in ("head", UNSEEN) or furniture(p, True) for p in parts)
+
+
+def below(path: tuple[tuple[str, ...], ...], parts: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
+    """The path of an element with ``parts`` under ``path``, in at most ``DEPTH`` elements."""
+    if len(path) < DEPTH:
+        return (*path, parts)
+    drop = next((k for k, p in enumerate(path) if not telling(p)), 0)
+    deeper = (*path[:drop], *path[drop + 1 :], parts)
+    return path if deeper == path else deeper
+
+
+def path_parts(tag: str, attributes: str) -> tuple[str, ...]:
+    parts = [tag]
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), a or b or c
+        if mark := MARKS.get(key):
+            parts += [mark + v for v in value.lower().split()]
+        elif (key == "hidden" and value.lower() != "until-found") or (key == "style" and NOT_SHOWN.search(value)):
+            parts.append(UNSEEN)
+    return tuple(parts)
+
+
+class OpenElements:
+    """The open elements of a page, with the places of each name, so that no look-up walks over them."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[tuple[tuple[str, ...], ...]] = [()]
+        self.places: dict[str, list[int]] = {}
+        self.unseen: list[int] = []
+
+    def last(self, name: str) -> int:
+        return at[-1] if (at := self.places.get(name)) else -1
+
+    def open(self, name: str, parts: tuple[str, ...]) -> None:
+        at = len(self.names)
+        self.places.setdefault(name, []).append(at)
+        self.names.append(name)
+        self.paths.append(self.paths[-1] if name in INLINE else below(self.paths[-1], parts))
+        if name in HIDDEN or UNSEEN in parts:
+            self.unseen.append(at)
+
+    def close(self, name: str, stop: frozenset = frozenset()) -> bool:
+        """Closes the innermost ``name`` and all inside it, unless a ``stop`` element lies between."""
+        at = self.last(name)
+        if at < 0 or any(self.last(s) > at for s in stop):
+            return False
+        while len(self.names) > at:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+        while self.unseen and self.unseen[-1] >= at:
+            self.unseen.pop()
+        return True
+
+
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
-    """(path parts, text) of the leaf blocks in page order."""
+    """(path parts, text) of the leaf blocks in page order, in time of the page's length; equal paths are one object."""
     out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = OpenElements()
+    flat: dict[tuple, tuple[str, ...]] = {}
+    before: tuple = (None, False, ())  # the last block's path, flattened
     text: list[str] = []
     linked = 0
     html = html or ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, before
         if text:
             joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if joined:
-                path = tuple(p for n, parts in stack if n not in INLINE for p in parts)
-                out.append((path + (LINKS,) if 2 * linked >= len(joined) else path, joined))
+                path, links = opened.paths[-1], 2 * linked >= len(joined)
+                if path is not before[0] or links != before[1]:
+                    if (path, links) not in flat:
+                        flat[path, links] = tuple(p for parts in path for p in parts) + ((LINKS,) if links else ())
+                    before = (path, links, flat[path, links])
+                out.append((before[2], joined))
             text.clear()
         linked = 0
 
-    def close(name: str, stop: frozenset) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return True
-            if stack[k][0] in stop:
-                return False
-        return False
-
     at = 0
     while m := TOKEN.match(html, at):
         at = m.end()
         token = m.group()
         name = (m.group(2) or "").lower()
         if not name:
-            if token.startswith(("<!", "<?")):
+            if token.startswith(("<!", "<?")) or opened.unseen:
                 continue
             text.append(token)
-            if any(n == "a" for n, _ in stack):
+            if opened.last("a") >= 0:
                 linked += len(token.strip())
         elif m.group(1):
             if name not in INLINE:
                 flush()
-                close(name, frozenset())
+                opened.close(name)
             elif name != "img":
-                close(name, CLOSES_P | {"li", "td", "th"})
+                opened.close(name, CLOSES_P | {"li", "td", "th"})
         else:
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
@@ -126,23 +193,19 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
             if name not in INLINE:
                 flush()
                 if name in CLOSES_P:
-                    close("p", frozenset({"button", "table", "td", "th"}))
+                    opened.close("p", frozenset({"button", "table", "td", "th"}))
                 elif name == "li":
-                    close("li", frozenset({"ul", "ol", "menu"}))
+                    opened.close("li", frozenset({"ul", "ol", "menu"}))
                 elif name in ("dt", "dd"):
-                    close("dt", frozenset({"dl"})) or close("dd", frozenset({"dl"}))
+                    opened.close("dt", frozenset({"dl"})) or opened.close("dd", frozenset({"dl"}))
                 elif name in ("td", "th"):
-                    close("td", frozenset({"table"})) or close("th", frozenset({"table"}))
+                    opened.close("td", frozenset({"table"})) or opened.close("th", frozenset({"table"}))
                 elif name == "tr":
-                    close("tr", frozenset({"table"}))
+                    opened.close("tr", frozenset({"table"}))
             if name not in VOID and not m.group(3).rstrip().endswith("/"):
-                parts = [name]
-                for key, a, b, c in ATTRIBUTE.findall(m.group(3)):
-                    if mark := MARKS.get(key.lower()):
-                        parts += [mark + v for v in (a or b or c).lower().split()]
-                stack.append((name, tuple(parts)))
+                opened.open(name, path_parts(name, m.group(3)))
     flush()
-    return [(p, t) for p, t in out if not HIDDEN.intersection(p)]
+    return out
 
 
 @lru_cache(maxsize=100_000)
@@ -195,9 +258,12 @@ class Hasher:
 
     def vectors(self, page: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
         x = np.zeros((len(page), FEATURES), np.float32)
+        paths: dict[int, list[int]] = {}  # by object: a page's equal paths are one
         for i, (path, text) in enumerate(page):
-            for p in path:
-                x[i, self.part(p)] = 1
+            at = paths.get(id(path))
+            if at is None:
+                at = paths[id(path)] = sorted({self.part(p) for p in path})
+            x[i, at] = 1
             words = text.lower().split()
             for w in words:
                 x[i, PATH_BITS + self.bucket(w, WORD_BITS)] += 1
@@ -349,29 +415,27 @@ def train(pages: DataFrame, html_col: str = "html", train_pages: int = 400, seed
     """A labeller from about ``train_pages`` pages of the table, long ones in windows of ``long_page`` blocks; None if the table holds no block."""
     rows = pages.where(F.col(html_col) != "").select(F.col(html_col).alias("html"), F.xxhash64(html_col, F.lit(seed)).alias("at"))
     n = rows.count()
-    rng = np.random.default_rng(seed)
     most = max(1, train_pages // max(1, n))  # windows a page, so that the windows are bounded as the pages are
-    read: list[list] = []
-
-    def learn(sample: DataFrame) -> None:
-        for (h,) in sample.orderBy("at").select("html").limit(2 * train_pages).toLocalIterator():
-            if page := blocks(h):
-                read.append(page)
-
-    learn(rows.where(F.pmod("at", F.lit(1_000_000)) < int(1_000_000 * train_pages / max(train_pages, n))) if n > train_pages else rows)
-    if not read and n > train_pages:  # a sample of empty pages: whichever pages hold a block
-        holds = F.udf(lambda h: bool(blocks(h)), T.BooleanType())
-        learn(rows.where(holds("html")))
-    held = Counter(t for page in read for t in {t for _, t in page})
-    often = max(3, len(read) // 20)
-    labels: list[np.ndarray] = []
-    cut: list[list] = []
-    for page in read:
-        marked = any(MAIN.intersection(p) for p, _ in page)
-        for b in windows(page, long_page, most, rng):
-            cut.append(b)
-            labels.append(np.array([teacher(p, marked, held[t] >= often) for p, t in b], np.float32))
-    read = cut
+    def cut(batches):
+        """(at, windows and whether the page has main-text markup) of the pages that hold a block."""
+        for pdf in batches:
+            for at, h in zip(pdf["at"], pdf["html"], strict=True):
+                if page := blocks(h):
+                    marked = any(MAIN.intersection(p) for p in {p for p, _ in page})
+                    few = windows(page, long_page, most, np.random.default_rng((seed, at % (1 << 32))))
+                    yield pd.DataFrame({"at": [at], "windows": [pickle.dumps((marked, few))]})
+
+    def learn(sample: DataFrame) -> list:
+        few = sample.select("at", "html").mapInPandas(cut, "at long, windows binary").orderBy("at").limit(2 * train_pages)
+        return [pickle.loads(r.windows) for r in few.collect()]
+
+    pages_read = learn(rows.where(F.pmod("at", F.lit(1_000_000)) < int(1_000_000 * train_pages / max(train_pages, n))) if n > train_pages else rows)
+    if not pages_read and n > train_pages:  # a sample of empty pages: whichever pages hold a block
+        pages_read = learn(rows)
+    held = Counter(t for _, few in pages_read for t in {t for w in few for _, t in w})
+    often = max(3, len(pages_read) // 20)
+    read = [w for _, few in pages_read for w in few]
+    labels = [np.array([teacher(p, marked, held[t] >= often) for p, t in w], np.float32) for marked, few in pages_read for w in few]
     if not read:
         return None
     hasher = Hasher()

@@ -19,7 +19,9 @@ What no tree can split is dealt in pairs of hash blocks of ``block_rows`` rows,
 forest (each code with its local root), never all pairs.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other; a text of
-fewer words than a shingle is one shingle; repeated ids keep one row each; an empty table gives an empty table.
+fewer words than a shingle is one shingle; repeated ids keep one row each; an empty table gives an empty table. Ids may be of any
+ordered type. A row without id links like any other and so joins its neighbours; it gets their component, and null if no row there
+has an id. Texts are read whole, 16,320 shingles at a time. Other columns are left out, so none clashes.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ from .common import map_texts, stored
 from .components import components
 
 
+#: Shingles hashed at a time, so that a very long text's bits are never held at once.
+SHINGLES = 255 * 64
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z only, and splits at the six space characters only
     if not words:
@@ -44,14 +50,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
+    starts = np.concatenate(([0], ends[: n - 1]))
+    stops = ends[min(width, len(words)) - 1 :] - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], 42) for s, e in zip(starts, stops, strict=True)], dtype="<u8")
-    bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 255):  # sums of up to 255 bits fit a byte, which keeps them vectorised
-        ones += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    for at in range(0, n, SHINGLES):
+        spans = zip(starts[at : at + SHINGLES].tolist(), stops[at : at + SHINGLES].tolist(), strict=True)
+        h = np.array([digest(joined[s:e], 42) for s, e in spans], dtype="<u8")
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+        for k in range(0, len(h), 255):  # sums of up to 255 bits fit a byte, which keeps them vectorised
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -247,9 +255,12 @@ def links(codes: DataFrame, radius: int = 4, parts: int = 3, sample_codes: int =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, **search) -> DataFrame:
     """(id, ``code``, ``component_id``): the smallest id reachable over links of at most ``radius`` bits."""
     prints = stored(fingerprints(docs, text_col, width, keep=[id_col]).withColumnRenamed(id_col, "id"))
-    codes = stored(prints.groupBy("code").agg(F.min("id").alias("rep")).where("rep is not null"))
-    found = components(links(codes, radius, **search))
-    named = codes.join(found, codes.rep == found.node, "left").select("code", F.coalesce("component", "rep").alias("component_id"))
+    named = stored(prints.groupBy("code").agg(F.min("id").alias("least")))
+    # codes are the nodes, whatever their ids are, so that texts without id link others too
+    found = stored(components(links(named.select("code", F.col("code").alias("rep")), radius, **search)))
+    least = named.join(found, named.code == found.node).groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = found.join(least, "component").select(F.col("node").alias("code"), F.lit(True).alias("linked"), "component_id")
+    named = named.join(linked, "code", "left").select("code", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, "code", "left").select(F.col("id").alias(id_col), "code", "component_id")
 
 

@@ -179,6 +179,40 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def chain_texts():
+    """Three texts of which the first two and the last two link, but not the first and the last."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    code = plain_fingerprint
+    differ = lambda a, b: bin(code(" ".join(a)) ^ code(" ".join(b))).count("1")
+    while True:
+        first, middle, last = list(words), list(words), list(words)
+        for t, n in ((first, 14), (last, 14)):
+            for _ in range(n):
+                t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+        if differ(first, middle) <= 4 and differ(middle, last) <= 4 and differ(first, last) > 4:
+            return [" ".join(t) for t in (first, middle, last)]
+
+
+def test_simhash_links_through_rows_without_id(spark):
+    a, b, c = chain_texts()
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, [(3, a), (None, b), (1, c)])).collect()}
+    assert got == {3: 1, None: 1, 1: 1}
+    alone = simhash.near_duplicates(docs(spark, [(None, a), (None, b), (7, "something else altogether here")])).collect()
+    assert sorted((r.component_id or 0) for r in alone) == [0, 0, 7]
+
+
+def test_simhash_string_ids_and_clashing_columns(spark):
+    a, b, c = chain_texts()
+    rows = spark.createDataFrame([("y", a, 1, 2, "n"), ("z", b, 1, 2, "n"), ("x10", c, 1, 2, "n"), ("q", "else", 1, 2, "n")], "doc_id string, text string, code int, component int, node string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()} == {"y": "x10", "z": "x10", "x10": "x10", "q": "q"}
+
+
+def test_fingerprint_of_a_very_long_text():
+    text = " ".join(f"w{i * 7919 % 1013}" for i in range(40_000))
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(70, 71), (71, 70), (5, 5)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

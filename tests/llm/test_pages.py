@@ -233,3 +233,29 @@ def test_empty_archive_and_damage(spark, tmp_path):
     assert warc.archive(pages(spark, []), f"{tmp_path}/e").count() == 0
     with pytest.raises(ValueError):
         list(warc.parse(iter([b"WARC/1.1\r\nContent-Length: 30", b"abc"])))
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 170_000, "<font>" + "<font><p>y</p>" * 70_000, "<b><div>" + "<font></b>x" * 80_000, "<p>z</p>" + "<script>" * 120_000, "".join(f"<div class=c{i}>x" for i in range(40_000)), "<html" * 200_000])
+def test_pages_of_one_megabyte_are_read_in_linear_time(page):
+    import time
+
+    at = time.process_time()
+    html_text.blocks(page[: len(page) // 4])
+    small = time.process_time() - at
+    at = time.process_time()
+    read = html_text.blocks(page)
+    assert time.process_time() - at < max(1.0, 10 * small)  # four times the page; 16 where time grows with the square
+    assert len("".join(t for _, t in read)) == len(re.sub(r"<[^>]*>?", "", page))
+
+
+def test_what_is_not_shown_is_no_block():
+    read = lambda h: [t for _, t in html_text.blocks(h)]
+    assert read('<p>a</p><p hidden>b</p><div style="color: red; Display : NONE"><ul><li>c</ul></div><p>d <span hidden="">e</span>f</p>') == ["a", "d f"]
+    assert read('<p hidden="until-found">a</p><p style="display:block">b</p><p title="hidden">c</p>') == ["a", "b", "c"]
+
+
+def test_deep_paths_keep_what_tells():
+    path = html_text.blocks("<div>" * 90 + "<nav>" + "<div>" * 3000 + "x")[0][0]
+    assert "nav" in path and len(path) <= html_text.DEPTH
+    path = html_text.blocks("<aside>" + "<div>" * 500 + "<article>" + "<div>" * 500 + "<p>x")[0][0]
+    assert html_text.teacher(path, True) and "aside" in path
