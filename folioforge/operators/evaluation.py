@@ -11,6 +11,9 @@ REFUSAL_PHRASES = ("not found", "does not contain", "no information")
 #: Fixed quality gates: metric, least value.
 GATES = (("hit_at_5", 0.90), ("section_recall", 0.85), ("grounding_rate", 0.999), ("refusal_precision", 0.80), ("refusal_recall", 0.80), ("refusal_f1", 0.80), ("factual", 0.80))
 
+#: Fixed counts of questions that a full evaluation has.
+COUNTS = (("total_questions", 36), ("answerable_count", 30), ("unanswerable_count", 6))
+
 
 def _keys(truth: DataFrame, retrieved: DataFrame) -> list[str]:
     return ["query_id", *(["doc_id"] if "doc_id" in truth.columns and "doc_id" in retrieved.columns else [])]
@@ -127,5 +130,17 @@ def gates(metrics: DataFrame, thresholds=GATES) -> DataFrame:
     return least.join(long, "metric", "left").select("metric", "value", "least", F.coalesce(F.col("value") >= F.col("least"), F.lit(False)).alias("passed"))
 
 
+def question_counts(rows: DataFrame) -> DataFrame:
+    """One row: total_questions, answerable_count, unanswerable_count. A row whose ``answerable`` is null counts in the total alone."""
+    return rows.agg(F.count("*").alias("total_questions"), F.count_if("answerable").alias("answerable_count"), F.count_if(~F.col("answerable")).alias("unanswerable_count"))
+
+
+def count_gates(rows: DataFrame, expected=COUNTS) -> DataFrame:
+    """(metric, value, expected, passed): whether the evaluation has exactly the questions it should have."""
+    long = question_counts(rows).unpivot([], [m for m, _ in expected], "metric", "value")
+    want = rows.sparkSession.createDataFrame(list(expected), "metric string, expected long")
+    return want.join(long, "metric").select("metric", "value", "expected", (F.col("value") == F.col("expected")).alias("passed"))
+
+
 def missing_categories(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.select("type").distinct().join(rows.select("type").distinct(), "type", "left_anti")

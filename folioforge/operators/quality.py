@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ancestors, flat, without_digits
 
@@ -119,17 +124,48 @@ def cell_mismatches(cells: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.where(~F.col("value").eqNullSafe(F.col("expected")))
 
 
+def character_counts(df: DataFrame, key: str = "doc_id", text: str = "text", step: int = 1 << 20) -> DataFrame:
+    """(key, ch, n): a row for each key and distinct character of a batch, ``step`` characters being counted at a time.
+
+    Rows of a key are partial counts, to be summed; no row is wider than a character, whatever the texts' lengths.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).drop_null()
+            keys = b.column(0).filter(b.column(1).is_valid()).dictionary_encode(null_encoding="encode")
+            codes = keys.indices.to_numpy().astype(np.int64)
+            whole = "".join(texts.to_pylist())
+            ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            for at in range(0, len(whole), step):
+                points = np.frombuffer(whole[at : at + step].encode("utf-32-le"), np.uint32)
+                owner = codes[np.searchsorted(ends, np.arange(at, at + len(points)), "right")]
+                found, n = np.unique(owner << 21 | points, return_counts=True)
+                chars = pa.array([chr(c) for c in (found & ((1 << 21) - 1)).tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(found >> 21)), chars, pa.array(n.astype(np.int64))], names=[key, "ch", "n"])
+
+    schema = T.StructType([df.schema[key], T.StructField("ch", T.StringType()), T.StructField("n", T.LongType())])
+    return df.select(key, text).mapInArrow(count, schema)
+
+
 def character_differences(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ch, n_left, n_right): where the two sides' letters and digits do not balance. """
+    """(key, ch, n_left, n_right): where the two sides' letters and digits do not balance. Characters of rows without key are a key's, null."""
+    zero = F.lit(0).cast("long")
+    sides = character_counts(left, key, text).select(key, "ch", F.col("n").alias("n_left"), zero.alias("n_right"))
+    sides = sides.unionByName(character_counts(right, key, text).select(key, "ch", zero.alias("n_left"), F.col("n").alias("n_right")))
+    both = sides.groupBy(key, "ch").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    return both.where((F.col("n_left") != F.col("n_right")) & F.col("ch").rlike(r"[\p{L}\p{N}]"))
 
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        kept = df.select(key, F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", "").alias("t")).where("t <> ''")
-        # a row's characters are counted within the row: a row a distinct character leaves it
-        each = F.transform(F.array_distinct(F.split("t", "")), lambda c: F.struct(c.alias("ch"), (F.char_length("t") - F.char_length(F.replace("t", c, F.lit("")))).alias("n")))
-        return kept.select(key, F.explode(each).alias("c")).groupBy(key, F.col("c.ch").alias("ch")).agg(F.sum("c.n").alias(name)).where("ch <> ''")
 
-    both = counts(left, "n_left").join(counts(right, "n_right"), [key, "ch"], "full_outer").na.fill(0, ["n_left", "n_right"])
-    return both.where("n_left <> n_right")
+def glossary_faults(records: DataFrame, section: str) -> DataFrame:
+    """(doc_id, n_entries, n_elsewhere, n_repeated): documents whose glossary entries lie outside ``section`` or repeat a term.
+
+    An entry without term is none of the repeated ones. Compare ``n_entries`` with the expected count by ``set_differences``.
+    """
+    entries = records.where("type = 'glossary_entry'").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.count_if(~F.col("section_id").eqNullSafe(F.lit(section))).alias("out"))
+    extra = F.when(F.col("term").isNotNull(), F.col("n") - 1).otherwise(0)
+    per = entries.groupBy("doc_id").agg(F.sum("n").alias("n_entries"), F.sum("out").alias("n_elsewhere"), F.sum(extra).alias("n_repeated"))
+    return per.where("n_elsewhere > 0 or n_repeated > 0")
 
 
 def kind_counts(lines: DataFrame, records: DataFrame, line_is_bullet: Column) -> DataFrame:

@@ -125,6 +125,23 @@ def v14(spark, sf_dir):
     return rounded(ev.gates(metrics), "value")
 
 
+ALL_GATES_SQL = GATE_SQL.replace("NULL AS value, 0.999 AS least FROM matrix", f"sum({BROUND.format(x='grounding_rate', n=3)} * n_citations) / sum(n_citations) AS value, 0.999 AS least FROM rates")
+
+
+@query("v14_report_gates", f"WITH {b.CITATIONS_SQL},{CHECKED_SQL},{b.RESPONSES_SQL},{MATRIX_SQL} SELECT metric, round(CAST(value AS DOUBLE), 6) AS value, CAST(least AS DOUBLE) AS least, coalesce(value >= least, false) AS passed FROM ({ALL_GATES_SQL})")
+def v14_report(spark, sf_dir):
+    """All gates measured: answers and refusals of the conversations, grounding of all citations."""
+    j = b.judged(spark, sf_dir)
+    grounding = ev.pooled_rates(rates(spark, sf_dir)).select("grounding_rate")
+    metrics = ev.overall_means(j).crossJoin(F.broadcast(ev.refusal_matrix(j))).crossJoin(F.broadcast(grounding))  # one row each
+    return rounded(ev.gates(metrics), "value")
+
+
+@query("v14_count_gates", f"WITH {b.RESPONSES_SQL}, n AS (SELECT count(*) AS t, count(*) FILTER (WHERE answerable) AS a, count(*) FILTER (WHERE NOT answerable) AS u FROM judged) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {c} AS value, CAST({n} AS BIGINT) AS expected, {c} = {n} AS passed FROM n" for (m, n), c in zip(ev.COUNTS, "tau", strict=True)))
+def v14_counts(spark, sf_dir):
+    return ev.count_gates(b.judged(spark, sf_dir))
+
+
 @query("v14_missing_categories", f"WITH {b.RESPONSES_SQL} SELECT type FROM (SELECT DISTINCT type FROM judged) WHERE type NOT IN (SELECT type FROM judged WHERE conv_id % 5 <> 2)")
 def v14_missing(spark, sf_dir):
     j = b.judged(spark, sf_dir)

@@ -178,6 +178,13 @@ def q12_sets(spark, sf_dir):
     return qa.set_differences(r.where("type = 'list_item'").select("section_id"), r.where("doc_id % 2 = 0").select("section_id"))
 
 
+@query("q12_glossary", f"WITH {b.RECORDS_SQL}, g AS (SELECT doc_id, section_id, lower(split_part(text, ' ', 1)) AS term FROM records WHERE type = 'paragraph'), c AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_entries, CAST(count(*) FILTER (WHERE section_id IS DISTINCT FROM '1') AS BIGINT) AS n_elsewhere, CAST(count(*) - count(DISTINCT term) AS BIGINT) AS n_repeated FROM g GROUP BY doc_id) SELECT * FROM c WHERE n_elsewhere > 0 OR n_repeated > 0")
+def q12_glossary(spark, sf_dir):
+    """Paragraphs taken for entries of a glossary in section 1, the first word being the term."""
+    r = b.records(spark, sf_dir).where("type = 'paragraph'").select("doc_id", "section_id", F.lit("glossary_entry").alias("type"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("term"))
+    return qa.glossary_faults(r, "1")
+
+
 @query("q13_paragraph_warnings", rf"WITH {b.RECORDS_SQL} SELECT doc_id, id, CASE WHEN regexp_matches(text, '^\p{{Ll}}') THEN 'starts lower-case' ELSE 'ends open' END AS warning FROM records WHERE type = 'paragraph' AND (regexp_matches(text, '^\p{{Ll}}') OR regexp_matches(text, '(,|\b(and|or|the|of))$'))")
 def q13(spark, sf_dir):
     return qa.paragraph_warnings(b.records(spark, sf_dir))

@@ -137,3 +137,6 @@ def test_report(spark):
     g = {r.metric: r.passed for r in ev.gates(spark.createDataFrame([(0.9, 0.84, 0.9)], "hit_at_5 double, section_recall double, factual double")).collect()}
     assert g["hit_at_5"] and not g["section_recall"] and g["factual"] and not g["grounding_rate"] and len(g) == 7
     assert [r.type for r in ev.missing_categories(df.where("type <> 'b'"), df).collect()] == ["b"]
+    few = ev.count_gates(df, (("total_questions", 4), ("answerable_count", 3), ("unanswerable_count", 2)))
+    assert {r.metric: (r.value, r.passed) for r in few.collect()} == {"total_questions": (4, True), "answerable_count": (2, False), "unanswerable_count": (2, True)}
+    assert {r.metric: r.value for r in ev.count_gates(df.limit(0)).collect()} == {"total_questions": 0, "answerable_count": 0, "unanswerable_count": 0}

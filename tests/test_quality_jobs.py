@@ -71,6 +71,13 @@ def test_text_counts_and_words(spark):
     a = spark.createDataFrame([(1, "aab-é1"), (2, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "ab é2")], "doc_id long, text string")
     assert {(r.ch, r.n_left, r.n_right) for r in qa.character_differences(a, b).collect()} == {("a", 2, 1), ("1", 1, 0), ("2", 0, 1)}
+    odd = spark.createDataFrame([(None, "ß\U00020000\U00020000 ٣"), (3, "x" * 50), (3, ""), (3, "x!")], "doc_id long, text string")
+    assert {(r.doc_id, r.ch, r.n_left, r.n_right) for r in qa.character_differences(odd, odd.limit(0)).collect()} == {(None, "ß", 1, 0), (None, "\U00020000", 2, 0), (None, "٣", 1, 0), (3, "x", 51, 0)}
+    assert qa.character_differences(odd, odd).count() == 0
+    parts = qa.character_counts(odd, step=7).groupBy("doc_id", "ch").sum("n").where("ch = 'x'").first()
+    assert (parts[0], parts[2]) == (3, 51)
+    entries = spark.createDataFrame([(1, "15.1", "a", "glossary_entry"), (1, "15.1", "b", "glossary_entry"), (2, "15.1", "a", "glossary_entry"), (2, "15.1", "a", "glossary_entry"), (3, None, None, "glossary_entry"), (3, "15.1", None, "glossary_entry"), (4, "2", "a", "paragraph")], "doc_id long, section_id string, term string, type string")
+    assert sorted(map(tuple, qa.glossary_faults(entries, "15.1").collect())) == [(2, 2, 0, 1), (3, 2, 1, 0)]
     r = spark.createDataFrame([(1, "x", "paragraph", "Parking lot,"), (1, "y", "paragraph", "lower start."), (1, "z", "paragraph", "Fine."), (1, "w", "table", "low"), (1, "v", "paragraph", "List of")], "doc_id long, id string, type string, text string")
     assert {x.id: x.warning for x in qa.paragraph_warnings(r).collect()} == {"x": "ends open", "y": "starts lower-case", "v": "ends open"}
     assert {x.word: x.n_records for x in qa.excluded_words(r, ["parking", "alumni"]).collect()} == {"parking": 1, "alumni": 0}
