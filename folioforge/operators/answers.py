@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -37,22 +38,24 @@ def prompts(queries: DataFrame, contexts: DataFrame, template: tuple[str, str] =
 
 
 def complete(prompted: DataFrame, primary: Callable[[str], str], fallback: Callable[[str], str] | None = None, names: tuple[str, str] = ("primary", "fallback"), partitions: int | None = None) -> DataFrame:
-    """(query_id, response_json, model_used) from injected completion functions; the fallback answers where the primary fails."""
+    """(query_id, response_json, model_used, latency_sec) from injected completion functions; the fallback answers where the primary fails. Latency counts both."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for p in pdf["prompt"]:
+                start = time.monotonic()
                 try:
-                    rows.append((primary(p), names[0]))
+                    row = primary(p), names[0]
                 except Exception:
                     if fallback is None:
                         raise
-                    rows.append((fallback(p), names[1]))
-            yield pd.DataFrame({"query_id": pdf["query_id"], "response_json": [r[0] for r in rows], "model_used": [r[1] for r in rows]})
+                    row = fallback(p), names[1]
+                rows.append((*row, time.monotonic() - start))
+            yield pd.DataFrame({"query_id": pdf["query_id"], "response_json": [r[0] for r in rows], "model_used": [r[1] for r in rows], "latency_sec": [r[2] for r in rows]})
 
     source = prompted.coalesce(partitions) if partitions else prompted
-    return source.select("query_id", "prompt").mapInPandas(run, f"query_id {prompted.schema['query_id'].dataType.simpleString()}, response_json string, model_used string")
+    return source.select("query_id", "prompt").mapInPandas(run, f"query_id {prompted.schema['query_id'].dataType.simpleString()}, response_json string, model_used string, latency_sec double")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

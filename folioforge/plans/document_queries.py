@@ -375,7 +375,7 @@ def _short_only(prompt: str) -> str:
 def g3(spark, sf_dir):
     """User turns as prompts for injected stand-ins, of which the primary fails on odd lengths."""
     p = b.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("prompt"))
-    return answers.complete(p, _short_only, lambda _: "{}")
+    return answers.complete(p, _short_only, lambda _: "{}").drop("latency_sec")
 
 
 @query("g4_parse_responses", f"WITH {b.RESPONSES_SQL} SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 4 = 0 THEN answer ELSE '' END AS answer, CAST(CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_citations, turn % 4 = 0 AND refusal AS refusal FROM responses")

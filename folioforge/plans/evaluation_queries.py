@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sections_match
 from ..operators import evaluation as ev
+from ..operators import report as rep
+from ..sources import tables
 from . import bindings as b
 from .registry import query
 
@@ -146,3 +148,59 @@ def v14_counts(spark, sf_dir):
 def v14_missing(spark, sf_dir):
     j = b.judged(spark, sf_dir)
     return ev.missing_categories(j.where("conv_id % 5 <> 2"), j)
+
+
+# --- the report as an object, written and read back ---
+
+EVALUATED_SQL = f"""{b.RESPONSES_SQL},
+evaluated AS (SELECT conv_id * 1000 + turn AS id, *, CAST(length(answer) % 4 AS BIGINT) AS n_citations, length(answer) % 3 / 3 AS grounding_rate, length(answer) % 8 / 8 AS veracity_rate, length(answer) % 1000 / 100 AS latency_sec FROM judged)"""
+
+
+def evaluated(spark, sf_dir):
+    """The judged answers with citations and latency read off their length."""
+    n = F.length("answer")
+    extra = {"query_id": F.col("conv_id") * 1000 + F.col("turn"), "candidate_answer": F.col("answer"), "n_citations": (n % 4).cast("long"), "grounding_rate": n % 3 / 3, "veracity_rate": n % 8 / 8, "latency_sec": n % 1000 / 100}
+    return b.judged(spark, sf_dir).withColumns(extra)
+
+
+def stored_evaluation(spark, sf_dir):
+    rows = evaluated(spark, sf_dir)
+    report, details = rep.evaluation_report(rows, "bundled", "bundled"), rep.evaluation_details(rows)
+    path = tables.shared_dir(spark)
+    tables.write_evaluation(report, details, path)
+    return tables.read_evaluation(spark, path, report.schema, details.schema)
+
+
+CITED = "{e} AS citation_grounding_rate, {v} AS quote_veracity_rate".format(**{k: f"round_even(coalesce(sum(round_even({c}, 3) * n_citations) FILTER (WHERE answerable) / nullif(sum(n_citations) FILTER (WHERE answerable), 0), 1), 4)" for k, c in (("e", "grounding_rate"), ("v", "veracity_rate"))})
+
+
+@query("s4_evaluation_report", f"""WITH {EVALUATED_SQL},{MATRIX_SQL},
+figures AS (SELECT count(*) AS total_questions, count(*) FILTER (WHERE answerable) AS answerable_count, count(*) FILTER (WHERE NOT answerable) AS unanswerable_count,
+  round_even(avg(hit) FILTER (WHERE answerable), 4) AS section_hit_at_5, round_even(avg(recall) FILTER (WHERE answerable), 4) AS mean_section_recall, round_even(avg(factual) FILTER (WHERE answerable), 4) AS mean_factual_correctness,
+  round_even(count(*) FILTER (WHERE answerable AND verdict = 'CORRECT') / count(*) FILTER (WHERE answerable), 4) AS exact_or_correct_pct, CAST(sum(n_citations) FILTER (WHERE answerable) AS BIGINT) AS total_citations_evaluated, {CITED} FROM evaluated)
+SELECT figures.* REPLACE (CAST(mean_section_recall AS DOUBLE) AS mean_section_recall, CAST(mean_factual_correctness AS DOUBLE) AS mean_factual_correctness),
+  (SELECT string_agg(verdict || ':' || n, ',' ORDER BY verdict) FROM (SELECT verdict, count(*) AS n FROM evaluated WHERE answerable GROUP BY verdict)) AS verdict_distribution,
+  tp, fp, tn, fn, round_even(refusal_precision, 4) AS precision, round_even(refusal_recall, 4) AS recall, round_even(refusal_f1, 4) AS f1_score FROM figures CROSS JOIN matrix""")
+def s4_evaluation(spark, sf_dir):
+    report, _ = stored_evaluation(spark, sf_dir)
+    told = F.transform(F.array_sort(F.map_entries("summary_metrics.generation.verdict_distribution")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    m = "summary_metrics"
+    cells = [f"metadata.{c}" for c in ("total_questions", "answerable_count", "unanswerable_count")] + [f"{m}.retrieval.*", f"{m}.generation.mean_factual_correctness", f"{m}.generation.exact_or_correct_pct", f"{m}.citations.*"]
+    matrix = [F.col(f"{m}.refusal.confusion_matrix.{c}").alias(c.lower()) for c in ("TP", "FP", "TN", "FN")]
+    return report.select(*cells, F.array_join(told, ",").alias("verdict_distribution"), *matrix, *[f"{m}.refusal.{c}" for c in ("precision", "recall", "f1_score")])
+
+
+@query("s4_report_categories", f"""WITH {EVALUATED_SQL} SELECT type, count(*) AS "count", {', '.join(f"CASE WHEN type <> 'not in document' THEN CAST(round_even(avg({c}), 3) AS DOUBLE) END AS {n}" for c, n in (('hit', 'hit_at_5'), ('recall', 'section_recall'), ('factual', 'factual_correctness')))},
+  {', '.join(f"CASE WHEN type = 'not in document' THEN CAST(round_even(avg(CASE WHEN effective_refusal THEN 1.0 ELSE 0 END), 3) AS DOUBLE) END AS {n}" for n in ('refusal_rate', 'factual_score'))} FROM evaluated GROUP BY type""")
+def s4_categories(spark, sf_dir):
+    report, _ = stored_evaluation(spark, sf_dir)
+    return report.select(F.explode("category_breakdown").alias("type", "c")).select("type", "c.*")
+
+
+@query("s4_report_details", f"""WITH {EVALUATED_SQL} SELECT id, type, question, answer AS candidate_answer, refusal, effective_refusal, round_even(latency_sec, 2) AS latency_sec, CASE WHEN answerable THEN hit END AS hit_at_5, CASE WHEN answerable THEN CAST(recall AS DOUBLE) END AS section_recall,
+  CASE WHEN answerable THEN n_citations END AS n_citations, CASE WHEN answerable THEN round_even(grounding_rate, 3) END AS grounding_rate, CASE WHEN answerable THEN round_even(veracity_rate, 3) END AS veracity_rate,
+  CAST(CASE WHEN answerable THEN factual WHEN effective_refusal THEN 1 ELSE 0 END AS DOUBLE) AS score, CASE WHEN answerable THEN verdict WHEN effective_refusal THEN 'REFUSED_CORRECTLY' ELSE 'HALLUCINATED_ANSWER' END AS verdict FROM evaluated""")
+def s4_details(spark, sf_dir):
+    _, details = stored_evaluation(spark, sf_dir)
+    c = details.select("*", "retrieval.hit_at_5", "retrieval.section_recall", F.col("citations_eval.count").alias("n_citations"), "citations_eval.grounding_rate", "citations_eval.veracity_rate", "factual_correctness.score", "factual_correctness.verdict")
+    return c.select("id", "type", "question", "candidate_answer", "refusal", "effective_refusal", "latency_sec", "hit_at_5", "section_recall", "n_citations", "grounding_rate", "veracity_rate", "score", "verdict")

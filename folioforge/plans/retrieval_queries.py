@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..operators import evaluation, retrieval, vectors
+from ..sources.ledger import CallLedger
+from ..sources.tables import shared_dir
 from . import bindings as b
 from .registry import query
 
@@ -49,15 +51,31 @@ final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rera
 RERANK_SQL = rerank_sql(b.ITEMS_SQL)
 
 
-@query("e1_embed_texts", f"""WITH {b.embedding_sql('vec', '(SELECT doc_id AS id, text FROM documents)')}
-SELECT id AS chunk_id, len(e) AS dim, CAST(list_sum(list_transform(e, lambda x, i: i * sign(x))) AS BIGINT) AS signs, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS length FROM vec""")
-def e1(spark, sf_dir):
-    """Every document embedded by the bundled hashing embedder (a model is injected in use); signs is the sum of places by their signs."""
-    out = vectors.embed_texts(b.corpus(spark, sf_dir).select("chunk_id", "embed_text"))
+E1_SQL = f"""WITH {b.embedding_sql('vec', '(SELECT doc_id AS id, text FROM documents)')}
+SELECT id AS chunk_id, len(e) AS dim, CAST(list_sum(list_transform(e, lambda x, i: i * sign(x))) AS BIGINT) AS signs, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS length FROM vec"""
+
+
+def told_vectors(out):
     signs = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * F.signum(x)), F.lit(0.0), lambda a, x: a + x).cast("long")
     return out.select("chunk_id", F.size("embedding").alias("dim"), signs.alias("signs"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("length"))
 
 
+@query("e1_embed_texts", E1_SQL)
+def e1(spark, sf_dir):
+    """Every document embedded by the bundled hashing embedder (a model is injected in use); signs is the sum of places by their signs."""
+    return told_vectors(vectors.embed_texts(b.corpus(spark, sf_dir).select("chunk_id", "embed_text")))
+
+
+@query("e1_embed_once", E1_SQL)
+def e1_once(spark, sf_dir):
+    """The same through a ledger of calls: some documents are embedded first, then all, which asks for the others alone."""
+    docs = b.corpus(spark, sf_dir).select("chunk_id", "embed_text")
+    ledger = CallLedger(spark, shared_dir(spark), "array<float>", shards=32)
+    embed = vectors.hashing_embedder()
+    ledger.replies(docs.where("chunk_id % 3 = 0"), ["embed_text"], embed, "hashing")
+    return told_vectors(ledger.replies(docs, ["embed_text"], embed, "hashing").withColumnRenamed("reply", "embedding"))
+
+
 @query("e2_vector_check", "SELECT vec_id AS chunk_id, len(embedding) AS dim, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS length FROM embeddings WHERE len(embedding) <> 64 OR sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) < 1.0")
 def e2(spark, sf_dir):
     """Vectors of another dimension or shorter than one: float rounding leaves many just below."""

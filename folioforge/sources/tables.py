@@ -86,6 +86,17 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_evaluation(report: DataFrame, details: DataFrame, path: str) -> None:
+    """An evaluation: the report object as one JSON file in ``report``, its questions as JSON Lines in ``details``, written by the tasks that have them."""
+    write_report(report, f"{path}/report")
+    details.write.mode("overwrite").json(f"{path}/details")
+
+
+def read_evaluation(spark: SparkSession, path: str, report: T.StructType, details: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Report and details as written, by the schemas they had."""
+    return read_table(spark, f"{path}/report", report, "json"), read_table(spark, f"{path}/details", details, "json")
+
+
 def by_payload(points: DataFrame, section_id: str | None = None, kind: str | None = None) -> DataFrame:
     """Points filtered by their payload; stored ``partitionBy("type")``, the kind prunes partitions."""
     if kind is not None:
