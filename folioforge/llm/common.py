@@ -43,12 +43,14 @@ def remove_tables(spark: SparkSession) -> None:
 PART_BYTES = 4 << 20
 
 
-def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of bounded text, so that what a task holds does not follow the batch's row count."""
+def _parts(batch: pa.RecordBatch, text: int, sizes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded text, so that what a task holds does not follow the batch's row count. ``sizes``: a column with the texts' bytes."""
     column = batch.column(text)
     if isinstance(column, pa.StructArray):
         column = column.field(0)
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+    if sizes is not None:
+        ends = np.cumsum(batch.column(sizes).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    elif pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     else:
         ends = np.arange(1, batch.num_rows + 1, dtype=np.int64) * (PART_BYTES // 1000)
@@ -59,12 +61,12 @@ def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
-def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], dict[str, list]]], fields: list[T.StructField], keep: list[str] | None = None, drop_text: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], dict[str, list]]], fields: list[T.StructField], keep: list[str] | None = None, drop_text: bool = False, sizes: str | None = None) -> DataFrame:
     """Adds columns computed from whole texts, batch by batch, inside the tasks that read them.
 
     ``fn()`` runs once a task and returns a function from a list of texts (None for null) to a
     dict of lists (or Arrow arrays), one for each of ``fields``. The columns in ``keep`` (all, if None) come
-    through unchanged; a new column replaces one of the same name. No shuffle.
+    through unchanged; a new column replaces one of the same name. Texts that come compressed have their bytes in the kept column ``sizes``. No shuffle.
     """
     names = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names and not (drop_text and c == text_col)]
@@ -76,7 +78,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[], Callable[[list], di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
-        for b in (part for whole in batches for part in _parts(whole, sent.index(text_col))):
+        for b in (part for whole in batches for part in _parts(whole, sent.index(text_col), sent.index(sizes) if sizes else None)):
             out = work(b.column(sent.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=kept + names)
 

@@ -16,7 +16,7 @@ touching windows are one span. Since a window can only match in the shard of its
 
 Scale. Anchors go once a batch of texts; filters over ``sent_bytes`` are not sent, the passages are then found by a join. A passage's words go to its
 shard once for each batch of texts, however many documents repeat it, compressed with those of its group (four groups for each shuffle partition of the session); its verdict comes back by a join on its hashes, which Spark splits for hot passages. Texts are shuffled
-once, for the cut. An anchor in over ``hot_batches`` batches has its passages split into single windows, each its own
+once, compressed, for the cut. An anchor in over ``hot_batches`` batches has its passages split into single windows, each its own
 anchor, so no shard follows one anchor.
 
 Edge cases: null, empty and short texts keep all words; ids may be of any type that can be ordered; rows of one id are one document
@@ -442,17 +442,36 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return told.select("id", "t1", "first", F.transform("keepers", lambda k: k < F.col("id")).alias("goes")).where(F.exists("goes", lambda x: x))
 
 
+def _zipped(rows: DataFrame) -> DataFrame:
+    """rows (row, r, r1, text) with the text compressed (z) and its bytes (size), for the shuffle; a null text is an empty one."""
+
+    def task():
+        packer = zstandard.ZstdCompressor(level=3)
+
+        def one(texts):
+            raw = [(t or "").encode() for t in texts]
+            return {"z": [packer.compress(x) for x in raw], "size": [len(x) for x in raw]}
+
+        return one
+
+    return map_texts(rows, "text", task, [T.StructField("z", T.BinaryType()), T.StructField("size", T.LongType())], keep=["row", "r", "r1"], drop_text=True)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **search) -> DataFrame:
     """docs with the text cut to its kept words, ``n_words`` (before) and ``n_removed``."""
     cut = repeated_windows(docs, id_col, text_col, width, **search).groupBy("id", "t1").agg(F.collect_list(F.struct("first", "goes")).alias("cuts"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("r"), F.xxhash64(F.col(f"`{text_col}`")).alias("r1"))
-    joined = rows.join(cut.toDF("d", "d1", "cuts"), (F.col("r") == F.col("d")) & (F.col("r1") == F.col("d1")), "left")
-    packed = joined.select(F.col("row").dropFields(f"`{text_col}`").alias("row") if len(docs.columns) > 1 else F.lit(None).alias("row"), F.struct(F.col("row")[text_col].alias("text"), "cuts").alias("packed"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*others).alias("row") if others else F.lit(0).alias("row"), F.col(f"`{id_col}`").alias("r"), F.xxhash64(text).alias("r1"), text.alias("text"))
+    joined = _zipped(rows).join(cut.toDF("d", "d1", "cuts"), (F.col("r") == F.col("d")) & (F.col("r1") == F.col("d1")), "left")
+    packed = joined.select("row", "size", F.struct("z", "cuts").alias("packed"))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
 
     def task():
+        opener = zstandard.ZstdDecompressor()
+
         def one(x):
-            words = (x["text"] or "").encode().split()
+            words = opener.decompress(x["z"]).split()
             goes = np.zeros(len(words) + 1, np.int64)
             for c in x["cuts"] or ():
                 for k, gone in enumerate(c["goes"]):
@@ -466,7 +485,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         names = [f.name for f in fields]
         return lambda batch: dict(zip(names, zip(*map(one, batch), strict=True) if batch else [[]] * 3, strict=True))
 
-    out = map_texts(packed, "packed", task, fields, keep=["row"])
+    out = map_texts(packed, "packed", task, fields, keep=["row", "size"], drop_text=True, sizes="size")
     added = ("n_words", "n_removed")
     return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
