@@ -15,8 +15,8 @@ from folioforge.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an identified language; ``lang`` labels the training sample, ``source`` counts as host."""
-    told = langid.identify(docs, host=F.col("source"))
+    """Documents of an identified language; ``lang`` is the declaration and labels the training sample (in two folds), ``source`` counts as host."""
+    told = langid.identify(docs, declared=F.col("lang"), host=F.col("source"), folds=2)
     rejected = told.where("not accepted").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti")
 

@@ -410,6 +410,50 @@ def test_language_of_pages(spark, sf):
     assert all(r.lang == want[r.page_id][0] and abs(r.posterior - want[r.page_id][1]) < 1e-3 for r in got)
 
 
+def test_language_of_documents_has_declarations_that_the_text_model_has_not_seen(spark, tmp_path):
+    """One row of unknown words, labelled one way and the other: the text's verdict stays, the declaration decides."""
+    rng = random.Random(7)
+    words = {"en": ["the", "and", "with", "house", "other"], "de": ["der", "und", "nicht", "haus", "hier"]}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(30)), x, "src0") for i in range(120) for x in [("en", "de")[i % 2]]]
+    got = {}
+    for said in ("de", "en"):
+        spark.createDataFrame([*rows, (900, "xqj", said, "src0"), (901, rows[0][1] + " the", "de", "src0")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{said}/documents.parquet")
+        got[said] = {r.doc_id: r for r in langid.op9(spark, f"{tmp_path}/{said}").collect()}
+    assert got["de"][900].text_lang == got["en"][900].text_lang
+    assert [got[x][900].lang for x in ("de", "en")] == ["de", "en"] and all(got[x][900].posterior > 0.9 and got[x][900].kept for x in got)
+    assert got["de"][901].lang == got["en"][901].lang == "en"  # a text with known words is not overruled
+
+
+def test_language_folds_leave_out_their_own_texts(spark):
+    rows = [(f"the house number {i} and others" if i % 2 else f"das haus nummer {i} und andere", "en" if i % 2 else "de") for i in range(60)] + [("je suis dans la maison", "fr")]
+    langs, logp = langid.train(spark.createDataFrame(rows, "text string, lang string"), folds=3)
+    for fold in range(3):
+        for k, x in enumerate(langs):
+            others = [t for t, y in rows if y == x and langid.fold_of(t, 3) != fold] or [t for t, y in rows if y == x]
+            n = sum((np.bincount(langid.trigram_hash(t), minlength=langid.BUCKETS) for t in others), np.full(langid.BUCKETS, 0.05))
+            assert np.allclose(logp[fold, :, k], np.log(n / n.sum()), atol=1e-5)
+
+
+def test_language_suffix_is_evidence_of_its_own(spark):
+    """Suffix and host each add their log evidence; the suffix speaks on a host that has one document, and is not told twice."""
+    make = lambda x, i: {"en": f"the house number {i} and others", "de": f"das haus nummer {i} und andere"}[x]
+    rows = [(i, make("de" if i % 10 else "en", i), f"h{i % 7}.d{i % 7}.de") for i in range(100)] + [(100 + i, make("en", i), f"h{i}.d{i}.com") for i in range(100)]
+    rows += [(900, "xqj", "new.site.de"), (901, "xqj", "new.site.com"), (902, None, "new.site.com")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    labelled = spark.createDataFrame([(make(x, i), x) for i in range(40) for x in ("en", "de")], "text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(d, host=F.col("host"), labelled=labelled).collect()}
+    de, com = (got[i].evidence.suffix[0] - got[i].evidence.suffix[1] for i in (900, 901))
+    assert de > 0.5 and com < -0.5 and got[902].evidence is None
+    smooth = lambda n, up: [(x + 20 * p) / (sum(n) + 20) for x, p in zip(n, up, strict=True)]
+    every = smooth([sum(r.text_lang == x for r in got.values()) for x in ("de", "en")], [0.5, 0.5])
+    of_de = smooth([sum(got[i].text_lang == x for i, _, h in rows if h.endswith(".de")) for x in ("de", "en")], every)
+    assert np.allclose(got[900].evidence.suffix, np.log(of_de) - np.log(every))
+    for r in got.values():
+        if r.evidence:
+            score = sum(np.array(x) for x in r.evidence)
+            assert abs(r.posterior - 1 / np.exp(score - score.max()).sum()) < 1e-9 and r.lang == ("de", "en")[int(score.argmax())]
+
+
 def test_language_without_labels_or_rows(spark):
     d = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang, r.accepted) for r in langid.identify(d).collect()] == [("und", False)]
