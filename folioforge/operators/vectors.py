@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -11,15 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@functools.lru_cache(maxsize=50_000)
+def _hashed(word: str) -> int:
+    """Of the word's MD5 the first four bytes and, as the last bit, the next one's highest."""
+    h = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+    return int.from_bytes(h[:4]) << 1 | h[4] >> 7
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic stand-in for a model: signed word hashes (MD5, which SQL engines have too), unit length."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
-                out[i, int.from_bytes(h[:4]) % dim] += 1 if h[4] >> 7 else -1
+            words = np.array([_hashed(w) for w in (t or "").lower().split()], np.int64)
+            out[i] = np.bincount((words >> 1) % dim, (words & 1) * 2 - 1, dim)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(length == 0, 1, length)).tolist()
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.retrieval import Bm25Index, retrieve
 from ..operators.vectors import embed_texts
 from ..sources.store import KeyedStore
+from ..sources.tables import stored
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -47,7 +48,7 @@ def answer_stream(questions: DataFrame, index: Bm25Index, corpus: DataFrame, vec
     stream = stream_id(spark, checkpoint)
 
     def answered(asked: DataFrame) -> DataFrame:
-        found = retrieve(index, corpus, vectors, embed_texts(asked, "question", embed), **options)
+        found = retrieve(index, corpus, vectors, stored(embed_texts(asked, "question", embed)), **options)  # the searches read it many times
         best = F.struct(F.col("final_rank").cast("int").alias("final_rank"), F.col(options.get("id_col", "chunk_id")).alias("chunk_id"), "score")
         return found.groupBy("query_id").agg(F.array_sort(F.collect_list(best)).alias("chunks"))  # top_k entries
 

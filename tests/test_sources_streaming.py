@@ -152,3 +152,21 @@ def test_questions_are_answered_once(spark, tmp_path):
     new = calls.value - before
     assert ask("other", [("q1", "word3"), ("q3", "word0")], "ck2").keys() == {"q1", "q2", "q3"}  # and by another stream
     assert calls.value - before == new  # what is answered is not embedded again
+
+
+def test_a_batch_is_embedded_once(spark, tmp_path):
+    """Blocks, both searches and the reranker read stored vectors of a batch's questions."""
+    chunks = spark.createDataFrame([(f"c{i}", f"word{i} common") for i in range(6)], "chunk_id string, embed_text string")
+    index, vectors = bm25_index(chunks, buckets=2, slices=2), embed_texts(chunks)
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return hashing_embedder()(texts)
+
+    q = spark.createDataFrame([(i, f"word{i % 6} common") for i in range(20)], "query_id long, question string")
+    q.write.parquet(f"{tmp_path}/q")
+    jobs.answer_stream(spark.readStream.schema(q.schema).parquet(f"{tmp_path}/q"), index, chunks, vectors, embed, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert calls.value == 20
+    rows = jobs.answers_store(spark, f"{tmp_path}/out", q.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType).read().collect()
+    assert {r.query_id: r.chunks[0].chunk_id for r in rows} == {i: f"c{i % 6}" for i in range(20)}
